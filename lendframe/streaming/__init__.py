@@ -1,0 +1 @@
+"""Empty on purpose: the workload compares finished batches, so no stream operator is needed."""
