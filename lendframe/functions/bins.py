@@ -17,7 +17,7 @@ def bin_index(value: Column, edges: Column) -> Column:
 
 def uniform_bin(value: Column, n_bins: int) -> Column:
     """Equal-width bin of a value in [0, 1]; 1.0 falls in the last bin."""
-    edges = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+    edges = F.array(*[F.lit(i * (1.0 / n_bins)) for i in range(1, n_bins)])
     return bin_index(value, edges)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +30,14 @@ POISSON1 = [0.36787944, 0.73575888, 0.91969860, 0.98101184,
             0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) count from a uniform draw by inverting the distribution."""
-    out = F.lit(len(POISSON1))
-    for k in reversed(range(len(POISSON1))):
-        out = F.when(u < POISSON1[k], F.lit(k)).otherwise(out)
+def poisson1(hex8: Column) -> Column:
+    """Poisson(1) count from 8 hex digits read as a uniform draw.
+
+    The digits are compared as text with the cumulative probabilities in hex, which gives the same
+    order as the numbers and needs no conversion per row.
+    """
+    steps = [f"{math.ceil(c * HEX32):08x}" for c in POISSON1]
+    out = F.lit(len(steps))
+    for k in reversed(range(len(steps))):
+        out = F.when(hex8 < steps[k], F.lit(k)).otherwise(out)
     return out

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lendframe.functions.hashing import seeded_hash
 from lendframe.session import width
@@ -40,17 +41,19 @@ def _key_bounds(df: DataFrame, keys: list[str], column: str, buckets: int) -> Da
     shares = [i / buckets for i in range(1, buckets)]
     rows = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(column).cast("double"), shares, ACCURACY).alias("_edges")).collect()
-    schema = df.select(*keys).schema.add("_edges", "array<double>")
+    schema = df.select(*keys).schema.add("_edges", ArrayType(DoubleType()))
     data = [(*[r[k] for k in keys], sorted(set(r["_edges"] or []))) for r in rows]
     return df.sparkSession.createDataFrame(data, schema)
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-                   descending: bool = False, bounds_by: Sequence[str] = ()) -> DataFrame:
+                   descending: bool = False, bounds_by: Sequence[str] = (),
+                   bounds: list[float] | None = None) -> DataFrame:
     """Adds ``cum_<s>`` (this row included) and ``all_<s>`` for every column in ``sums``.
 
     Rows must be distinct on (by, order) and ``order`` must not be NULL. ``bounds_by`` names the
-    few-valued key (a column name) whose values live on different scales.
+    few-valued key (a column name) whose values live on different scales. ``bounds`` are bucket
+    edges already known from a cheaper table with the same range.
     """
     buckets = width(df.sparkSession)
     by = list(by)
@@ -61,7 +64,8 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
                     "_edges", lambda e: e <= F.col(order).cast("double"))))
                 .drop("_edges"))
     else:
-        work = with_bucket(df, order, range_bounds(df, order, buckets), "_bucket")
+        edges = range_bounds(df, order, buckets) if bounds is None else bounds
+        work = with_bucket(df, order, edges, "_bucket")
 
     first = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     across = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

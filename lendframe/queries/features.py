@@ -367,3 +367,43 @@ add("jn_1_attach_previous", "i:TARGET,is_test,PREV_HAS_HISTORY " + PREV_SPEC, pr
         prev.* EXCLUDE (SK_ID_CURR) REPLACE ({', '.join(f'coalesce(prev.{c}, 0) AS {c}' for c in previous.COUNTS)})
         FROM application a LEFT JOIN prev ON prev.SK_ID_CURR = a.SK_ID_CURR""",
     views=["application", "previous_application"], ctes=PREV_SQL)
+
+
+def ablation_columns(spark, sf_dir):
+    """Features of two source tables only, as an ablation step would train on."""
+    df = features(spark, sf_dir)
+    return df.select("SK_ID_CURR", *feature_table.family_columns(df.columns, ["PREV_", "CC_"]))
+
+
+add("prj_22_family_columns", " ".join([PREV_SPEC, _without_key(CC_SPEC), "i:PREV_HAS_HISTORY,CC_HAS_HISTORY",
+                                       "d:PREV_CURRENT_TO_MEAN_CREDIT"]), ablation_columns,
+    "SELECT * FROM features", views=ALL_VIEWS, ctes=FEATURES_SQL)
+_HISTORY = [c for spec in (BUR_SPEC, PREV_SPEC, INST_SPEC, POS_SPEC, CC_SPEC)
+            for part in spec.split() for c in part.split(":")[1].split(",") if c != "SK_ID_CURR"]
+
+
+def family_totals(spark, sf_dir):
+    """Columns, filled cells and positive cells of each source table."""
+    from pyspark.sql import functions as F
+    from lendframe.functions.text import family_of
+    from lendframe.operators.reshape import to_long
+    long = to_long(features(spark, sf_dir), _HISTORY)
+    per = long.groupBy("column").agg(F.count("value").alias("filled"),
+                                     F.count_if(F.col("value") > 1e-9).alias("positive"))
+    return per.groupBy(family_of(F.col("column")).alias("family")).agg(
+        F.count("*").alias("columns"), F.sum("filled").alias("filled"), F.sum("positive").alias("positive"))
+
+
+def _family_sql() -> str:
+    from lendframe.functions.text import FAMILIES
+    parts = []
+    for prefix, name in FAMILIES.items():
+        cols = [c for c in _HISTORY if c.startswith(prefix)]
+        if cols:
+            parts.append(f"""SELECT '{name}' AS family, {len(cols)} AS columns, {' + '.join(f'count({c})' for c in cols)} AS filled,
+              {' + '.join(f'count(*) FILTER ({c} > 1e-9)' for c in cols)} AS positive FROM features""")
+    return " UNION ALL ".join(parts)
+
+
+add("agg_14_family_totals", "s:family i:columns,filled,positive", family_totals, _family_sql(),
+    views=ALL_VIEWS, ctes=FEATURES_SQL)

@@ -15,7 +15,8 @@ HALF = 0.5007123
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["features"]
+MODULES = ["features", "rows", "relations", "sampling", "metrics", "decisions", "fairness", "drift",
+           "profiles"]
 
 
 def _parts(spec: str) -> list[tuple[str, str]]:
