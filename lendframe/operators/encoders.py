@@ -39,9 +39,12 @@ def clip(value: Column, caps: tuple | None) -> Column:
 
 def fit_imputer(df: DataFrame, cols: Sequence[str]) -> dict:
     """{column: (median, had missing values)}"""
-    medians = fitted_quantiles(df, cols, [0.5])
+    return _fills(df, cols, {c: q[0] for c, q in fitted_quantiles(df, cols, [0.5]).items()})
+
+
+def _fills(df: DataFrame, cols: Sequence[str], medians: dict) -> dict:
     holes = df.agg(*[F.max(F.isnull(c).cast("int")).alias(c) for c in cols]).first()
-    return {c: (medians[c][0] if c in medians else 0.0, bool(holes[c])) for c in cols}
+    return {c: (medians.get(c, 0.0), bool(holes[c])) for c in cols}
 
 
 def fit_scaler(df: DataFrame, exprs: dict[str, Column]) -> dict:
@@ -110,8 +113,9 @@ def target_encode(df: DataFrame, key: str, column: str, label: str, n_folds: int
 def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], small: Sequence[str],
                large: Sequence[str] = (), smoothing: float = 10.0) -> dict:
     """Everything the linear preprocessor learned, as plain numbers."""
-    caps = fit_clipper(df, numeric)
-    fill = fit_imputer(df, numeric)
+    cuts = fitted_quantiles(df, numeric, [0.001, 0.5, 0.999])  # one pass for caps and medians
+    caps = {c: (q[0], q[2]) for c, q in cuts.items()}
+    fill = _fills(df, numeric, {c: q[1] for c, q in cuts.items()})
     filled = {c: F.coalesce(clip(F.col(c).cast("double"), caps.get(c)), F.lit(fill[c][0])) for c in numeric}
     flags = {f"{c}_missing": F.isnull(c).cast("double") for c in numeric if fill[c][1]}
     means = {}
