@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def sigmoid(z: Column) -> Column:
-    small = F.exp(-F.abs(z))
-    return F.when(z >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+    """exp(-z) may reach infinity, which gives 0; z is named once so that plans stay short."""
+    return 1 / (1 + F.exp(-z))
 
 
 def log_one_plus_exp(z: Column) -> Column:

@@ -38,7 +38,7 @@ def replicates(df: DataFrame, key: str, n_boot: int, seed=42) -> DataFrame:
 
 def _bounds(df: DataFrame, p: str) -> list[float]:
     """Score buckets from the rows themselves, before they are multiplied by the replicates."""
-    return range_bounds(df, p, width(df.sparkSession))
+    return range_bounds(df, p, width(df.sparkSession)) or []
 
 
 def _ends(ci: float) -> list[float]:

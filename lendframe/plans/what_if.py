@@ -11,6 +11,7 @@ from lendframe.functions.text import format_value
 from lendframe.operators.conformal import decide
 from lendframe.plans.application import KEYS, NO_DATE, YEAR, application_features
 from lendframe.plans.feature_table import cross_ratios
+from lendframe.session import durable
 
 # Changeable fields with their input column and allowed range (low excluded for money)
 FIELDS = {
@@ -153,14 +154,16 @@ def counterfactuals(raw: DataFrame, stored: DataFrame, score: Callable[[DataFram
                     targets: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
     """Smallest change per option for every applicant in ``targets`` (key, target).
 
-    All options and factors are scored in one job.
+    All options and factors are scored in one job. The targets are used three times and come from
+    a scoring run of their own, so they are written down first.
     """
+    targets = durable(targets)
     current = profile_values(raw.join(targets.select(key), on=key, how="left_semi"), key)
     changes = counterfactual_changes(current, key)
     extra = ["option", "step", "factor"]
     rows = rebuilt_features(overlay(raw, changes, key), stored, key, extra)
     scored = score(rows).select(key, *extra, "p")
-    base = score(stored.join(targets, on=key)).select(key, F.col("p").alias("p_before"), "target")
+    base = score(stored.drop("TARGET", "is_test").join(targets, on=key)).select(key, F.col("p").alias("p_before"), "target")
     return smallest_changes(scored, base, key)
 
 

@@ -49,7 +49,7 @@ def _mixture(s, d):
     rows = points(s, d).persist()
     n = rows.count()
     out = []
-    for k in (1, 2):
+    for k in (2, 3):
         model = clusters.gaussian_mixture(rows, k, max_iter=30)
         out.append((k, float(model.summary.logLikelihood), clusters.bic(model, n, DIMS)))
     return s.createDataFrame(out, "k int, log_likelihood double, bic double")

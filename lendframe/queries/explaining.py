@@ -199,7 +199,7 @@ def _decided(s, d):
 _LOGIT = " + ".join([f"{BASE}e0"] + [f"coalesce({b!r}e0 * ({c} - {m!r}e0), 0)".replace("0.0002e0", "2e-4").replace("0.0001e0", "1e-4")
                                    for c, (b, m) in LINEAR.items()])
 _DECISION = """CASE WHEN p <= 0.45e0 AND NOT 1 - p <= 0.8e0 THEN 'approve' WHEN 1 - p <= 0.8e0 AND NOT p <= 0.45e0 THEN 'decline' ELSE 'refer' END"""
-add("ex_9_batch_scores", "i:SK_ID_CURR d:p,times_average s:outcome,money_rule", _decided,
+add("ex_9_batch_scores", "i:SK_ID_CURR d:p d3:times_average s:outcome,money_rule", _decided,
     f"""SELECT SK_ID_CURR, p, p / 0.0807e0 AS times_average, {_DECISION} AS outcome,
         CASE WHEN p < 0.35e0 THEN 'approve' ELSE 'decline' END AS money_rule
         FROM (SELECT SK_ID_CURR, 1 / (1 + exp(-({_LOGIT}))) AS p FROM app)""", (),
@@ -231,14 +231,14 @@ def _factor_sql() -> str:
     income = f"({b['APP_AMT_INCOME_TOTAL']:.1e} * AMT_INCOME_TOTAL * (f - 1) + {b['APP_CREDIT_TO_INCOME']}e0 * AMT_CREDIT / AMT_INCOME_TOTAL * (1 / f - 1))"
     lf = ", ".join(f"{x}e0" for x in what_if.OPTIONS["smaller loan"][1])
     hf = ", ".join(f"{x}e0" for x in what_if.OPTIONS["higher income"][1])
-    return f"""base AS (SELECT a.*, ln(p / (1 - p)) AS z, p AS p_before, CASE outcome WHEN 'decline' THEN 0.45e0 WHEN 'refer' THEN 0.2e0 END AS target
+    return f"""base AS (SELECT a.*, ln(p / (1 - p)) AS z, p AS p_before, CASE outcome WHEN 'decline' THEN 0.45e0 WHEN 'refer' THEN 0.2e0 END AS cut
       FROM application a JOIN scored USING (SK_ID_CURR) WHERE outcome <> 'approve'),
-    tried AS (SELECT SK_ID_CURR, 'smaller loan' AS option, f, row_number() OVER () AS step, target, p_before, 1 / (1 + exp(-(z + {loan}))) AS p
+    tried AS (SELECT SK_ID_CURR, 'smaller loan' AS option, f, row_number() OVER () AS step, cut, p_before, 1 / (1 + exp(-(z + {loan}))) AS p
         FROM base, (SELECT unnest([{lf}]) AS f) WHERE AMT_ANNUITY IS NOT NULL AND AMT_INCOME_TOTAL IS NOT NULL
-      UNION ALL SELECT SK_ID_CURR, 'higher income', f, 0, target, p_before, 1 / (1 + exp(-(z + {income})))
+      UNION ALL SELECT SK_ID_CURR, 'higher income', f, 0, cut, p_before, 1 / (1 + exp(-(z + {income})))
         FROM base, (SELECT unnest([{hf}]) AS f) WHERE AMT_INCOME_TOTAL > 0),
-    found AS (SELECT SK_ID_CURR, option, CASE WHEN option = 'smaller loan' THEN max(f) FILTER (p < target) ELSE min(f) FILTER (p < target) END AS factor,
-      max(p_before) AS p_before FROM tried WHERE p_before >= target GROUP BY 1, 2)"""
+    found AS (SELECT SK_ID_CURR, option, CASE WHEN option = 'smaller loan' THEN max(f) FILTER (p < cut) ELSE min(f) FILTER (p < cut) END AS factor,
+      max(p_before) AS p_before FROM tried WHERE p_before >= cut GROUP BY 1, 2)"""
 
 
 add("ex_10_counterfactuals", "i:SK_ID_CURR s:option d:factor,p_before", _counterfactuals, "SELECT * FROM found", APP,
@@ -257,8 +257,8 @@ def _profile(s, d):
 add("ex_13_profile", "i:SK_ID_CURR,cards s:contract,goods d2:income d1:age_years,years_employed d:ext_source_1", _profile,
     """SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR IN (SELECT user_id FROM events) THEN 1 ELSE 0 END AS cards, NAME_CONTRACT_TYPE AS contract,
        CASE WHEN AMT_GOODS_PRICE IS NULL THEN 'missing' WHEN AMT_GOODS_PRICE >= 1000 THEN format('{:,}', CAST(AMT_GOODS_PRICE AS BIGINT))
-         ELSE CAST(CAST(AMT_GOODS_PRICE AS BIGINT) AS VARCHAR) END AS goods, AMT_INCOME_TOTAL AS income, -DAYS_BIRTH / 365.25e0 AS age_years,
-       -nullif(DAYS_EMPLOYED, 365243) / 365.25e0 AS years_employed, EXT_SOURCE_1 AS ext_source_1 FROM application""", APP)
+         ELSE CAST(CAST(AMT_GOODS_PRICE AS BIGINT) AS VARCHAR) END AS goods, AMT_INCOME_TOTAL AS income, round(-DAYS_BIRTH / 365.25e0, 1) AS age_years,
+       round(-nullif(DAYS_EMPLOYED, 365243) / 365.25e0, 1) AS years_employed, EXT_SOURCE_1 AS ext_source_1 FROM application""", APP)
 
 
 def _scenario(s, d):
