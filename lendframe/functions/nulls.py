@@ -41,3 +41,12 @@ def sum0(value: Column) -> Column:
 
 def null_count(cols: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.isnull(F.col(c)).cast("int") for c in cols])
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson correlation over rows with both values, NULL when one is constant.
+
+    corr() raises a division by zero on a constant column under ANSI rules.
+    """
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendframe.functions.nulls import safe_corr
 from lendframe.functions.text import family_of, feature_label, format_value, reason_sentence
 
 
@@ -141,7 +142,7 @@ def rank_correlation(table: DataFrame, a: str, b: str) -> DataFrame:
         first = F.rank().over(everyone.orderBy(c))
         return first + (F.count("*").over(Window.partitionBy(F.col(c))) - 1) / 2.0
     ranks = table.select(mean_rank(a).alias("ra"), mean_rank(b).alias("rb"))
-    return ranks.agg(F.corr("ra", "rb").alias("rho"))
+    return ranks.agg(safe_corr(F.col("ra"), F.col("rb")).alias("rho"))
 
 
 def permuted(df: DataFrame, key: str, column: str, repeat: int = 0, seed=42) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.functions.nulls import sdiv
+from lendframe.functions.nulls import safe_corr, sdiv
 from lendframe.operators.quantiles import exact_quantiles
 from lendframe.operators.ranking import running_totals
 from lendframe.operators.reshape import to_long
@@ -133,7 +133,7 @@ def spearman_with_label(df: DataFrame, cols: Sequence[str], label: str) -> DataF
 def correlated_pairs(df: DataFrame, cols: Sequence[str], limit: float = 0.9) -> DataFrame:
     """Column pairs whose absolute Pearson correlation is above the limit; one aggregate."""
     pairs = list(combinations(cols, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r"))
                      for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(rows)).where(F.abs("r") > limit)
