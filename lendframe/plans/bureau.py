@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.nulls import clip0, flag, null_clean, only_if, sdiv
-from lendframe.operators.latest import latest_of
 
 # Input columns and loan type names
 BUREAU_COLUMNS = [
@@ -26,7 +25,8 @@ LONGEST_DAYS = 50 * YEAR
 
 def monthly_status(balance: DataFrame) -> DataFrame:
     """One row per external loan. Levels 0..5 are days-late classes; C and X carry no level."""
-    level = F.expr("try_cast(STATUS AS INT)")
+    # try_cast works by catching an exception per bad value, so the two known letters skip it
+    level = F.when(~F.col("STATUS").isin("C", "X"), F.col("STATUS").try_cast("int"))
     late = flag(level >= 1)
     closed, unknown = flag(F.col("STATUS") == "C"), flag(F.col("STATUS") == "X")
     month = F.col("MONTHS_BALANCE")
@@ -39,13 +39,15 @@ def monthly_status(balance: DataFrame) -> DataFrame:
         F.sum(only_if(flag(month >= -12) == 1, late)).alias("_recent"),
         F.avg(unknown).alias("BB_UNKNOWN_SHARE"),
         F.count(level).alias("_known"),
-        latest_of([late.alias("late"), closed.alias("closed")],
-                  [month, closed, late]).alias("_last")))
+        # month, closed and late in one whole number, so the latest row is a plain max and the
+        # largest table aggregates by hashing instead of sorting
+        F.max(month.cast("bigint") * 4 + closed * 2 + late).alias("_last")))
     return per_loan.select(
         "SK_ID_BUREAU", "BB_MONTHS", "BB_HISTORY_MONTHS", "BB_WORST_STATUS", "BB_LATE_MONTHS",
         F.coalesce("_recent", F.lit(0)).alias("BB_LATE_12M"), "BB_UNKNOWN_SHARE",
         sdiv(F.col("BB_LATE_MONTHS"), F.col("_known")).alias("BB_LATE_SHARE"),
-        F.col("_last.late").alias("BB_LATEST_LATE"), F.col("_last.closed").alias("BB_LATEST_CLOSED"))
+        F.pmod("_last", F.lit(2)).cast("int").alias("BB_LATEST_LATE"),
+        F.floor(F.pmod("_last", F.lit(4)) / 2).cast("int").alias("BB_LATEST_CLOSED"))
 
 
 def clean_loans(bureau: DataFrame) -> DataFrame:
