@@ -19,6 +19,7 @@ from lendframe.functions.stable import sigmoid
 from lendframe.models.learners import platt
 from lendframe.operators import metrics
 from lendframe.operators.stats_tests import five_by_two
+from lendframe.operators.joins import beside
 
 
 def out_of_fold(make: Callable, df: DataFrame, label: str, fold: str = "fold",
@@ -63,8 +64,8 @@ def learning_curve(make: Callable, train: DataFrame, held: DataFrame, key: str,
         part = train.where(hash_uniform(F.col(key), "curve") < s)
         fitted = make().fit(part, label)
         row = (metrics.rank_metrics(fitted.transform(part), label, "p").select(F.col("roc_auc").alias("train_auc"))
-               .crossJoin(F.broadcast(metrics.rank_metrics(fitted.transform(held), label, "p")
-                                      .select(F.col("roc_auc").alias("held_auc"))))
+               .transform(beside, metrics.rank_metrics(fitted.transform(held), label, "p")
+                                      .select(F.col("roc_auc").alias("held_auc")))
                .withColumn("share", F.lit(float(s))))
         out = row if out is None else out.unionByName(row)
     return out

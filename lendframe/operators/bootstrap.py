@@ -16,6 +16,7 @@ from lendframe.functions.hashing import poisson1, seeded_hash
 from lendframe.operators.metrics import auc_metric
 from lendframe.operators.ranking import range_bounds
 from lendframe.session import width
+from lendframe.operators.joins import beside
 
 Metric = Callable[..., DataFrame]
 
@@ -54,7 +55,7 @@ def bootstrap_ci(df: DataFrame, key: str, y: str, p: str, metric: Metric = auc_m
     spread = (stats.where("value IS NOT NULL")  # at most n_boot numbers
               .agg(F.percentile("value", _ends(ci)).alias("q"), F.count("*").alias("n_boot")))
     point = metric(small, y, p).select(F.col("value").alias("estimate"))
-    return point.crossJoin(F.broadcast(spread)).select(
+    return point.transform(beside, spread).select(
         "estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n_boot")
 
 
@@ -73,9 +74,9 @@ def paired_bootstrap(df: DataFrame, key: str, y: str, a: str, b: str, metric: Me
                       F.avg((F.col("d") <= 0).cast("double")).alias("below"),
                       F.avg((F.col("d") >= 0).cast("double")).alias("above"))
     point = (metric(small, y, a).select(F.col("value").alias("va"))
-             .crossJoin(F.broadcast(metric(small, y, b).select(F.col("value").alias("vb")))))
+             .transform(beside, metric(small, y, b).select(F.col("value").alias("vb"))))
     low, high = F.col("q")[0], F.col("q")[1]
-    return point.crossJoin(F.broadcast(spread)).select(
+    return point.transform(beside, spread).select(
         (F.col("va") - F.col("vb")).alias("difference"), low.alias("low"), high.alias("high"),
         F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p_value"),
         ((low > 0) | (high < 0)).cast("int").alias("significant"))

@@ -15,6 +15,7 @@ from lendframe.functions.nulls import sdiv
 from lendframe.functions.text import feature_label
 from lendframe.models.arrays import squared_distance
 from lendframe.operators.metrics import rank_metrics
+from lendframe.operators.joins import beside
 
 
 def with_features(df: DataFrame, v: str = "v") -> DataFrame:
@@ -116,7 +117,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     both = cells.agg(_pairs(n).alias("together"), F.sum("n").alias("rows"))
     left = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(_pairs(n).alias("in_a"))
     right = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(_pairs(n).alias("in_b"))
-    c = both.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(right))  # one row each
+    c = both.transform(beside, left).transform(beside, right)  # one row each
     chance = F.col("in_a") * F.col("in_b") / (F.col("rows") * (F.col("rows") - 1) / 2.0)
     return c.select(F.coalesce(sdiv(F.col("together") - chance, (F.col("in_a") + F.col("in_b")) / 2.0 - chance),
                                F.lit(1.0)).alias("ari"))
@@ -128,7 +129,7 @@ def cluster_rates(df: DataFrame, y: str, cluster: str = "cluster", min_rows: int
     ends = per.where((F.col(cluster) != noise) & (F.col("n") >= min_rows)).agg(
         F.min("rate").alias("lowest"), F.max("rate").alias("highest"))
     auc = rank_metrics(df.join(per, on=cluster), y, "rate").select("roc_auc")
-    return ends.crossJoin(F.broadcast(auc))
+    return ends.transform(beside, auc)
 
 
 def segment_profile(df: DataFrame, fields: Sequence[str], cluster: str = "cluster") -> DataFrame:

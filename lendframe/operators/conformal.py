@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.operators.ranking import running_totals
+from lendframe.operators.joins import beside
 
 
 def cutoffs(df: DataFrame, score: Column, alphas: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +72,7 @@ def outcome_rates(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
 def alpha_sweep(fit: DataFrame, held: DataFrame, y: str, p: str, alphas: Sequence[float]) -> DataFrame:
     """Cut-offs from ``fit``, outcome rates on ``held`` for each alpha (a short list)."""
     table = class_cutoffs(fit, y, p, alphas)
-    return outcome_rates(held.crossJoin(F.broadcast(table)), y, p,
+    return outcome_rates(held.transform(beside, table), y, p,
                          by=["alpha", "q_repay", "q_default"])
 
 
@@ -81,7 +82,7 @@ def cross_with_money_rule(df: DataFrame, y: str, p: str, threshold: float) -> Da
     money = F.when(F.col(p) < threshold, "approve").otherwise("decline").alias("money_rule")
     cells = df.groupBy(conformal, money).agg(F.count("*").alias("n"), F.avg(y).alias("default_rate"))
     total = df.agg(F.count("*").alias("_all"))
-    return (cells.crossJoin(F.broadcast(total))
+    return (cells.transform(beside, total)
             .select("conformal", "money_rule", "n", (F.col("n") / F.col("_all")).alias("share"),
                     "default_rate"))
 

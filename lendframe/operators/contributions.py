@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.nulls import safe_corr
 from lendframe.functions.text import family_of, feature_label, format_value, reason_sentence
+from lendframe.operators.joins import beside
 
 
 def linear_contributions(columns: dict[str, Column], coefficients: Sequence[float],
@@ -167,7 +168,7 @@ def permutation_importance(fitted, df: DataFrame, key: str, label: str, columns:
             parts = scored if parts is None else parts.unionByName(scored)
     drops = rank_metrics(parts, label, "p", by=["feature", "repeat"])
     base = rank_metrics(fitted.transform(df), label, "p").select(F.col("roc_auc").alias("base"))
-    return (drops.crossJoin(F.broadcast(base)).groupBy("feature")
+    return (drops.transform(beside, base).groupBy("feature")
             .agg(F.avg(F.col("base") - F.col("roc_auc")).alias("importance")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.operators.ranking import with_bucket
+from lendframe.operators.joins import beside
 
 
 def break_even_threshold(margin: float, lgd: float) -> float:
@@ -39,7 +40,7 @@ def totals_below(df: DataFrame, p: str, grid: Sequence[float], sums: dict[str, C
             .agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]))
     steps = df.sparkSession.createDataFrame(list(enumerate(grid)), "_i int, threshold double")
     groups = gaps.groupBy(*by).agg(*[F.sum(f"_s_{n}").alias(f"all_{n}") for n in sums])
-    frame = groups.crossJoin(F.broadcast(steps))  # groups x grid
+    frame = groups.transform(beside, steps)  # groups x grid
     inside = gaps.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_gap", *[f"_s_{n}" for n in sums])
     match = F.col("_i") == F.col("_gap")
     for b in by:

@@ -15,6 +15,9 @@ from lendframe.operators.profiling import distinct_counts
 from lendframe.operators.quantiles import fitted_quantiles
 from lendframe.operators.reshape import to_long
 from lendframe.operators.splits import hash_fold
+from lendframe.operators.joins import beside
+
+MAX_LEVELS = 20000
 
 
 def column_groups(df: DataFrame, max_onehot: int = 10) -> DataFrame:
@@ -56,9 +59,20 @@ def fit_scaler(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return {n: (row[f"m_{n}"] or 0.0, row[f"s_{n}"] or 1.0) for n in exprs}
 
 
+def _few(table: DataFrame) -> list:
+    """Rows of a level table that becomes part of an expression; a longer one is an error.
+
+    A column with more levels belongs in target_encode, which looks its levels up with a join.
+    """
+    rows = table.limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels")
+    return rows
+
+
 def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict:
     """{column: sorted levels, None first when missing values occur}"""
-    pairs = to_long(df, cols, kind="string").distinct().collect()
+    pairs = _few(to_long(df, cols, kind="string").distinct())
     out: dict = {c: [] for c in cols}
     for r in pairs:
         out[r["column"]].append(r["value"])
@@ -83,7 +97,7 @@ def target_means(df: DataFrame, column: str, label: str, smoothing: float = 10.0
     """Label mean per level, shrunk to the overall mean by ``smoothing`` extra rows."""
     total = df.agg(F.avg(label).alias("_all"))
     return (df.groupBy(column).agg(F.sum(label).alias("_s"), F.count("*").alias("_n"))
-            .crossJoin(F.broadcast(total))  # one row
+            .transform(beside, total)  # one row
             .select(column, ((F.col("_s") + smoothing * F.col("_all")) / (F.col("_n") + smoothing)).alias("mean"),
                     "_all"))
 
@@ -102,7 +116,7 @@ def target_encode(df: DataFrame, key: str, column: str, label: str, n_folds: int
     total = own.agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     prior = (F.col("_ts") - F.col("_fs")) / (F.col("_tn") - F.col("_fn"))
     table = (own.join(level, own[column].eqNullSafe(level[column])).drop(level[column])
-             .join(F.broadcast(fold), on="_fold").crossJoin(F.broadcast(total))
+             .join(F.broadcast(fold), on="_fold").transform(beside, total)
              .select(F.col(column).alias("_level"), F.col("_fold").alias("_f"),
                      ((F.col("_ls") - F.col("_s") + smoothing * prior)
                       / (F.col("_ln") - F.col("_n") + smoothing)).alias("encoded")))
@@ -120,7 +134,7 @@ def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], smal
     flags = {f"{c}_missing": F.isnull(c).cast("double") for c in numeric if fill[c][1]}
     means = {}
     for c in large:
-        rows = target_means(df, c, label, smoothing).collect()  # one row per level
+        rows = _few(target_means(df, c, label, smoothing))
         means[c] = ({r[c]: r["mean"] for r in rows}, rows[0]["_all"] if rows else 0.0)
     encoded = {c: _mean_column(F.col(c), *means[c]) for c in large}
     return {"caps": caps, "fill": fill, "means": means, "levels": fit_levels(df, small) if small else {},

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def beside(df: DataFrame, few: DataFrame) -> DataFrame:
+    """Puts a table of a few rows (one row of totals, or a short list of settings) next to every row.
+
+    Only for tables whose size does not depend on the data; they are broadcast.
+    """
+    return df.crossJoin(F.broadcast(few))
+
+
 def attach(base: DataFrame, part: DataFrame, count_cols: Sequence[str], flag_name: str,
            key: str = "SK_ID_CURR") -> DataFrame:
     """Left join of one table's features: counts get 0 and the flag tells who had rows.

@@ -15,6 +15,7 @@ from lendframe.functions.bins import bin_index, uniform_bin
 from lendframe.functions.nulls import sdiv
 from lendframe.operators.quantiles import exact_quantiles
 from lendframe.operators.ranking import running_totals
+from lendframe.operators.joins import beside
 
 
 def _weight(weight: str | None) -> Column:
@@ -76,7 +77,7 @@ def probability_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
 
 def _with_group_row(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds per-group values; without groups ``other`` is a single row."""
-    return df.join(other, on=list(by), how="left") if by else df.crossJoin(F.broadcast(other))
+    return df.join(other, on=list(by), how="left") if by else df.transform(beside, other)
 
 
 def calibration_bins(df: DataFrame, y: str, p: str, n_bins: int = 10, strategy: str = "uniform",
@@ -124,7 +125,7 @@ def evaluate(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame
              calibration_error(df, y, p, by=by)]
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, on=by) if by else out.crossJoin(F.broadcast(part))
+        out = out.join(part, on=by) if by else out.transform(beside, part)
     return out
 
 

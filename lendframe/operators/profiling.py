@@ -12,6 +12,7 @@ from lendframe.functions.nulls import safe_corr, sdiv
 from lendframe.operators.quantiles import exact_quantiles
 from lendframe.operators.ranking import running_totals
 from lendframe.operators.reshape import to_long
+from lendframe.operators.joins import beside
 
 SENTINEL = 365243
 
@@ -68,7 +69,7 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Rows and share of each value, NULL included."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("_all"))
-    return (counts.crossJoin(F.broadcast(total))  # one row
+    return (counts.transform(beside, total)  # one row
             .select("value", "n", (F.col("n") / F.col("_all")).alias("share")))
 
 
@@ -166,5 +167,5 @@ def cross_shares(df: DataFrame, rows: str, cols: str, values: Sequence[str]) ->
     """Cross-tab as shares of all rows."""
     total = df.agg(F.count("*").alias("_all"))
     wide = df.groupBy(rows).pivot(cols, list(values)).count()
-    return wide.crossJoin(F.broadcast(total)).select(
+    return wide.transform(beside, total).select(
         rows, *[(F.coalesce(F.col(f"`{v}`"), F.lit(0)) / F.col("_all")).alias(v) for v in values])

@@ -18,6 +18,7 @@ from lendframe.functions.hashing import seeded_hash
 from lendframe.session import width
 
 ACCURACY = 10000
+BLOCK = 64
 FEW_ROWS = 8192  # a table counted to have no more rows is ordered by one window
 
 
@@ -49,8 +50,13 @@ def _key_bounds(df: DataFrame, keys: list[str], column: str, buckets: int) -> Da
         F.percentile_approx(F.col(column).cast("double"), shares, ACCURACY).alias("_edges")).collect()
     if sum(r["_n"] for r in rows) <= FEW_ROWS:
         return None
-    schema = df.select(*keys).schema.add("_edges", ArrayType(DoubleType()))
-    data = [(*[r[k] for k in keys], sorted(set(r["_edges"] or []))) for r in rows]
+    schema = (df.select(*keys).schema.add("_edges", ArrayType(DoubleType()))
+              .add("_marks", ArrayType(DoubleType())))
+    data = []
+    for r in rows:
+        edges = sorted(set(r["_edges"] or []))
+        # every BLOCK-th edge: a value is placed among these first, then inside one block
+        data.append((*[r[k] for k in keys], edges, edges[BLOCK - 1::BLOCK]))
     return df.sparkSession.createDataFrame(data, schema)
 
 
@@ -75,13 +81,15 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
     buckets = width(df.sparkSession)
     by = list(by)
     if bounds_by:
-        edges = _key_bounds(df, list(bounds_by), order, min(buckets, 64))
+        edges = _key_bounds(df, list(bounds_by), order, buckets)
         if edges is None:
             return _plain_totals(df, order, sums, by, descending)
         work = (df.join(F.broadcast(edges), on=list(bounds_by))
-                .withColumn("_bucket", F.size(F.filter(
-                    "_edges", lambda e: e <= F.col(order).cast("double"))))
-                .drop("_edges"))
+                .withColumn("_block", F.size(F.filter("_marks", lambda e: e <= F.col(order).cast("double"))))
+                .withColumn("_bucket", F.col("_block") * BLOCK + F.size(F.filter(
+                    F.slice("_edges", F.col("_block") * BLOCK + 1, F.lit(BLOCK)),
+                    lambda e: e <= F.col(order).cast("double"))))
+                .drop("_edges", "_marks", "_block"))
     else:
         edges = range_bounds(df, order, buckets) if bounds is None else bounds
         if edges is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.hashing import hash_uniform, hex_int, seeded_hash
 from lendframe.operators.ranking import hash_rank
+from lendframe.operators.joins import beside
 
 
 def _cut(rows: Column, share: float) -> Column:
@@ -40,7 +41,7 @@ def summarize(splits: DataFrame, by: str = "split", label: str = "TARGET",
     counts = splits.groupBy(by).agg(F.count("*").alias("rows"),
                                     F.round(100 * F.avg(label), 2).alias("default_rate_pct"), *extra)
     total = splits.agg(F.count("*").alias("_all"))
-    return (counts.crossJoin(F.broadcast(total))  # one row
+    return (counts.transform(beside, total)  # one row
             .withColumn("share_pct", F.round(100 * F.col("rows") / F.col("_all"), 1)).drop("_all"))
 
 
@@ -66,7 +67,7 @@ def undersample(df: DataFrame, key: str, label: str, ratio: float = 0.5, seed=42
     ranked = hash_rank(df, key, by=[label], seed=seed)
     room = df.agg(F.floor(F.sum(F.col(label)) / F.lit(float(ratio))).alias("_room"))
     keep = (F.col(label) == 1) | (F.col("hash_rank") <= F.col("_room"))
-    return (ranked.crossJoin(F.broadcast(room)).where(keep)  # one row
+    return (ranked.transform(beside, room).where(keep)  # one row
             .drop("hash_rank", "group_rows", "_room"))
 
 

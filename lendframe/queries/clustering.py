@@ -13,6 +13,7 @@ from lendframe.queries.encoding import model_rows
 from lendframe.queries.explaining import long
 from lendframe.queries.modelling import DIMS, FEW, _wide, vectors
 from lendframe.queries.registry import add
+from lendframe.operators.joins import beside
 
 
 def points(s, d):
@@ -125,7 +126,7 @@ def _scree(s, d):
     auc = rank_metrics(rows.withColumn("d", next(iter(moments.lda_columns(lda).values()))), "y", "d").select("roc_auc")
     table = s.createDataFrame([(i + 1, float(x), float(sum(pca["share"][:i + 1]))) for i, x in enumerate(pca["share"])],
                               "component int, share double, cumulative double")
-    return table.crossJoin(F.broadcast(auc))
+    return table.transform(beside, auc)
 
 
 add("un_10_scree_and_direction", "i:component d6:share,cumulative,roc_auc", _scree)

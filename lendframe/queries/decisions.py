@@ -8,6 +8,7 @@ from lendframe.operators import conformal, decisions, splits
 from lendframe.plans.adapters import view
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import hash_sql
+from lendframe.operators.joins import beside
 
 MARGIN, LGD = 0.10, 0.50
 BREAK_EVEN = decisions.break_even_threshold(MARGIN, LGD)
@@ -125,7 +126,7 @@ RATES = "d6:coverage_repay,coverage_default,defaulters_approved,good_declined,sh
 
 def with_cuts(s, d):
     cuts = conformal.class_cutoffs(_part(s, d, "conformal"), "y", "p", [ALPHA])
-    return _part(s, d, "valid").crossJoin(F.broadcast(cuts))
+    return _part(s, d, "valid").transform(beside, cuts)
 
 
 add("dec_5_class_cutoffs", "d6:alpha,q_repay,q_default",
@@ -142,7 +143,7 @@ add("dec_7_coverage", RATES, lambda s, d: conformal.outcome_rates(with_cuts(s, d
 
 def _one_cut(s, d):
     cut = conformal.one_cutoff(_part(s, d, "conformal"), "y", "p", [ALPHA])
-    return conformal.outcome_rates(_part(s, d, "valid").crossJoin(F.broadcast(cut)), "y", "p",
+    return conformal.outcome_rates(_part(s, d, "valid").transform(beside, cut), "y", "p",
                                    by=["q_repay"])
 
 

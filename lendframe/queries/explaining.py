@@ -17,6 +17,7 @@ from lendframe.queries.features import (ALL_VIEWS, APP_SPEC, APP_SQL, FEATURES_S
 from lendframe.queries.modelling import FEW, halves
 from lendframe.queries.registry import add
 from lendframe.plans.adapters import duck_view
+from lendframe.operators.joins import beside
 
 APP = ["application"]
 # a fixed linear model: feature -> (coefficient, mean)
@@ -271,7 +272,7 @@ def _scenario(s, d):
     after = linear_score(what_if.rebuilt_features(what_if.overlay(rows, lower), stored)).select("SK_ID_CURR", "p")
     shift = drift.psi_table(before, after, numeric=["p"]).select("psi", "status")
     means = [df.agg(F.avg("p").alias(n)) for df, n in ((before, "p_before"), (after, "p_after"))]
-    return shift.crossJoin(F.broadcast(means[0])).crossJoin(F.broadcast(means[1]))
+    return shift.transform(beside, means[0]).transform(beside, means[1])
 
 
 _APP_AFTER = APP_SQL.replace("app_base AS", "app_base2 AS").replace("FROM app_base)", "FROM app_base2)").replace(

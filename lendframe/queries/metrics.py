@@ -11,6 +11,7 @@ from lendframe.plans.adapters import view
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import hash_sql, hex_sql
 from lendframe.functions.hashing import POISSON1
+from lendframe.operators.joins import beside
 
 
 def lines(s, d):
@@ -195,7 +196,7 @@ add("win_7_holm", "s:grp,sex d6:pv,adjusted", _group_p_values,
 def _blend(s, d):
     rows = scores(s, d).withColumn("blend", (F.col("p") + F.col("p2")) / 2)
     auc = m.rank_metrics(rows, "y", "blend").select("roc_auc")
-    return auc.crossJoin(F.broadcast(rows.agg(F.corr("p", "p2").alias("correlation"))))
+    return auc.transform(beside, rows.agg(F.corr("p", "p2").alias("correlation")))
 
 
 add("md_19_blend", "d6:roc_auc,correlation", _blend,

@@ -16,6 +16,7 @@ from lendframe.plans.adapters import raw, view
 from lendframe.queries.encoding import LABELLED, MODEL_INPUTS, model_rows
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import hash_sql, hex_sql
+from lendframe.operators.joins import beside
 
 APP = ["application"]
 FEW = learners.Inputs(["AMT_INCOME_TOTAL", "AMT_CREDIT", "EXT_SOURCE_1", "EXT_SOURCE_2"], ["NAME_EDUCATION_TYPE"])
@@ -221,9 +222,9 @@ add("ev_15_ablation", "s:model i:n d6:auc,auc_std,pr_auc,ks,brier", _ablation)
 add("ev_16_learning_curve", "d:share,train_auc,held_auc",
     lambda s, d: runner.learning_curve(lambda: learners.logistic_regression(FEW), *halves(s, d), "id", "y", [0.2, 0.5, 1.0]))
 add("tu_1_grid", "i:n,num_leaves,min_child_samples d:learning_rate", lambda s, d: raw(s, d, "region").agg(
-    F.count("*").alias("n")).crossJoin(F.broadcast(s.createDataFrame(
+    F.count("*").alias("n")).transform(beside, s.createDataFrame(
         [tuple(c[k] for k in ("learning_rate", "num_leaves", "min_child_samples")) for c in runner.grid_candidates()],
-        "learning_rate double, num_leaves int, min_child_samples int"))),
+        "learning_rate double, num_leaves int, min_child_samples int")),
     """SELECT (SELECT count(*) FROM region) AS n, learning_rate, num_leaves, min_child_samples FROM
        (SELECT unnest([0.02e0, 0.05e0, 0.1e0]) AS learning_rate), (SELECT unnest([16, 48, 128]) AS num_leaves),
        (SELECT unnest([30, 150, 500]) AS min_child_samples)""")
@@ -293,7 +294,7 @@ def _proxy(s, d):
     gains = fitted.model.stages[1].featureImportances.toArray()
     auc = metrics.rank_metrics(fitted.transform(held), "is_m", "p").select("roc_auc")
     table = s.createDataFrame([(n, float(g)) for n, g in zip(fitted.info["names"], gains)], "feature string, gain double")
-    return table.crossJoin(F.broadcast(auc)).orderBy(F.desc("gain"), "feature").limit(10)
+    return table.transform(beside, auc).orderBy(F.desc("gain"), "feature").limit(10)
 
 
 add("fa_7_proxy_test", "s:feature d:gain,roc_auc", _proxy)

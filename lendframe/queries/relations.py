@@ -17,6 +17,7 @@ from lendframe.plans import application, bureau, previous
 from lendframe.plans.adapters import raw, view
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import SPLIT_SQL, hash_sql
+from lendframe.operators.joins import beside
 
 APP = ["application"]
 
@@ -130,7 +131,7 @@ add("set_1_union_parts", "s:part i:rows",
 def _jaccard(s, d):
     rows = view(s, d, "scores")
     tops = [rows.orderBy(F.desc(c), "id").limit(200).agg(F.collect_list("id").alias(c)) for c in ("p", "p2")]
-    both = tops[0].crossJoin(F.broadcast(tops[1]))
+    both = tops[0].transform(beside, tops[1])
     shared, joined = F.size(F.array_intersect("p", "p2")), F.size(F.array_union("p", "p2"))
     return both.select(shared.alias("shared"), (shared / joined).alias("jaccard"))
 

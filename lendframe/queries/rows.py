@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendframe.functions import bins, nulls, rowwise, stable, text
+from lendframe.operators.joins import beside
 from lendframe.plans import application, bureau, feature_table, previous
 from lendframe.plans.adapters import raw, reader, view
 from lendframe.queries.registry import add
@@ -102,8 +103,8 @@ _RUN = """NAME_CONTRACT_STATUS = 'Approved' AND (coalesce(DAYS_TERMINATION = 365
   OR coalesce(DAYS_TERMINATION > 0, false) OR coalesce(DAYS_LAST_DUE > 0, false))"""
 add("prj_15_duplicate_filter", "i:all_rows,kept",
     lambda s, d: previous.prepared_applications(view(s, d, "previous_application"), False)
-    .agg(F.count("*").alias("all_rows")).crossJoin(
-        previous.prepared_applications(view(s, d, "previous_application")).agg(F.count("*").alias("kept"))),
+    .agg(F.count("*").alias("all_rows")).transform(
+        beside, previous.prepared_applications(view(s, d, "previous_application")).agg(F.count("*").alias("kept"))),
     """SELECT count(*) AS all_rows, count(*) FILTER (FLAG_LAST_APPL_PER_CONTRACT = 'Y' AND NFLAG_LAST_APPL_IN_DAY = 1) AS kept
        FROM previous_application""", ["previous_application"])
 add("prj_16_still_running", "i:SK_ID_PREV,running d:end_date",

@@ -240,3 +240,16 @@ def test_text(spark):
         "External credit scores (average)", "Credit bureau: max days past due", "other"]
     nums = spark.createDataFrame([(None,), (12345.6,), (7.0,), (0.12345,)], "v double")
     assert [r[0] for r in nums.select(format_value(F.col("v"))).collect()] == ["missing", "12,346", "7", "0.123"]
+
+
+def test_many_buckets_per_column(spark, monkeypatch):
+    """More edges than one search block holds."""
+    import numpy as np
+    monkeypatch.setattr(ranking, "FEW_ROWS", 0)
+    monkeypatch.setattr(ranking, "width", lambda s: 300)
+    rng = random.Random(9)
+    xs = [rng.gauss(0, 1) for _ in range(4000)]
+    df = spark.createDataFrame([(x, -x * 100) for x in xs], "a double, b double")
+    got = quantiles.fitted_quantiles(df, ["a", "b"], [0.1, 0.5, 0.77])
+    assert got["a"] == pytest.approx(list(np.quantile(xs, [0.1, 0.5, 0.77])))
+    assert got["b"] == pytest.approx(list(np.quantile([-100 * x for x in xs], [0.1, 0.5, 0.77])))
