@@ -17,6 +17,7 @@ from lendframe.queries.encoding import LABELLED, MODEL_INPUTS, model_rows
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import hash_sql, hex_sql
 from lendframe.operators.joins import beside
+from lendframe.session import fresh_folder
 
 APP = ["application"]
 FEW = learners.Inputs(["AMT_INCOME_TOTAL", "AMT_CREDIT", "EXT_SOURCE_1", "EXT_SOURCE_2"], ["NAME_EDUCATION_TYPE"])
@@ -257,10 +258,9 @@ add("tu_3_holdout_score", "d:auc i:trees", _holdout)
 
 
 def _search(s, d):
-    import tempfile
     rows = model_rows(s, d)
     score = runner.holdout_score(lambda p: learners.decision_tree(FEW, p["depth"], 20), rows, "y")
-    return runner.run_search(s, "grid", [{"depth": k} for k in (2, 4)], score, tempfile.mkdtemp(prefix="search-"))
+    return runner.run_search(s, "grid", [{"depth": k} for k in (2, 4)], score, fresh_folder(s, "search"))
 
 
 add("tu_4_search", "s:method i:trial d:auc,best_so_far", _search)
@@ -302,11 +302,10 @@ add("fa_7_proxy_test", "s:feature d:gain,roc_auc", _proxy)
 
 def _saved(s, d):
     """A model written, read back with its feature order, and scored."""
-    import tempfile
     from lendframe.models.store import load_model, save_model
     train, held = halves(s, d)
     fitted = learners.logistic_regression(FEW).fit(train, "y")
-    path = tempfile.mkdtemp(prefix="model-")
+    path = fresh_folder(s, "model")
     save_model(fitted, FEW, train, "y", path, {"description": "logistic regression"})
     return load_model(s, path).transform(held).select("id", "y", "p")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lendframe.operators.splits import make_splits
@@ -11,18 +9,14 @@ from lendframe.plans import application
 from lendframe.plans.adapters import raw, view
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import SPLIT_SQL, hash_sql
+from lendframe.session import fresh_folder
 from lendframe.sources import tables
 
 APP = ["application"]
 
 
 def folder(spark) -> str:
-    """A shared folder on a cluster (beside the checkpoints), a temporary one otherwise."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared}/tables-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="lendframe-tables-")
+    return fresh_folder(spark, "tables")
 
 
 def _csv(s, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,28 @@ def local_session(cpus: int | str = 8, app: str = "lendframe") -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session, so a lost executor costs no recompute.
+def shared_root(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets
-    a temporary folder; on a cluster a machine-local folder would not survive the machine.
+    Only a local session without one gets a temporary folder; on a cluster a machine-local folder
+    would not survive the machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return shared or tempfile.mkdtemp(prefix="lendframe-")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path for tables of one run, on storage every executor can reach."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder of the session, so a lost executor costs no recompute."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lendframe-checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
