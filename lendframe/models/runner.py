@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline

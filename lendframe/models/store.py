@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lendframe.models.learners import Inputs, Scored, second_class
 from lendframe.operators import encoders

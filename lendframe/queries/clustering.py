@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendframe.models import learners, moments
+from lendframe.models import moments
 from lendframe.operators import clusters
-from lendframe.operators import contributions as con
 from lendframe.operators.metrics import rank_metrics
-from lendframe.plans.adapters import raw, view
-from lendframe.queries.encoding import model_rows
+from lendframe.plans.adapters import view
 from lendframe.queries.explaining import long
-from lendframe.queries.modelling import DIMS, FEW, _wide, vectors
+from lendframe.queries.modelling import DIMS, _wide, vectors
 from lendframe.queries.registry import add
 from lendframe.operators.joins import beside
 

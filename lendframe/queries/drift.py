@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lendframe.operators import drift, profiling
-from lendframe.plans.adapters import raw, view
+from lendframe.operators import drift
+from lendframe.plans.adapters import raw
 from lendframe.queries.registry import add
 
 NUMERIC = ["o_totalprice", "gap", "score"]

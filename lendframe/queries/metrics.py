@@ -9,7 +9,6 @@ from lendframe.operators import bootstrap, stats_tests
 from lendframe.operators import metrics as m
 from lendframe.plans.adapters import view
 from lendframe.queries.registry import add
-from lendframe.queries.sampling import hash_sql, hex_sql
 from lendframe.functions.hashing import POISSON1
 from lendframe.operators.joins import beside
 

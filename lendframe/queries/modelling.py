@@ -7,7 +7,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from lendframe.functions.stable import sigmoid
 from lendframe.models import learners, moments, runner
 from lendframe.operators import encoders, metrics, neighbours, oversample
 from lendframe.operators.fairness import reweighing
