@@ -95,7 +95,8 @@ def _sets(shingle: int):
     return run
 
 
-def _tile(threshold: float, bands: int, rows: int, plan: list[tuple[int, int]]):
+def _tile(threshold: float, bands: int, rows: int, plan: list[tuple[int, int]], verify: bool):
+    """verify: count the links of a tile; else only say which of its classes have a pair left."""
     def run(key, table):
         band = key[0].as_py()
         table = table.combine_chunks()
@@ -103,7 +104,7 @@ def _tile(threshold: float, bands: int, rows: int, plan: list[tuple[int, int]]):
         own = key[2].as_py() == key[3].as_py()
         rid = table.column("rid").to_numpy()
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")] if verify else []
         left = np.flatnonzero(side == 0)
         right = left if own else np.flatnonzero(side == 1)
         links, root = np.zeros(len(rid), np.int64), np.arange(len(rid))
@@ -127,6 +128,10 @@ def _tile(threshold: float, bands: int, rows: int, plan: list[tuple[int, int]]):
                 others, same, done = others[stay], same[stay], n
             if not len(others):
                 continue
+            if not verify:
+                links[i] += 1
+                links[others] += 1
+                continue
             size = np.array([len(sets[j]) for j in others])
             flat = np.concatenate([sets[j] for j in others])
             spot = np.searchsorted(sets[i], flat)
@@ -140,6 +145,8 @@ def _tile(threshold: float, bands: int, rows: int, plan: list[tuple[int, int]]):
                 if a != b:
                     root[max(a, b)] = min(a, b)
         got = np.flatnonzero(links)
+        if not verify:
+            return table.select(["band", "key", "i", "j", "side", "rid"]).take(pa.array(got))
         return pa.table({"rid": pa.array(rid[got]), "to": pa.array(np.array([rid[top(x)] for x in got], np.int64)),
                          "links": pa.array(links[got])})
     return run
@@ -197,10 +204,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     source = written(reps.join(wanted, "rid").select("rid", "rep.*"), "candidates")
     text = docs_k.join(source, docs_k["doc_id"].eqNullSafe(source["doc_id"]) & (docs_k["th"] == source["th"])).select(
         "rid", docs_k["doc_id"], docs_k["th"], "text").dropDuplicates(["rid"])
-    sig = sigs.select(F.col("rid").alias("r2"), "sig").join(wanted, F.col("r2") == wanted["rid"]).select("r2", "sig").dropDuplicates(["r2"])
-    sets = mapped(text.join(sig, text["rid"] == sig["r2"]).select("rid", "sig", "text"), _sets(shingle),
-                  "rid long, sig array<int>, grams binary")
-    sets = written(sets, "sets")
+    sig = written(sigs.join(source.select(F.col("rid").alias("r2"), F.col("doc_id").alias("d2"), F.col("th").alias("t2")),
+                            (sigs["rid"] == F.col("r2")) & sigs["doc_id"].eqNullSafe(F.col("d2")) & (sigs["th"] == F.col("t2")))
+                  .select("rid", "sig").dropDuplicates(["rid"]), "bucket-signatures")
 
     n = F.ceil(F.col("count") / TILE).cast("int")
     block = F.pmod(F.xxhash64("rid"), n).cast("int")
@@ -208,10 +214,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
               .select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                       (F.col("block") > F.col("other")).cast("int").alias("side"), "rid"))
-    tiles = spread.join(sets, "rid")
-    found = tiles.groupBy("band", "key", "i", "j").applyInArrow(
-        _tile(threshold, bands, rows, least_matches(threshold, tolerance, hashes, STEP)),
-        "rid long, to long, links long")
+    plan, tile = least_matches(threshold, tolerance, hashes, STEP), ["band", "key", "i", "j"]
+    # first on signatures alone: most tiles of later bands have no pair left, and n-gram sets are large
+    alive = written(spread.join(sig, "rid").groupBy(*tile).applyInArrow(
+        _tile(threshold, bands, rows, plan, False), "band int, key long, i int, j int, side int, rid long"), "alive")
+    needed = alive.select("rid").distinct()
+    sets = mapped(text.join(needed, "rid").join(sig, "rid").select("rid", "sig", "text"), _sets(shingle),
+                  "rid long, sig array<int>, grams binary")
+    found = alive.join(sets, "rid").groupBy(*tile).applyInArrow(
+        _tile(threshold, bands, rows, plan, True), "rid long, to long, links long")
     found = written(found, "links")
     linked = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     root = components(found.select(F.col("rid").alias("a"), F.col("to").alias("b")))

@@ -72,3 +72,26 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendframe.llm.near_duplicates import similar
     return similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendframe.llm.line_dedup import without_repeated_lines
+    return without_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op8_line_dedup"] = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE trim(x) <> ''),
+p AS (SELECT doc_id, seq, trim(x) AS a, trim(lead(x) OVER (PARTITION BY doc_id ORDER BY seq)) AS b FROM f),
+later AS (SELECT doc_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, seq) AS r
+                                   FROM p WHERE b IS NOT NULL) WHERE r > 1),
+gone AS (SELECT doc_id, seq FROM later UNION SELECT doc_id, seq + 1 FROM later),
+bad AS (SELECT f.doc_id, f.pos FROM f JOIN gone USING (doc_id, seq))
+SELECT d.doc_id, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS n_lines,
+       (SELECT count(*) FROM bad WHERE bad.doc_id = d.doc_id) AS n_removed,
+       sha256(coalesce((SELECT string_agg(x, chr(10) ORDER BY pos) FROM l WHERE l.doc_id = d.doc_id
+              AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = l.doc_id AND bad.pos = l.pos)), '')) AS kept_sha256
+FROM documents d"""
