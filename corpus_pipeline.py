@@ -3,20 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lendframe.llm import decontamination
-from lendframe.llm.queries import table
+from lendframe.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
+from lendframe.llm.queries import table, tokenizer_path
 from lendframe.llm.tables import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under one half."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with later copies of line runs cut out; n_chars follows the text."""
+    return line_dedup.cleaned(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of exact or near copies."""
+    return near_duplicates.one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences of 4096 tokens."""
+    return packing.packed(docs, tokenizer_path()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near duplicates", drop_near_duplicates),
+          ("benchmark decontamination", decontaminate), ("packing", pack)]
 
-#: Toxicity, line order and packing can't be stated in SQL; the tests compare with brute-force versions.
+#: Toxicity and packing can't be stated in SQL; tests/llm compares with brute-force versions.
 ORACLE_SQL = None
 
 

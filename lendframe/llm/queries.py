@@ -95,3 +95,25 @@ SELECT d.doc_id, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id) AS n_lines,
        sha256(coalesce((SELECT string_agg(x, chr(10) ORDER BY pos) FROM l WHERE l.doc_id = d.doc_id
               AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = l.doc_id AND bad.pos = l.pos)), '')) AS kept_sha256
 FROM documents d"""
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendframe.llm.toxicity import fit, scored
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model, out_col="score").select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendframe.llm.packing import packed
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
