@@ -151,3 +151,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = as_text(F.filter("spans", lambda s: s["kind"] < 3))
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                         F.sha2(base.cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendframe.llm.language_model import scored
+    return scored(table(spark, sf_dir, "documents"))
