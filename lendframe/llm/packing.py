@@ -58,15 +58,21 @@ class Coder:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        docs, known = [_UNIT.findall(t) for t in texts], self.known
-        new = {u for doc in docs for u in doc if u not in known}
+        """Ids of whole texts, each with the end id, as 16-bit numbers."""
+        for blank in _SPACE[1:]:
+            texts = [t.replace(blank, " ") for t in texts]
+        docs, known = [t.split(" ") for t in texts], self.known
+        new = {chunk for doc in docs for chunk in doc if chunk not in known}
         if new:
-            learned = self._learn(sorted(new))
+            parts = {chunk: _UNIT.findall(chunk) for chunk in new}
+            learned = self._learn(sorted({u for units in parts.values() for u in units if u not in known}))
+            for chunk, units in parts.items():
+                if chunk not in learned:
+                    learned[chunk] = b"".join([learned[u] if u in learned else known[u] for u in units])
             if len(known) < REMEMBERED:
                 known.update(learned)
             else:
-                used = {u for doc in docs for u in doc}
-                known = learned | {u: known[u] for u in used if u in known}
+                known = learned | {c: known[c] for doc in docs for c in doc if c in known}
         end = np.uint16(END_ID).tobytes()
         return [b"".join([*map(known.__getitem__, doc), end]) for doc in docs]
 

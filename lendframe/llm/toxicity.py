@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.col("good") > 0, F.log((1 - share + 1e-9) / (1 - base))).otherwise(0.0)
     counts = written(counts.where("bad > 2"), "tokens")
     limit = math.log(max(counts.count(), 1) / CHANCE)
-    best = (counts.withColumn("gain", gain).where((share > 5 * base) & (F.col("gain") > limit))
+    best = (counts.withColumn("gain", gain).where((share / (1 - share + 1e-6) > 5 * base / (1 - base)) & (F.col("gain") > limit))
             .orderBy(F.desc("gain"), "token").limit(VOTERS).collect())
     lexicon = np.unique(np.concatenate([known, np.array([r["token"] for r in best], np.int64).view(np.uint64)]))
     got = mapped(labelled, _vote_rows(lexicon), "toxic int, votes binary").collect()  # a few bytes a row, `rows` at most
