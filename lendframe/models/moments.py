@@ -43,49 +43,46 @@ def _with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def _objective(df, cols, y, beta, penalty):
+def _curvature(df: DataFrame, cols: Sequence[str], y: str, at: np.ndarray, ridge: np.ndarray
+               ) -> tuple[float, np.ndarray, np.ndarray]:
+    """Penalised loss, slope and bend at one point, all from a single pass."""
+    k = len(at)
+
     def kernel(x, t):
-        z = _with_one(x) @ beta
-        return np.array([np.sum(np.logaddexp(0.0, z) - t * z)])
-    return _partials(df, cols, [y], 1, kernel)[0] + 0.5 * np.sum(penalty * beta ** 2)
+        x = _with_one(x)
+        z = x @ at
+        log_one = np.logaddexp(0.0, z)  # -ln P(0); P(1) = exp(z - log_one) never overflows
+        p = np.exp(z - log_one)
+        return np.concatenate([[np.sum(log_one - t * z)], (p - t) @ x, np.einsum("ni,n,nj->ij", x, p - p * p, x).ravel()])
+
+    flat = _partials(df, cols, [y], 1 + k + k * k, kernel)
+    return (flat[0] + 0.5 * float(ridge @ at**2), flat[1 : 1 + k] + ridge * at,
+            flat[1 + k :].reshape(k, k) + np.diag(ridge))
 
 
 def fit_newton_logistic(df: DataFrame, cols: Sequence[str], y: str, C: float = 1.0, max_iter: int = 100,
                         tol: float = 1e-8) -> dict:
-    """L2 logistic regression: coefficients, intercept, Hessian and the number of steps.
+    """L2 logistic regression: coefficients, intercept, Hessian at them, and the number of steps.
 
-    One pass per step sums gradient and Hessian; a step is halved while it makes the loss worse.
+    A point is judged and the next step prepared by the same pass. A point that is worse than the
+    best so far is drawn half way back to it, until it is no worse or the step has vanished.
     """
-    d = len(cols) + 1
-    penalty = np.append(np.full(d - 1, 1.0 / C), 0.0)
-    beta = np.zeros(d)
-    loss = _objective(df, cols, y, beta, penalty)
-    hessian = np.eye(d)
-    for step in range(1, max_iter + 1):
-        current = beta.copy()
-
-        def kernel(x, t, current=current):
-            x1 = _with_one(x)
-            p = 1 / (1 + np.exp(-np.clip(x1 @ current, -500, 500)))
-            w = p * (1 - p)
-            return np.concatenate([x1.T @ (p - t), ((x1 * w[:, None]).T @ x1).ravel()])
-        sums = _partials(df, cols, [y], d + d * d, kernel)
-        gradient = sums[:d] + penalty * beta
-        hessian = sums[d:].reshape(d, d) + np.diag(penalty)
-        move = np.linalg.solve(hessian, gradient)
-        scale = 1.0
-        while True:
-            trial = beta - scale * move
-            trial_loss = _objective(df, cols, y, trial, penalty)
-            if trial_loss <= loss + 1e-12 or scale < 1e-4:
-                break
-            scale /= 2
-        shift = np.max(np.abs(trial - beta))
-        beta, loss = trial, trial_loss
-        if shift < tol:
+    ridge = np.array([1.0 / C] * len(cols) + [0.0])
+    best = np.zeros(len(ridge))
+    loss, slope, bend = _curvature(df, cols, y, best, ridge)
+    steps = 0
+    for steps in range(1, max_iter + 1):
+        reach = -np.linalg.solve(bend, slope)
+        found = _curvature(df, cols, y, best + reach, ridge)
+        while found[0] > loss and np.abs(reach).max() > 1e-10:
+            reach = reach / 2
+            found = _curvature(df, cols, y, best + reach, ridge)
+        if found[0] <= loss:
+            best, (loss, slope, bend) = best + reach, found
+        if found[0] > loss or np.abs(reach).max() < tol:
             break
-    return {"cols": list(cols), "coef": beta[:-1].tolist(), "intercept": float(beta[-1]),
-            "hessian": hessian.tolist(), "steps": step, "loss": float(loss)}
+    return {"cols": list(cols), "coef": best[:-1].tolist(), "intercept": float(best[-1]),
+            "hessian": bend.tolist(), "steps": steps, "loss": float(loss)}
 
 
 def linear_logit(model: dict) -> Column:
@@ -139,11 +136,18 @@ def naive_bayes_logit(model: dict) -> Column:
 
 
 # ---------------------------------------------------------------- LDA and PCA
+def _centre(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Column means; second moments are taken around them, as raw squares lose all digits far from 0."""
+    sums = _partials(df, cols, [], 1 + len(cols), lambda x: np.concatenate([[len(x)], x.sum(axis=0)]))
+    return sums[1:] / max(sums[0], 1)
+
+
 def _class_moments(df: DataFrame, cols: Sequence[str], y: str, classes: Sequence[int]):
     d, k = len(cols), len(classes)
-    labels = np.array(list(classes), dtype=float)
+    labels, middle = np.array(list(classes), dtype=float), _centre(df, cols)
 
     def kernel(x, t):
+        x = x - middle
         parts = [(x.T @ x).ravel()]
         for c in labels:
             inside = x[t == c]
@@ -152,14 +156,14 @@ def _class_moments(df: DataFrame, cols: Sequence[str], y: str, classes: Sequence
     sums = _partials(df, cols, [y], d * d + k * (d + 1), kernel)
     second = sums[:d * d].reshape(d, d)
     rest = sums[d * d:].reshape(k, d + 1)
-    return second, rest[:, 0], rest[:, 1:] / rest[:, :1]
+    return second, rest[:, 0], rest[:, 1:] / rest[:, :1], middle
 
 
 def fit_lda(df: DataFrame, cols: Sequence[str], y: str, n_components: int | None = None,
             reg: float = 1e-10) -> dict:
     """Fisher projection and the shared-covariance classifier from class means and scatter."""
     classes = sorted(r[0] for r in df.select(y).distinct().collect())
-    second, n, means = _class_moments(df, cols, y, classes)
+    second, n, means, middle = _class_moments(df, cols, y, classes)  # means around the middle
     total, d = n.sum(), len(cols)
     within = second - (means.T * n) @ means
     within = (within + within.T) / 2 / total
@@ -172,10 +176,10 @@ def fit_lda(df: DataFrame, cols: Sequence[str], y: str, n_components: int | None
     keep = np.argsort(values)[::-1][: n_components or min(len(classes) - 1, d)]
     axes = np.linalg.solve(root.T, vectors[:, keep])
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
-    inverse = np.linalg.inv(within)
-    return {"cols": list(cols), "classes": [int(c) for c in classes], "centre": centre.tolist(),
-            "axes": axes.T.tolist(), "weights": (means @ inverse).tolist(),
-            "bias": (np.log(n / total) - 0.5 * np.sum(means @ inverse * means, axis=1)).tolist()}
+    weights = means @ np.linalg.inv(within)
+    bias = np.log(n / total) - 0.5 * np.sum(weights * means, axis=1) - weights @ middle
+    return {"cols": list(cols), "classes": [int(c) for c in classes], "centre": (centre + middle).tolist(),
+            "axes": axes.T.tolist(), "weights": weights.tolist(), "bias": bias.tolist()}
 
 
 def lda_columns(model: dict) -> dict[str, Column]:
@@ -197,11 +201,15 @@ def fit_pca(df: DataFrame, cols: Sequence[str], n_components: int | None = None)
     """Principal axes (largest entry positive), variances and their shares."""
     d = len(cols)
 
+    middle = _centre(df, cols)
+
     def kernel(x):
+        x = x - middle
         return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
     sums = _partials(df, cols, [], 1 + d + d * d, kernel)
-    n, mean = sums[0], sums[1:d + 1] / sums[0]
-    cov = (sums[d + 1:].reshape(d, d) - n * np.outer(mean, mean)) / (n - 1)
+    n, rest = sums[0], sums[1:d + 1] / sums[0]  # what rounding left of the mean
+    mean = middle + rest
+    cov = (sums[d + 1:].reshape(d, d) - n * np.outer(rest, rest)) / (n - 1)
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     order = np.argsort(values)[::-1]
     values, axes = np.maximum(values[order], 0), vectors[:, order].T

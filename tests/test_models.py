@@ -200,3 +200,12 @@ def test_stored_scores_must_cover_the_ids(spark, tmp_path):
     assert [r["id"] for r in tables.load_scores(spark, str(tmp_path), "m", df.select("id")).collect()] == [1, 2]
     with pytest.raises(ValueError):
         tables.load_scores(spark, str(tmp_path), "m", spark.createDataFrame([(3,)], "id long"))
+
+
+def test_moments_far_from_zero_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2)) * [1.0, 0.1] + 1e8
+    df = spark.createDataFrame([(float(a), float(b), int(i % 2)) for i, (a, b) in enumerate(x)], "a double, b double, y int")
+    want = np.sort(np.linalg.eigvalsh(np.cov((x - x.mean(0)).T)))[::-1]
+    assert np.allclose(moments.fit_pca(df, ["a", "b"])["variance"], want, rtol=1e-4)
+    assert np.isfinite(moments.fit_lda(df, ["a", "b"], "y")["axes"]).all()
