@@ -223,6 +223,30 @@ def test_language_model_base_counts(spark, docs):
         assert r.n_known == sum(x in count for x in w) and r.score < 0 and math.isfinite(r.score)
 
 
+def test_language_model_probabilities_sum_to_one(spark):
+    from lendframe.llm import language_model as L
+    texts = [f"a b c{i % 3} a b" for i in range(40)] + ["", "b a b"]
+    words, pairs, totals = L.seated(spark.createDataFrame([(t,) for t in texts], "text string"), 5)
+    rows = words.collect()
+    parent = {r.hash: L._parent(r.c, r.t, totals) for r in rows}
+    unseen = L._parent(0, 0, totals)
+    assert abs(sum(parent.values()) + unseen - 1) < 1e-9
+    seats = {}
+    for r in pairs.collect():
+        assert 1 <= r.t <= r.n
+        seats.setdefault(r.u, {})[r.w] = r.n - L.DISCOUNT * r.t
+    for r in rows:
+        rest = L.STRENGTH + L.DISCOUNT * r.x
+        assert abs(sum(seats[r.hash].values()) + rest - (L.STRENGTH + r.n)) < 1e-9
+
+
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    from lendframe.llm.language_model import scored
+    got = scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(
+        F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert got.score > 0.9 * got.base
+
+
 def test_pipeline_runs(spark, sf_dir):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, sf_dir)
