@@ -8,7 +8,9 @@ sums of the parts - and cut every `size` tokens, so all sequences but the last a
 
 from __future__ import annotations
 
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ class Coder:
     """Token ids of texts, unit by unit; a worker process keeps one for all its tasks."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
@@ -62,10 +65,10 @@ class Coder:
         for blank in _SPACE[1:]:
             texts = [t.replace(blank, " ") for t in texts]
         docs, known = [t.split(" ") for t in texts], self.known
-        new = {chunk for doc in docs for chunk in doc if chunk not in known}
+        new = set(chain.from_iterable(docs)).difference(known)
         if new:
             parts = {chunk: _UNIT.findall(chunk) for chunk in new}
-            learned = self._learn(sorted({u for units in parts.values() for u in units if u not in known}))
+            learned = self._learn(list(set(chain.from_iterable(parts.values())).difference(known)))
             for chunk, units in parts.items():
                 if chunk not in learned:
                     learned[chunk] = b"".join([learned[u] if u in learned else known[u] for u in units])
@@ -165,7 +168,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     as often as they come; rows at one place of the curve are ordered by hashes. No documents: no rows.
     """
     rows = keyed(docs, id_col, text_col)
-    ids = mapped(rows, _tokenised(tokenizer, DIMENSIONS, BITS), "doc_id long, th long, place long, n long, ids binary")
+    # written, as a range sort reads its input twice: once for the borders of the ranges
+    ids = written(mapped(rows, _tokenised(tokenizer, DIMENSIONS, BITS), "doc_id long, th long, place long, n long, ids binary"), "ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("doc_id", "th")
     lined = (ids.withColumn("tie", tie).repartitionByRange(parts, "place", "tie").sortWithinPartitions("place", "tie", "doc_id")
