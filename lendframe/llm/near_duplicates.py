@@ -202,8 +202,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     wanted = members.select("rid").distinct()
     source = written(reps.join(wanted, "rid").select("rid", "rep.*"), "candidates")
-    text = docs_k.join(source, docs_k["doc_id"].eqNullSafe(source["doc_id"]) & (docs_k["th"] == source["th"])).select(
-        "rid", docs_k["doc_id"], docs_k["th"], "text").dropDuplicates(["rid"])
     sig = written(sigs.join(source.select(F.col("rid").alias("r2"), F.col("doc_id").alias("d2"), F.col("th").alias("t2")),
                             (sigs["rid"] == F.col("r2")) & sigs["doc_id"].eqNullSafe(F.col("d2")) & (sigs["th"] == F.col("t2")))
                   .select("rid", "sig").dropDuplicates(["rid"]), "bucket-signatures")
@@ -218,8 +216,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # first on signatures alone: most tiles of later bands have no pair left, and n-gram sets are large
     alive = written(spread.join(sig, "rid").groupBy(*tile).applyInArrow(
         _tile(threshold, bands, rows, plan, False), "band int, key long, i int, j int, side int, rid long"), "alive")
-    needed = alive.select("rid").distinct()
-    sets = mapped(text.join(needed, "rid").join(sig, "rid").select("rid", "sig", "text"), _sets(shingle),
+    # texts are asked for only now, for the classes with a pair left
+    needed = written(source.join(alive.select("rid").distinct(), "rid"), "needed")
+    text = docs_k.join(needed, docs_k["doc_id"].eqNullSafe(needed["doc_id"]) & (docs_k["th"] == needed["th"])).select(
+        "rid", "text").dropDuplicates(["rid"])
+    sets = mapped(text.join(sig, "rid").select("rid", "sig", "text"), _sets(shingle),
                   "rid long, sig array<int>, grams binary")
     found = alive.join(sets, "rid").groupBy(*tile).applyInArrow(
         _tile(threshold, bands, rows, plan, True), "rid long, to long, links long")
