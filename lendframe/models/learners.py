@@ -53,9 +53,10 @@ def _assemble(columns: dict[str, Column], df: DataFrame, keep: Sequence[str]):
     return rows, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
 
 
-def _fit(columns, estimator, df, label, weight, probability, info=None) -> Scored:
+def _fit(columns, estimator, df, label, weight, probability, info=None, fit_columns=None) -> Scored:
+    """fit_columns: the inputs of the rows to fit on, where they differ from those of rows to score."""
     keep = [label] + ([weight] if weight else [])
-    rows, assembler = _assemble(columns, df.where(F.col(label).isNotNull()), keep)
+    rows, assembler = _assemble(fit_columns or columns, df.where(F.col(label).isNotNull()), keep)
     estimator.setLabelCol(label)
     if weight:
         estimator.setWeightCol(weight)
@@ -76,6 +77,19 @@ class Learner:
     def __init__(self, inputs: Inputs, make: Callable, kind: str = "linear", key: str = "id"):
         self.inputs, self.make, self.kind, self.key = inputs, make, kind, key
 
+    def training(self, df: DataFrame, label: str) -> tuple[dict[str, Column], dict[str, Column], DataFrame]:
+        """Inputs of rows to score, inputs of the rows to fit on, and these rows.
+
+        They differ in target encodings: a fitted row takes its level's mean over the other folds.
+        """
+        i = self.inputs
+        if self.kind != "linear" or not i.large:
+            columns = self.columns(df, label)
+            return columns, columns, df
+        fit = encoders.fit_linear(df, self.key, label, i.numeric, i.small, i.large)
+        return (encoders.linear_columns(fit), encoders.linear_columns(fit, crossed=True),
+                encoders.cross_fitted(df, self.key, label, i.large))
+
     def columns(self, df: DataFrame, label: str) -> dict[str, Column]:
         i = self.inputs
         if self.kind == "linear":
@@ -90,7 +104,8 @@ class Learner:
 
     def fit(self, df: DataFrame, label: str, weight: str | None = None) -> Scored:
         rows = df.where(F.col(label).isNotNull())
-        return _fit(self.columns(rows, label), self.make(rows), rows, label, weight, second_class())
+        columns, inside, train = self.training(rows, label)
+        return _fit(columns, self.make(rows), train, label, weight, second_class(), fit_columns=inside)
 
 
 def dummy() -> Learner:
@@ -138,10 +153,10 @@ class LayeredNet(Learner):
 
     def fit(self, df, label, weight=None):
         rows = df.where(F.col(label).isNotNull())
-        columns = self.columns(rows, label)
+        columns, inside, train = self.training(rows, label)
         net = MultilayerPerceptronClassifier(layers=[len(columns), *self.hidden, 2], maxIter=self.max_iter,
                                              seed=self.seed)
-        return _fit(columns, net, rows, label, None, second_class())
+        return _fit(columns, net, train, label, None, second_class(), fit_columns=inside)
 
 
 def platt(df: DataFrame, score: str, label: str) -> tuple[float, float]:
@@ -172,13 +187,14 @@ class LinearMargin(Learner):
 
     def fit(self, df, label, weight=None):
         rows = df.where(F.col(label).isNotNull())
-        columns = self.columns(rows, label)
+        columns, inside, train = self.training(rows, label)
         held = encoders.hash_fold(self.key, 5, "margin") == 0
         n = max(rows.count(), 1)
         svm = LinearSVC(regParam=1.0 / (self.C * n), maxIter=100, standardization=False)
         margin = vector_to_array(F.col("rawPrediction"))[1]
-        first = _fit(columns, svm, rows.where(~held), label, weight, margin)
-        slope, intercept = platt(first.transform(rows.where(held)), "p", label)
+        first = _fit(columns, svm, train.where(~held), label, weight, margin, fit_columns=inside)
+        judged = Scored(inside, first.model, margin).transform(train.where(held))
+        slope, intercept = platt(judged, "p", label)
         return Scored(columns, first.model, sigmoid(margin * slope + intercept), first.info)
 
 
@@ -319,9 +335,9 @@ class NaiveBayes(Learner):
     def fit(self, df, label, weight=None):
         from lendframe.models import moments
         rows = df.where(F.col(label).isNotNull())
-        columns = self.columns(rows, label)
+        columns, inside, train = self.training(rows, label)
         names = [f"_x{i}" for i in range(len(columns))]
-        work = rows.select(label, *[e.alias(n) for n, e in zip(names, columns.values())])
+        work = train.select(label, *[e.alias(n) for n, e in zip(names, inside.values())])
         if self.components:
             pca = moments.fit_pca(work, names, min(self.components, len(names)))
             axes = moments.pca_columns(pca)

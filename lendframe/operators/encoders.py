@@ -114,7 +114,8 @@ def target_encode(df: DataFrame, key: str, column: str, label: str, n_folds: int
     level = own.groupBy(column).agg(F.sum("_s").alias("_ls"), F.sum("_n").alias("_ln"))
     fold = own.groupBy("_fold").agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
     total = own.agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
-    prior = (F.col("_ts") - F.col("_fs")) / (F.col("_tn") - F.col("_fn"))
+    # with one fold only there are no other rows
+    prior = F.coalesce(F.try_divide(F.col("_ts") - F.col("_fs"), F.col("_tn") - F.col("_fn")), F.lit(0.0))
     table = (own.join(level, own[column].eqNullSafe(level[column])).drop(level[column])
              .join(F.broadcast(fold), on="_fold").transform(beside, total)
              .select(F.col(column).alias("_level"), F.col("_fold").alias("_f"),
@@ -124,9 +125,19 @@ def target_encode(df: DataFrame, key: str, column: str, label: str, n_folds: int
             .drop("_level", "_f", "_fold"))
 
 
+def cross_fitted(df: DataFrame, key: str, label: str, large: Sequence[str], smoothing: float = 10.0) -> DataFrame:
+    """Adds ``<column>_crossed``, its target encoding over the other folds, for rows a model is fitted on."""
+    for c in large:
+        df = target_encode(df, key, c, label, smoothing=smoothing).withColumnRenamed("encoded", f"{c}_crossed")
+    return df
+
+
 def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], small: Sequence[str],
                large: Sequence[str] = (), smoothing: float = 10.0) -> dict:
-    """Everything the linear preprocessor learned, as plain numbers."""
+    """Everything the linear preprocessor learned, as plain numbers.
+
+    Target means are those of all rows; the scale of an encoded column is that of its cross-fitted values.
+    """
     cuts = fitted_quantiles(df, numeric, [0.001, 0.5, 0.999])  # one pass for caps and medians
     caps = {c: (q[0], q[2]) for c, q in cuts.items()}
     fill = _fills(df, numeric, {c: q[1] for c, q in cuts.items()})
@@ -136,9 +147,10 @@ def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], smal
     for c in large:
         rows = _few(target_means(df, c, label, smoothing))
         means[c] = ({r[c]: r["mean"] for r in rows}, rows[0]["_all"] if rows else 0.0)
-    encoded = {c: _mean_column(F.col(c), *means[c]) for c in large}
+    encoded = {f"{c}_rate": F.col(f"{c}_crossed") for c in large}
+    crossed = cross_fitted(df, key, label, large, smoothing)
     return {"caps": caps, "fill": fill, "means": means, "levels": fit_levels(df, small) if small else {},
-            "scale": fit_scaler(df, {**filled, **flags, **encoded}), "numeric": list(numeric),
+            "scale": fit_scaler(crossed, {**filled, **flags, **encoded}), "numeric": list(numeric),
             "small": list(small), "large": list(large)}
 
 
@@ -152,8 +164,11 @@ def _mean_column(value: Column, means: dict, default: float) -> Column:
         F.coalesce(F.try_element_at(table, value), F.lit(float(default))))
 
 
-def linear_columns(fit: dict) -> dict[str, Column]:
-    """Name -> expression of every model input, in order. One projection."""
+def linear_columns(fit: dict, crossed: bool = False) -> dict[str, Column]:
+    """Name -> expression of every model input, in order. One projection.
+
+    crossed: for the rows of `cross_fitted`, whose encoded values don't hold their own label.
+    """
     def scaled(name: str, e: Column) -> Column:
         mean, dev = fit["scale"][name]
         return (e - mean) / (dev or 1.0)
@@ -168,5 +183,6 @@ def linear_columns(fit: dict) -> dict[str, Column]:
         for level in fit["levels"][c]:
             out[f"{c}={level}"] = one_hot(F.col(c), level)
     for c in fit["large"]:
-        out[f"{c}_rate"] = scaled(c, _mean_column(F.col(c), *fit["means"][c]))
+        value = F.col(f"{c}_crossed") if crossed else _mean_column(F.col(c), *fit["means"][c])
+        out[f"{c}_rate"] = scaled(f"{c}_rate", value)
     return out

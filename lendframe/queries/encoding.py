@@ -200,8 +200,9 @@ add("enc_10_selected_by_gain", "s:column i:rows", _important)
 def _preprocessed(s, d):
     rows = model_rows(s, d)
     fit = encoders.fit_linear(rows, "id", "y", MODEL_INPUTS.numeric, MODEL_INPUTS.small, MODEL_INPUTS.large)
-    cols = encoders.linear_columns(fit)
-    return rows.select("id", F.array(*cols.values()).alias("x")).select(
+    cols = encoders.linear_columns(fit, crossed=True)
+    crossed = encoders.cross_fitted(rows, "id", "y", MODEL_INPUTS.large)
+    return crossed.select("id", F.array(*cols.values()).alias("x")).select(
         "id", F.size("x").alias("inputs"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 

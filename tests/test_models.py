@@ -209,3 +209,15 @@ def test_moments_far_from_zero_equal_numpy(spark):
     want = np.sort(np.linalg.eigvalsh(np.cov((x - x.mean(0)).T)))[::-1]
     assert np.allclose(moments.fit_pca(df, ["a", "b"])["variance"], want, rtol=1e-4)
     assert np.isfinite(moments.fit_lda(df, ["a", "b"], "y")["axes"]).all()
+
+
+def test_target_encoding_does_not_leak_the_label(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, f"l{rng.integers(3000)}", int(rng.integers(2)), float(rng.random())) for i in range(6000)],
+                                 "id long, level string, y int, x double").repartition(4)
+    learner = learners.logistic_regression(learners.Inputs(["x"], [], ["level"]))
+    columns, inside, train = learner.training(rows, "y")
+    rate = train.select("id", "y", inside["level_rate"].alias("crossed"), columns["level_rate"].alias("whole"))
+    got = rate.agg(F.countDistinct("id").alias("n"), F.corr("y", "crossed").alias("crossed"), F.corr("y", "whole").alias("whole")).first()
+    assert got["n"] == 6000
+    assert abs(got["crossed"]) < 0.1 and got["whole"] > 0.3
