@@ -241,7 +241,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("first_row.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce(F.struct("doc_id", "th").eqNullSafe(F.col("first_row")), F.lit(True)).alias("first"))
+        # <=> with a null struct is false, not null: texts without words have no class row
+        (F.col("rid").isNull() | F.struct("doc_id", "th").eqNullSafe(F.col("first_row"))).alias("first"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

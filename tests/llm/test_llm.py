@@ -151,6 +151,17 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert similar(table.limit(0)).count() == 0
 
 
+def test_texts_without_words_stay(spark):
+    import corpus_pipeline
+    from lendframe.llm.near_duplicates import one_of_each, similar
+    rows = [(1, None), (2, ""), (3, "  "), (4, "?! --"), (4, "?! --"), (None, ""), (5, "a b c d e f"), (6, "a b c d e f")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, rows[:-1]))
+    assert sorted(str((r.doc_id, r.text)) for r in one_of_each(table).collect()) == want
+    assert sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()) == want
+    assert sum(r.first for r in similar(table).collect()) == 7
+
+
 def test_substrings_lines_and_contamination(spark, docs):
     from lendframe.llm.decontamination import contamination
     from lendframe.llm.line_dedup import cleaned, later_runs, without_repeated_lines
