@@ -197,6 +197,19 @@ def test_substrings_lines_and_contamination(spark, docs):
     assert hits[3].n_words == 0 and hits[0].n_hit == 0 and contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_long_line_is_a_run(spark):
+    import corpus_pipeline
+    from lendframe.llm.line_dedup import without_repeated_lines
+    short = " ".join(PASSAGE.split()[:49])
+    rows = [(1, f"one\n  {PASSAGE}\n\ntwo"), (2, f"three\n{PASSAGE} \nfour\n{short}\na b"), (3, f"{short}\n{PASSAGE}\n{PASSAGE}\nfive"),
+            (4, f"x\n{PASSAGE}\none\n{PASSAGE}\n\ntwo"), (5, None)]
+    table = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, table, "").collect()}
+    want = {1: rows[0][1], 2: f"three\nfour\n{short}\na b", 3: f"{short}\nfive", 4: "x\n", 5: None}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
+    assert {r.doc_id: r.n_removed for r in without_repeated_lines(table).collect()} == {1: 0, 2: 0, 3: 0, 4: 3, 5: 0}
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
     from lendframe.llm.packing import hilbert_key, packed
