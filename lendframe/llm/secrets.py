@@ -3,14 +3,17 @@
 A run of 20 or more key characters is a candidate. Its encoding is the smallest alphabet that holds
 it. Three tests ask whether its symbols look drawn at random from that alphabet: chi-squared of the
 symbol counts, runs above and below the middle of the alphabet, and the correlation of neighbours.
-What passes is set against ordinary text: the chi-squared statistic that a text-like string of the
-same length would give has a known mean and spread, so a long random string is far below it and a
-short one is not. The tail probabilities of all candidates go through a Benjamini-Hochberg cut, read
-off a table of logarithmic bins.
+What passes is set against ordinary text: a fixed chain over letter pairs and changes between
+letters, digits and signs gives the likelihood of the candidate as text, and its ratio to the uniform
+likelihood bounds the tail probability. (Digits alone have no such chain; for them it is the tail of
+the chi-squared statistic at the concentration of text.) The probabilities go through a
+Benjamini-Hochberg cut for each encoding and length class, read off a table of logarithmic bins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,40 @@ ALPHABETS = [("^[0-9]+$", _DIGITS), ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9
              ("^[A-Za-z0-9]+$", _DIGITS + _LOWER.upper() + _LOWER),
              (".", _LOWER.upper() + _LOWER + _DIGITS + "+/-_")]
 
+#: Lengths from which the classes of the cut begin.
+LENGTHS = [24, 32, 40, 64]
+
+# English letters, and letters after a letter (a to z), as quarters of -ln p ("a" is 0).
+_LETTERS = "lqnnjoqolvtmollovllkosrtqv"
+_PAIRS = " ".join([
+    "qomnosptmztjliqozikiqsuurz kuprhtttklxjtqlrzmmojxxxkx kvqshsvkmznlsqgtznpjowwyuz ktrnesuthyxptqktznnonuvxsz",
+    "mtmlmnstpzwkojqpuijktstnsz lvrqlmuuhzyntqgszjokmxuyrz nvqsgtsjkzynqknozkjomuwyvw ivssetvtjzxrtqjtzoqkrxwyvz",
+    "oplpmlouqzwmnhkqzojjtqxuwt lvpsdtvtnwsrtqiqzqppjxvyvz lvqpesrskzwmtmnqyokopvmyuy kusohjtuhzxltqlszqlmmvwypz",
+    "hosrftvukzxqoqjjzqmooxwyuz kvljiqktnztqtpjszqkipswyqz qpololstpztonhpmzhmkmqqwvz ivrqhsvrmzwktqjmzioknuvylz",
+    "qussotvuqzyquppqynppcwwywz kupqgrotjzsrolkrzmllptuypz nvpsfssokzvqsqlozpkhnwvyqz kvrrisvhizyqsqkrzkmnmxqyoy",
+    "onopjqsunzxkmjpmzijitxxwwz gvssdtvtjzyssqotzqqptxvxwz hvsqjsvkgzypunktzknptxqxwz lthrkqvslzyprqpjzqpftxwrsx",
+    "ptrrlsttmzyppnjhzijjsvqyux lvssdsvqjzyoqpmtzqppsxvytr"]).split()
+# Shares of the next class (upper, lower, digit, sign) after each class, and at the start.
+_FOLLOW = [[.58, .34, .03, .05], [.04, .89, .02, .05], [.05, .05, .80, .10], [.15, .70, .10, .05], [.25, .60, .10, .05]]
+_SYMBOLS = ALPHABETS[-1][1]
+
+
+def _text_table() -> list[float]:
+    """ln p of each symbol of _SYMBOLS after the start and after each symbol: rows of 66."""
+    def shares(codes: str) -> list[float]:
+        p = [math.exp((ord("a") - ord(c)) / 4) for c in codes]
+        return [x / sum(p) for x in p]
+
+    first, after = shares(_LETTERS), [shares(r) for r in _PAIRS]
+    kind = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 4
+    out = []
+    for before in range(-1, 66):
+        old = 4 if before < 0 else kind[before]
+        for k, new in enumerate(kind):
+            letter = after[before % 26] if old < 2 else first
+            out.append(math.log(_FOLLOW[old][new] * (letter[k % 26] if new < 2 else 0.1 if new == 2 else 0.25)))
+    return out
+
 
 def _matches(text: Column, pattern: str, extra: int = 0) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value), value being group `extra`.
@@ -68,28 +105,36 @@ def _normal_tail(z: Column) -> Column:
 
 
 def _battery(rows: DataFrame) -> DataFrame:
-    """rows with candidates c (start, end, value): tests of each as (start, end, random, p)."""
+    """rows with candidates c (start, end, value): tests of each as (start, end, random, stratum, p)."""
     alphabet = "CASE " + " ".join(f"WHEN c.value RLIKE '{p}' THEN '{s}'" for p, s in ALPHABETS) + " END"
+    table = "CAST(split('" + " ".join(f"{x:.5f}" for x in _text_table()) + "', ' ') AS array<double>)"
+    stratum = ("CASE " + " ".join(f"WHEN c.value RLIKE '{p}' THEN {k}" for k, (p, _) in enumerate(ALPHABETS)) + f" END * {len(LENGTHS) + 1}"
+               + "".join(f" + IF(length(c.value) >= {n}, 1, 0)" for n in LENGTHS))
     one = f"""transform(candidates, c -> named_struct('start', c.start, 'end', c.end, 'token', c.value,
-        'n', CAST(length(c.value) AS DOUBLE), 'alphabet', {alphabet}))"""
-    values = """transform(items, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'a', CAST(length(c.alphabet) AS DOUBLE),
+        'n', CAST(length(c.value) AS DOUBLE), 'alphabet', {alphabet}, 'stratum', {stratum}))"""
+    values = f"""transform(items, c -> named_struct('start', c.start, 'end', c.end, 'stratum', c.stratum,
+        'text', aggregate(filter(split(c.token, ''), x -> x <> ''), named_struct('last', 0, 'sum', 0D), (s, x) -> named_struct(
+            'last', locate(x, '{_SYMBOLS}'), 'sum', s.sum + element_at({table}, s.last * 66 + locate(x, '{_SYMBOLS}'))), s -> s.sum),
+        'n', c.n, 'a', CAST(length(c.alphabet) AS DOUBLE),
         'square', aggregate(array_distinct(split(c.token, '')), 0D, (s, x) ->
             s + CASE WHEN x = '' THEN 0D ELSE power(c.n - length(replace(c.token, x, '')), 2) END),
         'v', transform(filter(split(c.token, ''), x -> x <> ''), x -> CAST(locate(x, c.alphabet) AS DOUBLE))))"""
-    sums = """transform(items, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'a', c.a,
+    sums = """transform(items, c -> named_struct('start', c.start, 'end', c.end, 'stratum', c.stratum, 'text', c.text, 'n', c.n, 'a', c.a,
         'chi', c.a * c.square / c.n - c.n,
         'high', CAST(size(filter(c.v, x -> x * 2 > c.a)) AS DOUBLE),
         'runs', aggregate(c.v, named_struct('last', -1, 'runs', 0D), (s, x) -> named_struct(
             'last', IF(x * 2 > c.a, 1, 0), 'runs', s.runs + IF(s.last = IF(x * 2 > c.a, 1, 0), 0, 1)), s -> s.runs),
         'm', aggregate(c.v, 0D, (s, x) -> s + x) / c.n, 'v', c.v))"""
-    serial = """transform(items, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'a', c.a, 'chi', c.chi,
+    serial = """transform(items, c -> named_struct('start', c.start, 'end', c.end, 'stratum', c.stratum, 'text', c.text, 'n', c.n, 'a', c.a, 'chi', c.chi,
         'high', c.high, 'runs', c.runs,
         'spread', aggregate(c.v, 0D, (s, x) -> s + (x - c.m) * (x - c.m)),
         'along', aggregate(c.v, named_struct('last', CAST(NULL AS DOUBLE), 'sum', 0D), (s, x) -> named_struct(
             'last', x, 'sum', s.sum + coalesce((s.last - c.m) * (x - c.m), 0D)), s -> s.sum)))"""
     mean_runs = "(2 * c.high * (c.n - c.high) / c.n + 1)"
     share = f"greatest({TEXT_CONCENTRATION}D, 2 / c.a)"
-    z = f"""transform(items, c -> named_struct('start', c.start, 'end', c.end,
+    # one of the alphabets was picked, so the bound takes their number as a factor
+    z = f"""transform(items, c -> named_struct('start', c.start, 'end', c.end, 'stratum', c.stratum,
+        'ratio', c.text + c.n * ln(c.a) + ln({len(ALPHABETS)}),
         'z_chi', (c.chi - (c.a - 1)) / sqrt(2 * (c.a - 1) * (c.n - 1) / c.n),
         'z_runs', coalesce((c.runs - {mean_runs}) / nullif(sqrt(greatest(({mean_runs} - 1) * ({mean_runs} - 2) / (c.n - 1), 0D)), 0D), 99D),
         'z_serial', coalesce(c.along / nullif(c.spread, 0D) * sqrt(c.n), 99D),
@@ -100,7 +145,8 @@ def _battery(rows: DataFrame) -> DataFrame:
     return rows.withColumn("items", F.transform("items", lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"),
         ((F.abs(c["z_chi"]) < DEVIATIONS) & (F.abs(c["z_runs"]) < DEVIATIONS) & (F.abs(c["z_serial"]) < DEVIATIONS)).alias("random"),
-        _normal_tail(c["z_text"]).alias("p"))))
+        c["stratum"].alias("stratum"),
+        F.when(c["stratum"] <= len(LENGTHS), _normal_tail(c["z_text"])).otherwise(F.exp(F.least(c["ratio"], F.lit(0.0)))).alias("p"))))
 
 
 def found_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -120,15 +166,18 @@ def found_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))).alias("items")), "tested")
 
     step = F.floor(F.log(F.greatest("x.p", F.lit(1e-15))) * _BINS).cast("int")
-    bins = tested.select(F.explode("items").alias("x")).groupBy(step.alias("bin")).agg(
+    bins = tested.select(F.explode("items").alias("x")).groupBy("x.stratum", step.alias("bin")).agg(
         F.count("*").alias("n"), F.count(F.when(F.col("x.random"), 1)).alias("r"))
-    # at most 35 * _BINS rows
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = bins.select("bin", F.sum("r").over(upto).alias("rank"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    cut = ranked.where(F.exp((F.col("bin") + 1) / _BINS) <= false_share * F.col("rank") / F.col("all")).agg(
+    # at most 35 * _BINS rows a stratum
+    upto = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = bins.select("stratum", "bin", F.sum("r").over(upto).alias("rank"), F.sum("n").over(Window.partitionBy("stratum")).alias("all"))
+    cuts = ranked.where(F.exp((F.col("bin") + 1) / _BINS) <= false_share * F.col("rank") / F.col("all")).groupBy("stratum").agg(
         F.max("bin").alias("cut"))
-    added = F.filter("items", lambda c: c["random"] & (F.floor(F.log(F.greatest(c["p"], F.lit(1e-15))) * _BINS) <= F.col("cut")))
-    return tested.crossJoin(F.broadcast(cut)).select(  # one row
+    # at most as many entries as there are alphabets times length classes
+    cuts = cuts.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
+    added = F.filter("items", lambda c: c["random"] & (
+        F.floor(F.log(F.greatest(c["p"], F.lit(1e-15))) * _BINS) <= F.try_element_at("cuts", c["stratum"])))
+    return tested.crossJoin(F.broadcast(cuts)).select(  # one row
         "doc_id", F.array_sort(F.concat("base", _kind(F.coalesce(added, F.array().cast(tested.schema["items"].dataType)), 3))).alias("spans"))
 
 

@@ -87,6 +87,29 @@ def test_secrets_base_and_random(spark):
     assert not [s for i in (6, 7) for s in got[i] if s.kind == 3]
 
 
+def test_random_keys_are_found_at_small_shares(spark):
+    from lendframe.llm.secrets import found_secrets
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the payment service reads every customer record from remote storage and writes monthly report index pages again".split()
+
+    def ordinary(n):
+        glue, out = rng.choice("/-_"), ""
+        while len(out) < n:
+            word = rng.choice(words)
+            out += word.title() if glue == "-" else word + glue * (glue == "_" or rng.random() < 0.7)
+        return (out + str(rng.randrange(2030)) * (rng.random() < 0.2))[: n + 8]
+
+    rows = [(-k - 1, ordinary(rng.choice([20, 26, 34, 44, 66]))) for k in range(20000)]
+    lengths = [20, 32, 40, 64]
+    rows += [(k, "see " + "".join(rng.choice(letters) for _ in range(lengths[k % 4])) + " here") for k in range(20)]
+    got = {r.doc_id: r.spans for r in found_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = [k for k in range(20) if [tuple(s) for s in got[k]] == [(4, 3, 4 + lengths[k % 4])]]
+    # a test of three deviations leaves out a few random strings in a hundred
+    assert len(right) >= 18 and {k % 4 for k in right} == {0, 1, 2, 3}
+    assert sum(len(s) for k, s in got.items() if k < 0) <= 1
+
+
 def test_html(spark):
     from lendframe.llm.html_extraction import extracted
     nav = "<div><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></div>"
