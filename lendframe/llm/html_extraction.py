@@ -1,9 +1,11 @@
 """Main text of web pages with site templates removed.
 
-Every element's subtree is hashed; Spark counts on how many pages of a host each hash occurs, and
-subtrees that recur on many pages of their host are deleted. Text inside <article> or <main> is
-protected: there a recurring paragraph is the author's, and only recurring link lists go. Elements
-that are never text (scripts, forms, navigation and the like, by tag, role or class) go in any case.
+Every element's subtree is hashed; Spark counts on how many different pages of a host each hash
+occurs, and subtrees that recur on many of them are deleted. Pages of a host with the same text are
+one page. What counts as many is a least number and a share of the host's pages, which is small for
+link lists, larger for prose, and larger still for prose inside <article> or <main>, where a
+recurring paragraph is mostly the author's. Elements that are never text (scripts, forms, navigation
+and the like, by tag, role or class) go in any case.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from lendframe.llm.tables import batch_of, mapped, signed, written
 
 #: Pages of a host on which a subtree must occur to count as template.
 MIN_PAGES = 5
+#: Least share of the host's different pages: for link lists, for prose, for prose in the main element.
+SHARES = (0.01, 0.2, 0.5)
 
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,11 +37,16 @@ NEVER = set("nav footer aside form script style noscript template iframe svg mat
 WORDS = set("ad ads advert adverts advertisement advertising banner cookie cookies consent notice notices newsletter "
             "subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments related share sharing "
             "social promo sponsored footer popup modal".split())
+#: What may follow a word in a name, and what a name that only speaks of a layout begins with.
+ENDINGS = WORDS | set("area bar block box btn button buttons container content footer form group header inner item items left "
+                      "link links list main middle outer overlay panel placeholder post posts primary right secondary "
+                      "section slot text top bottom title toggle unit widget widgets wrap wrapper".split())
+LAYOUT = set("has is no not with without hide show".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*)>|<[!?][^<>]*>", re.S)
 _NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPLIT = re.compile(r"[\s_-]+")
+_SPLIT = re.compile(r"[_-]+")
 _CLOSE = {t: re.compile(rf"</{t}[\s>/]", re.I) for t in RAW}
 
 
@@ -97,11 +106,19 @@ def _never(node: Node, inside: bool) -> bool:
         if name.lower() == "role":
             if value in ROLES:
                 return True
-        elif WORDS.intersection(_SPLIT.split(value)):
+        elif any(_boilerplate(x) for x in value.split()):
             return True
     return False
 
 
+def _boilerplate(name: str) -> bool:
+    """A whole name or its end is one of WORDS ("site-nav"), or known endings follow one ("share-buttons")."""
+    parts = [x for x in _SPLIT.split(name) if x]
+    if not parts or parts[0] in LAYOUT:
+        return False
+    return parts[-1] in WORDS or parts[0] in WORDS and all(x in ENDINGS or x.isdigit() for x in parts[1:])
+
+
 def digest(root: Node) -> list[Node]:
     """All block elements, their subtrees hashed bottom up."""
     out, todo = [], [(root, False)]
@@ -138,19 +155,21 @@ def _find(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _protected(root: Node) -> tuple[list[Node], set[int]]:
-    """The main elements, and the nodes in them that template removal must leave."""
+def _kinds(root: Node) -> tuple[list[Node], dict[int, int]]:
+    """The main elements, and the kind of each node as its place in SHARES."""
     main = _find(root, "article") or _find(root, "main")
-    safe, todo = set(), list(main)
+    kinds, todo = {}, [(root, False)]
+    at = {id(x) for x in main}
     while todo:
-        node = todo.pop()
-        if node.linked * 2 <= node.text:
-            safe.add(id(node))
-        todo.extend(x for x in node.parts if isinstance(x, Node))
-    return main, safe
+        node, inside = todo.pop()
+        inside = inside or id(node) in at
+        kinds[id(node)] = 0 if node.linked * 2 > node.text else 2 if inside else 1
+        todo.extend((x, inside) for x in node.parts if isinstance(x, Node))
+    return main, kinds
 
 
-def main_text(root: Node, main: list[Node], safe: set[int], template: set[int]) -> str:
+def main_text(root: Node, main: list[Node], kinds: dict[int, int], template: dict[int, int]) -> str:
+    """template: hash to the highest kind for which the subtree is one."""
     blocks: list[str] = []
     piece: list[str] = []
 
@@ -170,7 +189,7 @@ def main_text(root: Node, main: list[Node], safe: set[int], template: set[int])
             piece.append(x)
         elif x.tag == "br":
             piece.append(" ")
-        elif _never(x, inside) or x.hash in template and id(x) not in safe:
+        elif _never(x, inside) or kinds[id(x)] <= template.get(x.hash, -1):
             if x.tag not in INLINE:
                 flush()
         else:
@@ -190,21 +209,26 @@ def host_of(url: str) -> str:
         return ""
 
 
+def _host_key(url: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(host_of(url or ""))
+
+
 def _subtrees(batches):
+    """One row per subtree of a page, and one with hash 0 for the page itself."""
     for batch in batches:
-        ids, th = batch.column("page_id"), batch.column("th")
-        row, hosts, hashes = [], [], []
+        th = batch.column("th")
+        row, hosts, pages, hashes = [], [], [], []
         for i, (url, html) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
             root = parse(html)
             nodes = digest(root)
-            _, safe = _protected(root)
-            found = {n.hash for n in nodes if id(n) not in safe and n.text}
+            main, kinds = _kinds(root)
+            found = {n.hash for n in nodes if n.text} | {0}
             row.extend([i] * len(found))
-            hosts.extend([host_of(url or "")] * len(found))
+            hosts.extend([_host_key(url)] * len(found))
+            pages.extend([xxhash.xxh3_64_intdigest(main_text(root, main, kinds, {}))] * len(found))
             hashes.extend(found)
-        take = pa.array(np.array(row, np.int64))
-        yield batch_of(page_id=ids.take(take), th=th.take(take), host=pa.array(hosts, pa.string()),
-                       hash=signed(np.array(hashes, np.uint64)))
+        yield batch_of(th=th.take(pa.array(np.array(row, np.int64))), host=signed(np.array(hosts, np.uint64)),
+                       page=signed(np.array(pages, np.uint64)), hash=signed(np.array(hashes, np.uint64)))
 
 
 def _extract(batches):
@@ -213,25 +237,32 @@ def _extract(batches):
         for html, marks in zip(batch.column("html").to_pylist(), batch.column("marks").to_pylist()):
             root = parse(html)
             digest(root)
-            main, safe = _protected(root)
-            texts.append(main_text(root, main, safe, {m & 0xFFFFFFFFFFFFFFFF for m in marks or ()}))
+            main, kinds = _kinds(root)
+            texts.append(main_text(root, main, kinds, {m["hash"] & 0xFFFFFFFFFFFFFFFF: m["kind"] for m in marks or ()}))
         yield batch_of(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(texts, pa.string()))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              min_pages: int = MIN_PAGES) -> DataFrame:
+              min_pages: int = MIN_PAGES, shares: tuple[float, float, float] = SHARES) -> DataFrame:
     """page_id, url, text for every page row; text is empty where nothing is left.
 
-    A null html is empty; a null or odd url belongs to the host "". Repeated rows count as one page
-    and get one answer. Blocks are joined by line feeds; white space in a block is one space.
+    A null html is empty; a null or odd url belongs to the host "". Rows of a host with the same text
+    (outside the elements that are never text) count as one page. Blocks are joined by line feeds;
+    white space in a block is one space.
     """
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), html.alias("html"),
                         F.xxhash64(url, html).alias("th"))
-    trees = written(mapped(rows, _subtrees, "page_id long, th long, host string, hash long"), "subtrees")
-    often = trees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).drop("n")
-    marks = trees.join(often, ["host", "hash"]).groupBy("page_id", "th").agg(F.collect_set("hash").alias("marks"))
-    marks = marks.withColumnsRenamed({"page_id": "m_id", "th": "m_th"})
-    both = rows.join(marks, rows["page_id"].eqNullSafe(marks["m_id"]) & (rows["th"] == marks["m_th"]), "left")
+    trees = written(mapped(rows, _subtrees, "th long, host long, page long, hash long"), "subtrees")
+    counts = trees.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
+    counts = written(counts, "counts")
+    sizes = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
+    kind = F.lit(-1)
+    for k, share in enumerate(shares):
+        kind = F.when(F.col("n") >= F.col("pages") * share, k).otherwise(kind)
+    often = counts.where("hash <> 0").join(sizes, "host").select("host", "hash", kind.alias("kind")).where("kind >= 0")
+    marks = trees.join(often, ["host", "hash"]).groupBy("th").agg(F.collect_set(F.struct("hash", "kind")).alias("marks"))
+    marks = marks.withColumnRenamed("th", "m_th")
+    both = rows.join(marks, rows["th"] == marks["m_th"], "left")
     return mapped(both.select("page_id", "url", "html", "marks"), _extract, "page_id long, url string, text string")

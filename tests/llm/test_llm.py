@@ -122,6 +122,36 @@ def test_html(spark):
     assert got[7] == "Home\nB\nA & b c d\nown 7" and got[8] == got[9] == "" and got[10] == "T\nx y" and len(got) == len(rows)
 
 
+def test_html_counts_different_pages(spark):
+    from lendframe.llm.html_extraction import extracted
+    page = "<html><body>%s<p>some %s text</p><p>more %s text</p></body></html>"
+    nav = "<ul><li><a href=/>Home</a></ul>"
+    rows = [(1, "http://a.org/x", page % (nav, "plain", "plain"))] * 6  # one row repeated
+    rows += [(10 + i, f"http://b.org/{i}", page % (f"<script>{i}</script>", "copied", "copied")) for i in range(6)]  # mirrors
+    rows += [(100 + i, "http://c.org", page % (nav, i, "quoted" if i < 5 else -i)) for i in range(60)]
+    notice = "<p>we moved to a new address</p>"
+    rows += [(200 + i, "http://d.org", f"<article><p>piece {i}</p>{notice if i < 8 else ''}{'<p>quoted</p>' if i < 5 else ''}</article>") for i in range(11)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Home\nsome plain text\nmore plain text"
+    assert all(got[10 + i] == "some copied text\nmore copied text" for i in range(6))
+    assert got[100] == "some 0 text\nmore quoted text" and got[150] == "some 50 text\nmore -50 text"
+    assert got[200] == "piece 0\nquoted" and got[210] == "piece 10"
+
+
+def test_html_class_names():
+    from lendframe.llm.html_extraction import _boilerplate, main_text, parse
+    assert all(map(_boilerplate, ["nav", "site-nav", "share-buttons", "cookie_notice", "related-posts", "ad-slot-3"]))
+    assert not any(map(_boilerplate, ["no-sidebar", "has-comments", "share-price", "ad-hoc", "notice-period-law", "post", "-"]))
+    root = parse("<article class='entry no-sidebar'><p class='share-price'>up</p><p class='promo'>buy</p></article>")
+    kinds = {}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        kinds[id(node)] = 2
+        todo.extend(x for x in node.parts if not isinstance(x, str))
+    assert main_text(root, [], kinds, {}) == "up"
+
+
 def test_toxicity_learns_and_keeps_columns(spark):
     from lendframe.llm.toxicity import accepted, fit, scored
     rows = [(i, prose(30) + (" zorkig" if i % 4 == 0 else "") + " end", 1) for i in range(400)] + [(400, None, 1), (None, "zorkig", 1)]
