@@ -7,7 +7,9 @@ tiles; in a tile every slice is a list of partial scores.
    safe cutoff, as at least k rows reach it.
 2. The cutoff goes back to the tiles. A row that reaches it has a partial score of at least
    cutoff / slices in some list, whatever the signs, so only such entries are collected.
-3. The entries' remaining partial scores are added, and the k best of a tile are passed on.
+3. Of these, the entries that reach the cutoff in total are kept, and the k best of a tile are passed on.
+
+Both searches add up the slices of every pair of a tile: the cutoff saves no score, only entries.
 """
 
 from __future__ import annotations
