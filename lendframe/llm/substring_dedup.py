@@ -24,8 +24,8 @@ from lendframe.llm import words as W
 from lendframe.llm.tables import batch_of, keyed, mapped, signed, text_blocks, written
 
 WINDOW, GRAM = 20, 5
-_SEGMENT = "seed long, content long, doc_id long, th int, start long, size int, settled boolean"
-_FOUND = "doc_id long, th int, start long, size int, settled boolean"
+_SEGMENT = "seed long, content long, doc_id long, th long, start long, size int, settled boolean"
+_FOUND = "doc_id long, th long, start long, size int, settled boolean"
 
 
 def _segments(window: int, gram: int):
@@ -62,7 +62,7 @@ def _segments(window: int, gram: int):
             ids, th, size = ids.take(pa.array(at)), th[at], size[at]
             # a settled row only travels; it is spread evenly
             seeds = np.where(settled, W.mix(content + begin.astype(np.uint64)), seeds)
-            yield batch_of(seed=signed(seeds), content=signed(content), doc_id=ids, th=pa.array(th, pa.int32()),
+            yield batch_of(seed=signed(seeds), content=signed(content), doc_id=ids, th=pa.array(th, pa.int64()),
                            start=signed(place), size=pa.array(size.astype(np.int32)), settled=pa.array(settled))
     return run
 
@@ -201,14 +201,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their text; a null id is the smallest; rows repeated with id and text are one document and get
     one answer. A null or empty text has no words and stays empty.
     """
-    rows = keyed(docs, id_col, text_col).withColumn("th", F.expr("CAST(th & 2147483647L AS INT)"))
+    rows = keyed(docs, id_col, text_col)
     segments = mapped(rows, _segments(window, gram), _SEGMENT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lined = segments.repartition(parts, "seed").sortWithinPartitions("seed", "content", "doc_id", "th", "start")
     found = written(mapped(lined, _settle, _FOUND), "segments")
 
     open_ = found.where("NOT settled").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size")).alias("marks"))
-    windows = mapped(_beside(rows, open_, "inner"), _windows(window), "h1 long, h2 long, doc_id long, th int, start long")
+    windows = mapped(_beside(rows, open_, "inner"), _windows(window), "h1 long, h2 long, doc_id long, th long, start long")
     windows = written(windows, "windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "start")).alias("first"),
                                             F.count("*").alias("n")).where("n > 1").drop("n")
