@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendframe.llm import words as W
 from lendframe.llm.tables import batch_of, keyed, mapped, signed, written
 
 SIZE, END_ID = 4096, 2
@@ -28,6 +29,7 @@ _SPACE = " \t\n\r\f\v"
 # Pre-tokens end at white space and between such a word and such punctuation, so ids never join two units.
 _UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-/:-@\[-`{-~]*(?:[%s]|\Z))|[^%s]+" % (_SPACE, _SPACE))
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_BLANK = np.isin(np.arange(256), np.frombuffer(_SPACE.encode(), np.uint8))
 _CODERS: dict[str, "Coder"] = {}
 
 
@@ -60,12 +62,21 @@ class Coder:
             out[u] = np.array(e.ids, np.uint16).tobytes()
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, each with the end id, as 16-bit numbers."""
-        for blank in _SPACE[1:]:
-            texts = [t.replace(blank, " ") for t in texts]
-        docs, known = [t.split(" ") for t in texts], self.known
-        new = set(chain.from_iterable(docs)).difference(known)
+    def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts that lie one after another in data, each with the end id, and the number of each.
+
+        Words, with the white space behind them, are numbered by Arrow's exact dictionary; only words
+        that were not met before are tokenised.
+        """
+        blank = _BLANK[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = blank[:-1] & ~blank[1:]
+        cut[bounds] = True
+        starts = np.flatnonzero(cut)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)])
+        coded = chunks.dictionary_encode()
+        different, known = [c.decode().strip(_SPACE) for c in coded.dictionary.to_pylist()], self.known
+        new = set(different).difference(known)
         if new:
             parts = {chunk: _UNIT.findall(chunk) for chunk in new}
             learned = self._learn(list(set(chain.from_iterable(parts.values())).difference(known)))
@@ -75,9 +86,16 @@ class Coder:
             if len(known) < REMEMBERED:
                 known.update(learned)
             else:
-                known = learned | {c: known[c] for doc in docs for c in doc if c in known}
-        end = np.uint16(END_ID).tobytes()
-        return [b"".join([*map(known.__getitem__, doc), end]) for doc in docs]
+                self.known = known = {c: learned[c] if c in learned else known[c] for c in different}
+        blobs = [known[c] for c in different]
+        table = np.frombuffer(b"".join(blobs), np.uint16)
+        many = np.array([len(b) // 2 for b in blobs], np.int64)
+        code = coded.indices.to_numpy()
+        many, begin = many[code], (np.cumsum(many) - many)[code]
+        after = np.concatenate([[0], np.cumsum(many)])
+        flat = table[np.arange(after[-1]) + np.repeat(begin - after[:-1], many)]
+        ends = after[np.searchsorted(starts, bounds)]
+        return np.insert(flat, ends[1:], END_ID), np.diff(ends) + 1
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -115,17 +133,16 @@ def _tokenised(path: str, dimensions: int, bits: int):
         coder = _CODERS[path]
         table = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (1 << 16, dimensions))
         for batch in batches:
-            step = 512
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                blobs = coder.ids(part.column("text").to_pylist())
-                n = np.array([len(x) // 2 for x in blobs])
-                flat = np.frombuffer(b"".join(blobs), np.uint16)
+            for a, b, data, bounds in W.blocks(batch.column("text")):
+                part = batch.slice(a, b - a)
+                flat, n = coder.ids(data, bounds)
                 begin = np.cumsum(n) - n
                 mean = np.stack([np.add.reduceat(table[flat, d], begin) for d in range(dimensions)], 1) / np.sqrt(n)[:, None]
                 cells = np.clip((mean / 16 + 0.5) * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [
+                    None, pa.py_buffer(2 * np.append(begin, len(flat))), pa.py_buffer(flat)]).cast(pa.binary())
                 yield batch_of(doc_id=part.column("doc_id"), th=part.column("th"), place=signed(hilbert_key(cells, bits)),
-                               n=signed(n), ids=pa.array(blobs, pa.binary()))
+                               n=signed(n), ids=ids)
     return run
 
 
