@@ -25,6 +25,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4  # a pair at 0.8 misses all bands once in 40,000 times
 TOLERANCE, STEP = 1e-6, 16
 TILE = 512
+#: Bits of the filter in front of the join that fetches n-gram sets: 4 MB.
+FILTER_BITS = 1 << 25
 _SIGNATURE = "doc_id long, th long, rid long, n_shingles long, sig array<int>"
 
 
@@ -83,15 +85,51 @@ def _signatures(shingle: int, hashes: int):
     return run
 
 
-def _sets(shingle: int):
+def _places(rows: pa.RecordBatch) -> list[np.ndarray]:
+    """Two places of each row's key in a bit table of FILTER_BITS."""
+    ids = rows.column("doc_id").fill_null(-1).to_numpy().view(np.uint64)
+    h = W.mix(W.mix(ids) ^ rows.column("th").to_numpy().view(np.uint64))
+    return [h & np.uint64(FILTER_BITS - 1), h >> np.uint64(64 - FILTER_BITS.bit_length() + 1)]
+
+
+def _marked(batches):
+    """The 64-bit words of the bit table that a batch of keys sets bits in."""
+    for batch in batches:
+        at = np.concatenate(_places(batch))
+        word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+        order = np.argsort(word)
+        word, bit = word[order], bit[order]
+        first = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
+        if len(first):
+            yield batch_of(word=signed(word[first]), bits=signed(np.bitwise_or.reduceat(bit, first)))
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over the keys: at most FILTER_BITS / 64 rows come to the driver.
+
+    With very many keys it lets more rows through; the join behind it is exact.
+    """
+    rows = mapped(keys.select("doc_id", "th"), _marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = rows.toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def _sets(shingle: int, bits: np.ndarray):
+    """N-gram sets of the rows whose key may be wanted, so that no other text is shuffled."""
     def run(batches):
-        for rows, w in text_blocks(batches, W.alphanumeric()):
-            grams, many = _shingles(w, shingle)
-            ends = np.cumsum(many) * 8
-            blob = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), rows.num_rows,
-                [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(grams)])
-            yield batch_of(rid=rows.column("rid"), sig=rows.column("sig"), grams=blob.cast(pa.binary()))
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for at in _places(batch):
+                hit &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            for rows, w in text_blocks([batch.filter(pa.array(hit))], W.alphanumeric()):
+                grams, many = _shingles(w, shingle)
+                ends = np.cumsum(many) * 8
+                blob = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), rows.num_rows,
+                    [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(grams)])
+                yield batch_of(g_doc=rows.column("doc_id"), g_th=rows.column("th"), grams=blob.cast(pa.binary()))
     return run
 
 
@@ -216,12 +254,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # first on signatures alone: most tiles of later bands have no pair left, and n-gram sets are large
     alive = written(spread.join(sig, "rid").groupBy(*tile).applyInArrow(
         _tile(threshold, bands, rows, plan, False), "band int, key long, i int, j int, side int, rid long"), "alive")
-    # texts are asked for only now, for the classes with a pair left
+    # n-gram sets are made only now, for the classes with a pair left
     needed = written(source.join(alive.select("rid").distinct(), "rid"), "needed")
-    text = docs_k.join(needed, docs_k["doc_id"].eqNullSafe(needed["doc_id"]) & (docs_k["th"] == needed["th"])).select(
-        "rid", "text").dropDuplicates(["rid"])
-    sets = mapped(text.join(sig, "rid").select("rid", "sig", "text"), _sets(shingle),
-                  "rid long, sig array<int>, grams binary")
+    sets = mapped(docs_k, _sets(shingle, bit_table(needed)), "g_doc long, g_th long, grams binary")
+    sets = sets.join(needed, sets["g_doc"].eqNullSafe(needed["doc_id"]) & (sets["g_th"] == needed["th"])).select(
+        "rid", "grams").dropDuplicates(["rid"]).join(sig, "rid")
     found = alive.join(sets, "rid").groupBy(*tile).applyInArrow(
         _tile(threshold, bands, rows, plan, True), "rid long, to long, links long")
     found = written(found, "links")
