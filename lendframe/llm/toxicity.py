@@ -223,8 +223,11 @@ def scored(docs: DataFrame, model: Classifier, text_col: str = "text", out_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The document rows with a score under the limit; their columns stay as they were."""
+    """The document rows with a score under the limit; their columns, of whatever names, stay as they were.
+
+    Null and empty texts are scored as empty ones; repeated rows stay or go together; no rows give no rows.
+    """
     name = "toxicity"
-    while name in docs.columns:
+    while name in map(str.lower, docs.columns):
         name += "_"
     return scored(docs, fit(docs, labels), out_col=name).where(F.col(name) < limit).drop(name)

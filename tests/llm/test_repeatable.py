@@ -40,3 +40,15 @@ def test_tables_follow_the_seating_rule():
         spread = np.sqrt((plain.var() + draws[:, k].var()) / 600)
         assert abs(plain.mean() - draws[:, k].mean()) < 5 * spread + 1e-9
     assert draws.min() >= 1 and (draws.max(0) <= count).all()
+
+
+def test_pipeline_stages_with_clashing_column_names(spark):
+    from lendframe.llm import line_dedup, toxicity
+    run = "\n".join(f"line {k} of a run" for k in range(4))
+    docs = spark.createDataFrame([(1, run, "a", 0.5), (2, "head\n" + run, "b", 0.1), (3, None, "c", 0.2)],
+                                 "doc_id long, text string, _line_text string, Toxicity double")
+    got = {r.doc_id: r for r in line_dedup.cleaned(docs).collect()}
+    assert got[2].text == "head" and got[2]["_line_text"] == "b" and got[3].text is None
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    kept = toxicity.accepted(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 3
