@@ -121,18 +121,24 @@ add("ev_17_score_histogram", "s:grp i:bin,n", lambda s, d: m.score_histogram(lin
     ["line_scores"])
 
 # ---------------------------------------------------------------- bootstrap
-N_BOOT = 40
-_POISSON = "CASE " + " ".join(f"WHEN u < {c!r}e0 THEN {k}" for k, c in enumerate(POISSON1)) + \
-    f" ELSE {len(POISSON1)} END"
+N_BOOT = 1000
+
+
+def _mix_sql(x: str, inside: str) -> str:
+    """Adds the scrambled 32-bit number of column x to a sub-query, step by step."""
+    def times(c: str, factor: int, shift: int, sub: str) -> str:
+        return f"SELECT * REPLACE ((xor({c}, {c} >> {shift}) * {factor}) % 4294967296 AS {c}) FROM ({sub})"
+    return f"SELECT * REPLACE (xor({x}, {x} >> 16) AS {x}) FROM ({times(x, 0xC2B2AE35, 13, times(x, 0x85EBCA6B, 16, inside))})"
 
 
 def reps_sql(seed=42) -> str:
-    return f"""
-hashed AS (SELECT *, md5(concat(CAST(id AS VARCHAR), ':', CAST(block AS VARCHAR), ':{seed}')) AS h
-  FROM scores, range(0, {(N_BOOT - 1) // 4 + 1}) b(block)),
-draws AS (SELECT *, block * 4 + i + 1 AS rep,
-  CAST('0x' || substr(h, CAST(1 + 8 * i AS INT), 8) AS BIGINT) / 4294967296e0 AS u FROM hashed, range(0, 4) j(i)),
-reps AS (SELECT * FROM (SELECT id, y, p, p2, rep, {_POISSON} AS w FROM draws) WHERE w > 0 AND rep <= {N_BOOT})"""
+    h = f"md5(concat(CAST(id AS VARCHAR), ':{seed}'))"
+    first = f"""SELECT id, y, p, p2, rep, CAST(CAST('0x' || substr({h}, 9, 8) AS BIGINT) AS UBIGINT) AS h1,
+      CAST((CAST('0x' || substr({h}, 1, 8) AS BIGINT) + rep * {bootstrap.GOLDEN}) % 4294967296 AS UBIGINT) AS u
+      FROM scores, range(1, {N_BOOT + 1}) r(rep)"""
+    drawn = _mix_sql("u", f"SELECT * REPLACE (xor(u, h1) AS u) FROM ({_mix_sql('u', first)})")
+    weight = " + ".join(f"CAST(u >= {int(c)} AS INT)" for c in bootstrap.STEPS)
+    return f"reps AS (SELECT * FROM (SELECT id, y, p, p2, rep, {weight} AS w FROM ({drawn})) WHERE w > 0)"
 
 
 def auc_sql(score: str, table: str, rep: str = "rep", weight: str = "w") -> str:
@@ -148,8 +154,7 @@ add("ev_8_bootstrap_auc", "d6:estimate,low,high i:n_boot",
         quantile_cont(v, {(1 - 0.95) / 2!r}e0) AS low, quantile_cont(v, {1 - (1 - 0.95) / 2!r}e0) AS high,
         count(*) AS n_boot FROM {auc_sql('p', 'reps')}""", ["scores"], reps_sql())
 add("spl_6_bootstrap_resamples", "i:rep,rows,total",
-    lambda s, d: bootstrap.replicates(scores(s, d).select("id"), "id", N_BOOT).groupBy("rep").agg(
-        F.count("*").alias("rows"), F.sum("w").alias("total")),
+    lambda s, d: bootstrap.replicate_totals(scores(s, d), "id", n_boot=N_BOOT).where("rep > 0"),
     "SELECT rep, count(*) AS rows, sum(w) AS total FROM reps GROUP BY 1", ["scores"], reps_sql())
 PAIRED = f"""diffs AS (SELECT a.v - b.v AS d FROM {auc_sql('p', 'reps')} a JOIN {auc_sql('p2', 'reps')} b USING (rep))"""
 add("ev_9_paired_bootstrap", "d6:difference,low,high,p_value i:significant",

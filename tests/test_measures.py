@@ -101,9 +101,43 @@ def test_bootstrap_interval(spark):
 
 
 def test_poisson_weights_have_mean_one(spark):
-    df = spark.range(2000)
-    got = bootstrap.replicates(df, "id", 20).groupBy("rep").agg((F.sum("w") / 2000).alias("m")).collect()
-    assert len(got) == 20 and all(abs(r["m"] - 1) < 0.1 for r in got)
+    got = bootstrap.replicate_totals(spark.range(2000), "id", n_boot=20).where("rep > 0").collect()
+    assert len(got) == 20 and all(abs(r["total"] / 2000 - 1) < 0.1 for r in got)
+    assert all(abs(r["rows"] / 2000 - (1 - 1 / 2.718281828)) < 0.05 for r in got)
+
+
+def test_bootstrap_replicates_are_weighted_aucs(spark, monkeypatch):
+    """Ties, a score that half of the rows hold, chunks, several batches and slices against plain weighted counts."""
+    import hashlib
+
+    import numpy as np
+    monkeypatch.setattr(bootstrap, "ROWS", 50)
+    monkeypatch.setattr(bootstrap, "FAN", 3)
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(2), 0.5 if rng.random() < 0.5 else rng.randrange(60) / 60) for i in range(900)]
+    rows += [(1000, None, 0.3), (1001, 1, None)]
+    df = spark.createDataFrame(rows, "id long, y int, p double")
+    got = {r["rep"]: r["value"] for r in bootstrap.auc_replicates(df, "id", "y", "p", 7).collect()}
+    known = [r for r in rows if None not in r]
+    h = np.array([[int(hashlib.md5(f"{i}:42".encode()).hexdigest()[8 * k:8 * k + 8], 16) for k in (0, 1)] for i, _, _ in known])
+    w = bootstrap.weights(h[:, 0], h[:, 1], 7).astype(int)
+    y, p = np.array([r[1] for r in known]), np.array([r[2] for r in known])
+    above = (p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :])
+    for rep in range(8):
+        pos, neg = w[:, rep] * (y == 1), w[:, rep] * (y == 0)
+        assert got[rep] == pytest.approx(pos @ above @ neg / (pos.sum() * neg.sum()))
+    assert len(got) == 8
+
+
+def test_bootstrap_of_losses_and_of_any_metric(spark):
+    df, _ = scored(spark, 800)
+    brier = bootstrap.bootstrap_ci(df, "id", "y", "p", "brier", 50).first()
+    assert brier["estimate"] == pytest.approx(df.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2))).first()[0])
+    ks = bootstrap.bootstrap_ci(df, "id", "y", "p", metrics.ks_metric, 20).first()
+    assert brier["low"] < brier["estimate"] < brier["high"] and ks["n_boot"] == 20 and ks["low"] < ks["high"]
+    one_class = bootstrap.bootstrap_ci(df.where("y = 1"), "id", "y", "p", n_boot=5).first()
+    assert one_class["estimate"] is None and one_class["n_boot"] == 0
+    assert bootstrap.bootstrap_ci(df.where("y > 5"), "id", "y", "p", n_boot=5).first()["n_boot"] == 0
 
 
 def test_holm_and_mcnemar(spark):
