@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lendframe.functions.hashing import hash_uniform
 from lendframe.functions.stable import sigmoid
 from lendframe.models.learners import platt
-from lendframe.operators import metrics
+from lendframe.operators import bootstrap, metrics
 from lendframe.operators.stats_tests import five_by_two
 from lendframe.operators.joins import beside
 
@@ -32,6 +33,100 @@ def out_of_fold(make: Callable, df: DataFrame, label: str, fold: str = "fold",
     return out
 
 
+# ---------------------------------------------------------------- stored scores
+SCORES = "id long, y int, p double, model string, fold int"
+
+
+def _folder(path: str, model: str, fold: int) -> str:
+    """Names are escaped as Spark escapes them in partition folders."""
+    return f"{path}/model={quote(model, safe='')}/fold={fold}"
+
+
+def finished(spark, path: str, model: str, fold: int) -> bool:
+    """Is this model's fold stored whole? A write that was broken off leaves no mark."""
+    from lendframe.sources.tables import exists
+    return exists(spark, f"{_folder(path, model, fold)}/_SUCCESS")
+
+
+def store_fold(scored: DataFrame, path: str, model: str, fold: int) -> None:
+    scored.select(F.col("id").cast("long"), F.col("y").cast("int"), F.col("p").cast("double")).write.mode("overwrite").parquet(
+        _folder(path, model, fold))
+
+
+def stored_scores(spark, path: str, models: Sequence[str] | None = None) -> DataFrame:
+    """id, y, p, model, fold of everything stored, or of some models; only their folders are read."""
+    scores = spark.read.schema(SCORES).parquet(path)
+    return scores if models is None else scores.where(F.col("model").isin(*models))
+
+
+def run_or_load(spark, path: str, model: str, make: Callable, df: DataFrame, label: str, key: str = "id", fold: str = "fold",
+                folds: Sequence[int] = (1, 2, 3, 4, 5)) -> int:
+    """Stores out-of-fold scores of a learner, a folder a fold; folds that are stored are not fitted again.
+
+    Returns how many fits it made, so a run that was broken off goes on where it stopped.
+    """
+    open_ = [k for k in folds if not finished(spark, path, model, k)]
+    rows = df.withColumnsRenamed({key: "id", label: "y"}).persist(StorageLevel.MEMORY_AND_DISK) if open_ else None
+    for k in open_:
+        fitted = make().fit(rows.where(F.col(fold) != k), "y")
+        store_fold(fitted.transform(rows.where(F.col(fold) == k)), path, model, k)
+    if rows is not None:
+        rows.unpersist()
+    return len(open_)
+
+
+def run_or_load_sets(spark, path: str, sets: dict[str, Sequence[str]], df: DataFrame, label: str, key: str = "id", fold: str = "fold",
+                     folds: Sequence[int] = (1, 2, 3, 4, 5), C: float = 0.1) -> int:
+    """The same for logistic regressions on several column sets, all of which are fitted in the same passes."""
+    from lendframe.models import joint_cv
+    open_ = {n: c for n, c in sets.items() if not all(finished(spark, path, n, k) for k in folds)}
+    if not open_:
+        return 0
+    table = joint_cv.prepared(df, key, label, fold, list(dict.fromkeys(c for cols in open_.values() for c in cols)))
+    scored = joint_cv.out_of_fold(table, joint_cv.fit_logistic(table, open_, C)).persist(StorageLevel.MEMORY_AND_DISK)
+    for n in open_:
+        for k in folds:
+            store_fold(scored.where(F.col("fold") == k).withColumn("p", F.col(f"`{n}`")), path, n, k)
+    scored.unpersist()
+    return len(open_) * len(folds)
+
+
+def side_by_side(scores: DataFrame, models: Sequence[str]) -> DataFrame:
+    """id, y and one column of scores a model."""
+    return scores.groupBy("id").agg(F.max("y").alias("y"), *[F.max(F.when(F.col("model") == n, F.col("p"))).alias(n) for n in models])
+
+
+def model_results(scores: DataFrame, models: Sequence[str], n_boot: int = 200, seed=42) -> DataFrame:
+    """One row a model, best first: metrics of all out-of-fold scores, interval of the AUC, mean and deviation over folds."""
+    reps = bootstrap.metric_replicates(side_by_side(scores, models), "id", "y", models, "roc_auc", n_boot, seed)
+    ends = reps.agg(*[F.percentile(F.when(F.col("rep") > 0, F.col(f"`{n}`")), [0.025, 0.975]).alias(n) for n in models])
+    ends = ends.select(F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"`{n}`").alias("q")) for n in models])).alias("e"))
+    ends = ends.select("e.model", F.col("e.q")[0].alias("roc_auc_low"), F.col("e.q")[1].alias("roc_auc_high"))
+    by_fold = metrics.rank_metrics(scores, "y", "p", by=["model", "fold"]).groupBy("model").agg(
+        F.avg("roc_auc").alias("fold_mean"), F.stddev_samp("roc_auc").alias("fold_std"))
+    whole = metrics.evaluate(scores, "y", "p", by=["model"])
+    return whole.join(by_fold, "model").join(ends, "model").orderBy(F.desc("roc_auc"))
+
+
+def ablation_table(scores: DataFrame, steps: Sequence[str], n_boot: int = 300, seed=42) -> DataFrame:
+    """step, roc_auc and its interval; gain over the step before with the interval of the paired replicates, and
+    whether that interval leaves out 0."""
+    reps = bootstrap.metric_replicates(side_by_side(scores, steps), "id", "y", steps, "roc_auc", n_boot, seed)
+    drawn, parts = F.col("rep") > 0, []
+    for before, step in zip([None, *steps], steps):
+        value = F.col(f"`{step}`")
+        gain = value - F.col(f"`{before}`") if before else F.lit(None).cast("double")
+        first = F.col("rep") == 0
+        parts.append(F.struct(
+            F.lit(step).alias("step"), F.max(F.when(first, value)).alias("roc_auc"),
+            F.percentile(F.when(drawn, value), [0.025, 0.975]).alias("q"), F.max(F.when(first, gain)).alias("gain"),
+            F.percentile(F.when(drawn, gain), [0.025, 0.975]).alias("g")).alias(f"s{len(parts)}"))
+    rows = reps.agg(*parts).select(F.explode(F.array(*[f"s{i}" for i in range(len(parts))])).alias("r")).select("r.*")
+    low, high = F.col("g")[0], F.col("g")[1]
+    return rows.select("step", "roc_auc", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "gain", low.alias("gain_low"),
+                       high.alias("gain_high"), ((low > 0) | (high < 0)).cast("int").alias("significant"))
+
+
 def fold_metrics(scored: DataFrame, label: str, fold: str = "fold") -> DataFrame:
     return metrics.evaluate(scored, label, "p", by=[fold])
 

@@ -163,7 +163,7 @@ add("dec_10_money_cross", "s:conformal,money_rule i:n d6:share,default_rate",
         FROM scores, cuts WHERE part = 'valid') GROUP BY 1, 2""", ["scores"], CUTS)
 add("spl_5_coverage_stability", "s:method i:repeat " + RATES,
     lambda s, d: conformal.half_split_stability(
-        splits.half_splits(_part(s, d, "conformal").select("id", "y", "p"), "id", 32), "y", "p", ALPHA),
+        splits.half_splits(_part(s, d, "conformal").select("id", "y", "p"), "id", 100), "y", "p", ALPHA),
     f"""SELECT method, repeat, {rates_sql()} FROM (SELECT *, {DECIDE} AS d FROM halves JOIN (
           SELECT 'one per class' AS method, repeat, max(CASE WHEN g % 2 = 0 THEN q END) AS q_repay,
             max(CASE WHEN g % 2 = 1 THEN q END) AS q_default
@@ -171,5 +171,5 @@ add("spl_5_coverage_stability", "s:method i:repeat " + RATES,
           UNION ALL SELECT 'one for everyone', g, q, q
           FROM {quantile_sql(TRUE_SCORE, '(SELECT * FROM halves WHERE fit = 1)', f'{1 - ALPHA!r}e0', 'repeat')}) USING (repeat)
         WHERE fit = 0) GROUP BY 1, 2""", ["scores"],
-    f"""halves AS (SELECT id, y, p, repeat, CASE WHEN substr({hash_sql('id', '42:0')}, CAST(repeat AS INT), 1) < '8'
-        THEN 1 ELSE 0 END AS fit FROM scores, range(1, 33) t(repeat) WHERE part = 'conformal')""")
+    f"""halves AS (SELECT id, y, p, repeat, CASE WHEN substr({' || '.join(hash_sql('id', f'42:{b}') for b in range(4))}, CAST(repeat AS INT), 1) < '8'
+        THEN 1 ELSE 0 END AS fit FROM scores, range(1, 101) t(repeat) WHERE part = 'conformal')""")

@@ -7,12 +7,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from lendframe.models import learners, moments, runner
+from lendframe.models import joint_cv, learners, moments, runner
 from lendframe.operators import encoders, metrics, neighbours, oversample
 from lendframe.operators.fairness import reweighing
 from lendframe.operators.ranking import hash_rank
 from lendframe.plans.adapters import raw, view
+from lendframe.plans.feature_table import family_columns
 from lendframe.queries.encoding import LABELLED, MODEL_INPUTS, model_rows
+from lendframe.queries.features import features
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import hash_sql, hex_sql
 from lendframe.operators.joins import beside
@@ -190,13 +192,101 @@ add("md_18_weighted_fit", P, _weighted)
 
 
 # ---------------------------------------------------------------- runner
+# The ablation adds one source table after the other
+STEPS = {"main table": ["APP_"], "+ bureau": ["BUR_", "BB_"], "+ previous": ["PREV_"], "+ installments": ["INST_"], "+ POS/cash": ["POS_"],
+         "+ credit cards": ["CC_"]}
+
+
+def feature_rows(s, d):
+    """The feature table with id, y and fold: all columns, labelled applicants."""
+    rows = features(s, d).where("TARGET IS NOT NULL").withColumn("fold", (encoders.hash_fold("SK_ID_CURR", 5) + 1).cast("int"))
+    return rows.withColumnsRenamed({"SK_ID_CURR": "id", "TARGET": "y"})
+
+
+def nested_sets(columns):
+    """Step -> its feature columns and those of all steps before it."""
+    families, out = [], {}
+    for step, more in STEPS.items():
+        families += more
+        out[step] = family_columns(columns, families)
+    return out
+
+
+def _scores_of_steps(s, d, steps):
+    rows, path = feature_rows(s, d), fresh_folder(s, "oof")
+    sets = nested_sets(rows.columns)
+    runner.run_or_load_sets(s, path, {n: sets[n] for n in steps}, rows, "y")
+    return path, sets
+
+
+LAST = list(STEPS)[-1]
+FOLDED = f"folded AS (SELECT SK_ID_CURR AS id, TARGET AS y, {hex_sql(hash_sql('SK_ID_CURR', 42))} % 5 + 1 AS fold FROM {LABELLED})"
+
+
 def _cv(s, d):
-    return runner.out_of_fold(lambda: learners.logistic_regression(FEW), model_rows(s, d), "y").select("id", "fold", "y", "p")
+    path, _ = _scores_of_steps(s, d, [LAST])
+    return runner.stored_scores(s, path, [LAST])
 
 
 add("ev_12_out_of_fold", "i:id,fold,y d6:p", _cv)
 
 
+def _stored(s, d):
+    """Every row is scored once, by the model without its fold; a second run makes no fit."""
+    path, sets = _scores_of_steps(s, d, [LAST])
+    again = runner.run_or_load_sets(s, path, {LAST: sets[LAST]}, feature_rows(s, d), "y")
+    return runner.stored_scores(s, path).groupBy("id").agg(
+        F.max("fold").alias("fold"), F.max("y").alias("y"), F.count("*").alias("times"),
+        F.max(F.col("p").between(0, 1).cast("int")).alias("inside")).withColumn("fits_of_second_run", F.lit(again))
+
+
+add("ev_12_stored_scores", "i:id,fold,y,times,inside,fits_of_second_run", _stored,
+    "SELECT id, fold, y, 1 AS times, 1 AS inside, 0 AS fits_of_second_run FROM folded", APP, FOLDED)
+
+
+def _results(s, d):
+    path, _ = _scores_of_steps(s, d, ["main table", LAST])
+    return runner.model_results(runner.stored_scores(s, path), ["main table", LAST])
+
+
+add("ev_7_model_results", "s:model i:n d6:roc_auc,roc_auc_low,roc_auc_high,fold_mean,fold_std,pr_auc,ks,brier,ece", _results)
+
+
+def _ablation(s, d):
+    path, sets = _scores_of_steps(s, d, STEPS)
+    table = runner.ablation_table(runner.stored_scores(s, path), list(STEPS))
+    sizes = F.create_map(*[F.lit(x) for n, c in sets.items() for x in (n, len(c))])
+    return table.withColumn("features", sizes[F.col("step")])
+
+
+add("ev_15_ablation", "s:step i:features,significant d6:roc_auc,low,high,gain,gain_low,gain_high", _ablation)
+
+
+def _ablation_rows(s, d):
+    path, _ = _scores_of_steps(s, d, STEPS)
+    return runner.stored_scores(s, path).groupBy(F.col("model").alias("step"), "fold").agg(
+        F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.sum("y").alias("bad"))
+
+
+add("ev_15_ablation_rows", "s:step i:fold,rows,ids,bad", _ablation_rows,
+    f"""SELECT step, fold, count(*) AS rows, count(DISTINCT id) AS ids, sum(y) AS bad
+        FROM folded, (SELECT unnest({list(STEPS)!r}) AS step) GROUP BY 1, 2""", APP, FOLDED)
+
+
+def _optimum(s, d):
+    """Logistic regression on the feature table: no part of a model's gradient is left."""
+    rows = feature_rows(s, d)
+    table = joint_cv.prepared(rows, "id", "y", "fold", nested_sets(rows.columns)[LAST])
+    fit = joint_cv.fit_logistic(table, {LAST: table.inputs})[LAST]
+    flat = s.createDataFrame([(k, int(fit.slope <= 1e-4), int(abs(fit.weights[i]).max() < 100)) for i, k in enumerate(table.folds)],
+                             "fold int, flat int, bounded int")
+    return rows.groupBy("fold").agg(F.count("*").alias("held_out")).join(flat, "fold")
+
+
+add("md_2_feature_table", "i:fold,held_out,flat,bounded", _optimum,
+    "SELECT fold, count(*) AS held_out, 1 AS flat, 1 AS bounded FROM folded GROUP BY 1", APP, FOLDED)
+
+
 def _five_by_two(s, d):
     rows = model_rows(s, d)
     out = None
@@ -211,14 +301,6 @@ def _five_by_two(s, d):
 add("ev_11_five_by_two", "d6:t,p_value,mean_difference", _five_by_two)
 
 
-def _ablation(s, d):
-    rows = model_rows(s, d)
-    steps = {"amounts": learners.Inputs(FEW.numeric[:2]), "with scores": learners.Inputs(FEW.numeric), "with text": FEW}
-    runs = {n: runner.out_of_fold(lambda i=i: learners.decision_tree(i, 4, 20), rows, "y") for n, i in steps.items()}
-    return runner.results_table(runs, "y")
-
-
-add("ev_15_ablation", "s:model i:n d6:auc,auc_std,pr_auc,ks,brier", _ablation)
 add("ev_16_learning_curve", "d:share,train_auc,held_auc",
     lambda s, d: runner.learning_curve(lambda: learners.logistic_regression(FEW), *halves(s, d), "id", "y", [0.2, 0.5, 1.0]))
 add("tu_1_grid", "i:n,num_leaves,min_child_samples d:learning_rate", lambda s, d: raw(s, d, "region").agg(

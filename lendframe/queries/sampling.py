@@ -74,12 +74,12 @@ add("spl_3_undersample", "i:id,y d:p",
     f"""SELECT id, y, p FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {hash_sql('id', 3)}, id) AS r
         FROM scores) WHERE y = 1 OR r <= (SELECT floor(sum(y) / 0.8e0) FROM scores)""", views=["scores"])
 add("spl_5_half_splits", "i:repeat,n,fit_rows,fit_bad",
-    lambda s, d: splits.half_splits(view(s, d, "scores").select("id", "y"), "id", 40).groupBy("repeat").agg(
+    lambda s, d: splits.half_splits(view(s, d, "scores").select("id", "y"), "id", 100).groupBy("repeat").agg(
         F.count("*").alias("n"), F.sum("fit").alias("fit_rows"),
         F.sum(F.col("fit") * F.col("y")).alias("fit_bad")),
     f"""SELECT repeat, count(*) AS n, sum(fit) AS fit_rows, sum(fit * y) AS fit_bad FROM (
-        SELECT y, repeat, CASE WHEN substr({hash_sql('id', '42:0')} || {hash_sql('id', '42:1')}, CAST(repeat AS INT), 1) < '8'
-          THEN 1 ELSE 0 END AS fit FROM scores, range(1, 41) t(repeat)) GROUP BY 1""", views=["scores"])
+        SELECT y, repeat, CASE WHEN substr({' || '.join(hash_sql('id', f'42:{b}') for b in range(4))}, CAST(repeat AS INT), 1) < '8'
+          THEN 1 ELSE 0 END AS fit FROM scores, range(1, 101) t(repeat)) GROUP BY 1""", views=["scores"])
 add("spl_7_two_fold_five_times", "i:repeat,id,fold",
     lambda s, d: _two_fold(s, d),
     " UNION ALL ".join(f"""SELECT {i} AS repeat, id, (row_number() OVER (PARTITION BY y ORDER BY
