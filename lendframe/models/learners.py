@@ -31,20 +31,79 @@ class Inputs:
     large: list[str] = field(default_factory=list)
 
 
+def inputs_of(inputs: dict, crossed: bool = False) -> dict[str, Column]:
+    """Name -> expression of every model input, from what the preprocessor learned (plain numbers and names)."""
+    kind = inputs["kind"]
+    if kind == "linear":
+        return encoders.linear_columns(inputs["fit"], crossed)
+    if kind == "woe":
+        return woe.woe_columns(inputs["rules"])
+    if kind == "tree":
+        fill = inputs["fill"]
+        out = {c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c][0])) for c in fill}
+        out.update({f"{c}_missing": F.isnull(c).cast("double") for c in fill if fill[c][1]})
+        return out | {c: F.coalesce(F.col(f"{c}_number"), F.when(F.isnull(c), -2.0).otherwise(-1.0)) for c in inputs["levels"]}
+    return {}
+
+
+def with_levels(df: DataFrame, inputs: dict, crossed: bool = False) -> DataFrame:
+    """The rows with what `inputs_of` needs from stored level tables."""
+    if inputs["kind"] == "linear" and not crossed:
+        return encoders.with_means(df, inputs["fit"])
+    return encoders.looked_up(df, inputs["levels"], "_number") if inputs["kind"] == "tree" else df
+
+
+def probability_of(output: dict) -> Column:
+    """The column ``p`` of a fitted model."""
+    from lendframe.models import moments
+    kind = output["kind"]
+    if kind == "constant":
+        return F.lit(output["p"])
+    if kind == "margin":
+        margin = vector_to_array(F.col("rawPrediction"))[1]
+        return margin if output["slope"] is None else sigmoid(margin * output["slope"] + output["intercept"])
+    if kind == "stumps":
+        votes, total = F.lit(0.0), sum(s[-1] for s in output["stumps"]) or 1.0
+        for feature, cut, left, right, alpha in output["stumps"]:
+            side = F.lit(float(left)) if feature is None else F.when(
+                F.col(f"_x{feature}") <= cut, float(left)).otherwise(float(right))
+            votes = votes + alpha * (2 * side - 1)
+        return sigmoid(votes / total)
+    if kind == "bayes":
+        return sigmoid(moments.naive_bayes_logit(output["model"]))
+    return second_class()
+
+
 @dataclass
 class Scored:
-    """A fitted model: preprocessing as projections, then an MLlib model, then ``p``."""
-    columns: dict[str, Column]
+    """A fitted model: preprocessing as projections, then an MLlib model if there is one, then ``p``.
+
+    inputs and output hold numbers, names and lists only, so `models.store` can write them as JSON.
+    """
+    inputs: dict
     model: PipelineModel | None
-    probability: Column
+    output: dict
     info: dict = field(default_factory=dict)
+    crossed: bool = False
+
+    @property
+    def columns(self) -> dict[str, Column]:
+        return inputs_of(self.inputs, self.crossed)
+
+    def ready(self, df: DataFrame) -> DataFrame:
+        """The rows with what ``columns`` are made of."""
+        return with_levels(df, self.inputs, self.crossed)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        from lendframe.models import moments
         names = {f"_x{i}": e for i, e in enumerate(self.columns.values())}
-        work = df.withColumns(names) if names else df
+        work = self.ready(df)
+        work = work.withColumns(names) if names else work
+        if self.output.get("axes"):
+            work = work.withColumns(moments.pca_columns(self.output["axes"]))
         if self.model is not None:
             work = self.model.transform(work)
-        return work.withColumn("p", self.probability).select(*[c for c in df.columns if c != "p"], "p")
+        return work.withColumn("p", probability_of(self.output)).select(*[c for c in df.columns if c != "p"], "p")
 
 
 def _assemble(columns: dict[str, Column], df: DataFrame, keep: Sequence[str]):
@@ -53,18 +112,20 @@ def _assemble(columns: dict[str, Column], df: DataFrame, keep: Sequence[str]):
     return rows, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
 
 
-def _fit(columns, estimator, df, label, weight, probability, info=None, fit_columns=None) -> Scored:
-    """fit_columns: the inputs of the rows to fit on, where they differ from those of rows to score."""
+def _fit(inputs: dict, estimator, df, label, weight, output: dict, info=None) -> Scored:
+    """Rows with cross-fitted encodings (see `Learner.training`) take these, rows to score the means of all rows."""
     keep = [label] + ([weight] if weight else [])
-    rows, assembler = _assemble(fit_columns or columns, df.where(F.col(label).isNotNull()), keep)
+    columns = inputs_of(inputs, crossed=True)
+    rows, assembler = _assemble(columns, with_levels(df.where(F.col(label).isNotNull()), inputs, crossed=True), keep)
     estimator.setLabelCol(label)
     if weight:
         estimator.setWeightCol(weight)
     model = Pipeline(stages=[assembler, estimator]).fit(rows)
-    return Scored(columns, model, probability, {"names": list(columns), **(info or {})})
+    return Scored(inputs, model, output, {"names": list(columns), **(info or {})})
 
 
 PROBABILITY = "probability"
+SECOND_CLASS = {"kind": "class"}
 
 
 def second_class() -> Column:
@@ -77,42 +138,35 @@ class Learner:
     def __init__(self, inputs: Inputs, make: Callable, kind: str = "linear", key: str = "id"):
         self.inputs, self.make, self.kind, self.key = inputs, make, kind, key
 
-    def training(self, df: DataFrame, label: str) -> tuple[dict[str, Column], dict[str, Column], DataFrame]:
-        """Inputs of rows to score, inputs of the rows to fit on, and these rows.
+    def training(self, df: DataFrame, label: str) -> tuple[dict, DataFrame]:
+        """What the preprocessor learned, and the rows to fit on.
 
-        They differ in target encodings: a fitted row takes its level's mean over the other folds.
+        For linear inputs these rows hold their target encodings: a level's mean over the other folds.
         """
-        i = self.inputs
-        if self.kind != "linear" or not i.large:
-            columns = self.columns(df, label)
-            return columns, columns, df
-        fit = encoders.fit_linear(df, self.key, label, i.numeric, i.small, i.large)
-        return (encoders.linear_columns(fit), encoders.linear_columns(fit, crossed=True),
-                encoders.cross_fitted(df, self.key, label, i.large))
-
-    def columns(self, df: DataFrame, label: str) -> dict[str, Column]:
+        learned = self.learned(df, label)
+        if self.kind != "linear" or not self.inputs.large:
+            return learned, df
+        return learned, encoders.cross_fitted(df, self.key, label, self.inputs.large)
+
+    def learned(self, df: DataFrame, label: str) -> dict:
         i = self.inputs
         if self.kind == "linear":
-            return encoders.linear_columns(encoders.fit_linear(df, self.key, label, i.numeric, i.small, i.large))
-        fill = encoders.fit_imputer(df, i.numeric)
-        out = {c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c][0])) for c in i.numeric}
-        out.update({f"{c}_missing": F.isnull(c).cast("double") for c in i.numeric if fill[c][1]})
+            return {"kind": "linear", "fit": encoders.fit_linear(df, self.key, label, i.numeric, i.small, i.large)}
         texts = [*i.small, *i.large]
-        levels = encoders.fit_levels(df, texts) if texts else {}
-        out.update({c: encoders.ordinal(F.col(c), levels[c]).cast("double") for c in texts})
-        return out
+        return {"kind": "tree", "fill": encoders.fit_imputer(df, i.numeric),
+                "levels": {c: encoders.path_of(encoders.level_numbers(df, c), "numbers") for c in texts}}
 
     def fit(self, df: DataFrame, label: str, weight: str | None = None) -> Scored:
         rows = df.where(F.col(label).isNotNull())
-        columns, inside, train = self.training(rows, label)
-        return _fit(columns, self.make(rows), train, label, weight, second_class(), fit_columns=inside)
+        learned, train = self.training(rows, label)
+        return _fit(learned, self.make(rows), train, label, weight, SECOND_CLASS)
 
 
 def dummy() -> Learner:
     class Prior:
         def fit(self, df, label, weight=None):
             share = df.agg(F.avg(label)).first()[0]
-            return Scored({}, None, F.lit(float(share)))
+            return Scored({"kind": "none"}, None, {"kind": "constant", "p": float(share)})
     return Prior()
 
 
@@ -153,10 +207,10 @@ class LayeredNet(Learner):
 
     def fit(self, df, label, weight=None):
         rows = df.where(F.col(label).isNotNull())
-        columns, inside, train = self.training(rows, label)
-        net = MultilayerPerceptronClassifier(layers=[len(columns), *self.hidden, 2], maxIter=self.max_iter,
+        learned, train = self.training(rows, label)
+        net = MultilayerPerceptronClassifier(layers=[len(inputs_of(learned)), *self.hidden, 2], maxIter=self.max_iter,
                                              seed=self.seed)
-        return _fit(columns, net, train, label, None, second_class(), fit_columns=inside)
+        return _fit(learned, net, train, label, None, SECOND_CLASS)
 
 
 def platt(df: DataFrame, score: str, label: str) -> tuple[float, float]:
@@ -187,15 +241,15 @@ class LinearMargin(Learner):
 
     def fit(self, df, label, weight=None):
         rows = df.where(F.col(label).isNotNull())
-        columns, inside, train = self.training(rows, label)
+        learned, train = self.training(rows, label)
         held = encoders.hash_fold(self.key, 5, "margin") == 0
         n = max(rows.count(), 1)
         svm = LinearSVC(regParam=1.0 / (self.C * n), maxIter=100, standardization=False)
-        margin = vector_to_array(F.col("rawPrediction"))[1]
-        first = _fit(columns, svm, train.where(~held), label, weight, margin, fit_columns=inside)
-        judged = Scored(inside, first.model, margin).transform(train.where(held))
+        raw = {"kind": "margin", "slope": None, "intercept": None}
+        first = _fit(learned, svm, train.where(~held), label, weight, raw)
+        judged = Scored(learned, first.model, raw, crossed=True).transform(train.where(held))
         slope, intercept = platt(judged, "p", label)
-        return Scored(columns, first.model, sigmoid(margin * slope + intercept), first.info)
+        return Scored(learned, first.model, {"kind": "margin", "slope": slope, "intercept": intercept}, first.info)
 
 
 class NystroemMargin(LinearMargin):
@@ -208,29 +262,29 @@ class NystroemMargin(LinearMargin):
 
     def fit(self, df, label, weight=None):
         rows = df.where(F.col(label).isNotNull())
-        columns = self.columns(rows, label)
-        x = F.array(*columns.values())
-        drawn = rows.orderBy(seeded_hash(F.col(self.key), self.seed)).limit(self.landmarks).select(x.alias("x")).collect()
+        learned, train = self.training(rows, label)
+        x = F.array(*inputs_of(learned, crossed=True).values())
+        drawn = train.orderBy(seeded_hash(F.col(self.key), self.seed)).limit(self.landmarks).select(x.alias("x")).collect()
         marks = np.unique(np.array([r["x"] for r in drawn], dtype=float), axis=0)
         gamma = self.gamma or 1.0 / marks.shape[1]
         near = np.exp(-gamma * ((marks[:, None, :] - marks[None, :, :]) ** 2).sum(axis=2))
         values, vectors = np.linalg.eigh(near)
         good = values > 1e-10 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-        kernel = KernelMap(columns, marks, gamma, whiten)
+        kernel = KernelMap(learned, marks, gamma, whiten)
         inner = LinearMargin(Inputs([f"_k{i}" for i in range(whiten.shape[1])]), self.C, self.key)
-        return Chained(kernel, inner.fit(kernel.transform(rows), label, weight))
+        return Chained(kernel, inner.fit(kernel.transform(train, crossed=True), label, weight))
 
 
 @dataclass
 class KernelMap:
     """Adds the kernel inputs _k0.. by Arrow batches: one matrix product per batch."""
-    columns: dict[str, Column]
-    marks: object
+    inputs: dict
+    marks: np.ndarray
     gamma: float
-    whiten: object
+    whiten: np.ndarray
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, crossed: bool = False) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((self.marks, self.gamma, self.whiten))
 
         @F.pandas_udf("array<double>")
@@ -241,7 +295,8 @@ class KernelMap:
             a = np.stack(x.to_numpy()).astype(float)
             d = (a * a).sum(axis=1)[:, None] + (marks * marks).sum(axis=1)[None, :] - 2 * a @ marks.T
             return pd.Series(list(np.exp(-gamma * np.maximum(d, 0)) @ whiten))
-        work = df.withColumn("_kernel", kernel(F.array(*self.columns.values())))
+        ready = with_levels(df, self.inputs, crossed)
+        work = ready.withColumn("_kernel", kernel(F.array(*inputs_of(self.inputs, crossed).values())))
         return work.select(*df.columns, *[F.col("_kernel")[i].alias(f"_k{i}") for i in range(self.whiten.shape[1])])
 
 
@@ -267,7 +322,7 @@ class WoeScorecard(Learner):
         rules = woe.fit_woe(rows, label, self.inputs.numeric, [*self.inputs.small, *self.inputs.large],
                             self.min_iv, self.max_features)
         lr = LogisticRegression(regParam=1.0 / (self.C * max(rows.count(), 1)), standardization=False, maxIter=100)
-        fitted = _fit(woe.woe_columns(rules), lr, rows, label, weight, second_class())
+        fitted = _fit({"kind": "woe", "rules": rules}, lr, rows, label, weight, SECOND_CLASS)
         linear = fitted.model.stages[1]
         fitted.info.update({"rules": rules, "coef": linear.coefficients.toArray().tolist(),
                             "intercept": linear.intercept})
@@ -286,8 +341,9 @@ class AdaBoost(Learner):
         import math
         from lendframe.session import durable
         rows = df.where(F.col(label).isNotNull())
-        columns = self.columns(rows, label)
-        work, assembler = _assemble(columns, rows, [label])
+        learned = self.learned(rows, label)
+        columns = inputs_of(learned)
+        work, assembler = _assemble(columns, with_levels(rows, learned), [label])
         work = durable(assembler.transform(work).select("features", F.col(label).cast("double").alias("y"),
                                                         F.lit(1.0).alias("w")))
         stumps = []
@@ -307,13 +363,7 @@ class AdaBoost(Learner):
                                                    * F.lit(1.0)).alias("w"))
             if (r + 1) % self.cut_every == 0:
                 work = durable(work)
-        names = [f"_x{i}" for i in range(len(columns))]
-        votes, total = F.lit(0.0), sum(a for *_, a in stumps) or 1.0
-        for feature, cut, left, right, alpha in stumps:
-            side = F.lit(float(left)) if feature is None else F.when(
-                F.col(names[feature]) <= cut, float(left)).otherwise(float(right))
-            votes = votes + alpha * (2 * side - 1)
-        return Scored(columns, None, sigmoid(votes / total), {"stumps": stumps, "names": list(columns)})
+        return Scored(learned, None, {"kind": "stumps", "stumps": stumps}, {"stumps": stumps, "names": list(columns)})
 
 
 def _stump(tree) -> tuple:
@@ -335,31 +385,17 @@ class NaiveBayes(Learner):
     def fit(self, df, label, weight=None):
         from lendframe.models import moments
         rows = df.where(F.col(label).isNotNull())
-        columns, inside, train = self.training(rows, label)
-        names = [f"_x{i}" for i in range(len(columns))]
+        learned, train = self.training(rows, label)
+        inside = inputs_of(learned, crossed=True)
+        names = [f"_x{i}" for i in range(len(inside))]
         work = train.select(label, *[e.alias(n) for n, e in zip(names, inside.values())])
+        axes = None
         if self.components:
-            pca = moments.fit_pca(work, names, min(self.components, len(names)))
-            axes = moments.pca_columns(pca)
-            model = moments.fit_naive_bayes(work.select(label, *[e.alias(n) for n, e in axes.items()]),
-                                            list(axes), label)
-            logit = moments.naive_bayes_logit(model)
-            return TwoStep(columns, axes, sigmoid(logit))
+            axes = moments.fit_pca(work, names, min(self.components, len(names)))
+            second = moments.pca_columns(axes)
+            work, names = work.select(label, *[e.alias(n) for n, e in second.items()]), list(second)
         model = moments.fit_naive_bayes(work, names, label)
-        return Scored(columns, None, sigmoid(moments.naive_bayes_logit(model)), {"model": model})
-
-
-@dataclass
-class TwoStep:
-    """Inputs, then derived inputs, then the probability."""
-    columns: dict[str, Column]
-    second: dict[str, Column]
-    probability: Column
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        work = df.withColumns({f"_x{i}": e for i, e in enumerate(self.columns.values())})
-        return (work.withColumns(self.second).withColumn("p", self.probability)
-                .select(*[c for c in df.columns if c != "p"], "p"))
+        return Scored(learned, None, {"kind": "bayes", "model": model, "axes": axes}, {"model": model})
 
 
 def important_columns(df: DataFrame, inputs: Inputs, label: str, k: int = 60, n_trees: int = 20,

@@ -16,8 +16,7 @@ from lendframe.operators.quantiles import fitted_quantiles
 from lendframe.operators.reshape import to_long
 from lendframe.operators.splits import hash_fold
 from lendframe.operators.joins import beside
-
-MAX_LEVELS = 20000
+from lendframe.session import fresh_folder
 
 
 def column_groups(df: DataFrame, max_onehot: int = 10) -> DataFrame:
@@ -59,26 +58,53 @@ def fit_scaler(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return {n: (row[f"m_{n}"] or 0.0, row[f"s_{n}"] or 1.0) for n in exprs}
 
 
-def _few(table: DataFrame) -> list:
-    """Rows of a level table that becomes part of an expression; a longer one is an error.
-
-    A column with more levels belongs in target_encode, which looks its levels up with a join.
-    """
-    rows = table.limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels")
-    return rows
-
-
 def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict:
-    """{column: sorted levels, None first when missing values occur}"""
-    pairs = _few(to_long(df, cols, kind="string").distinct())
+    """{column: sorted levels, None first when missing values occur}: for columns with a few levels, which
+    become part of an expression (`column_groups` tells which). Larger ones are looked up, see `looked_up`."""
+    pairs = to_long(df, cols, kind="string").distinct().collect()
     out: dict = {c: [] for c in cols}
     for r in pairs:
         out[r["column"]].append(r["value"])
     return {c: sorted(v, key=lambda x: (x is not None, x or "")) for c, v in out.items()}
 
 
+def level_numbers(df: DataFrame, column: str) -> DataFrame:
+    """level, value: the place of every level in their order, from 0. Levels are sorted in ranges, so there may be any number."""
+    levels = df.select(F.col(column).cast("string").alias("level")).where("level IS NOT NULL").distinct()
+    levels = stored(levels.repartitionByRange("level").sortWithinPartitions("level").withColumn("at", F.monotonically_increasing_id()), "levels")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before, total = [], 0
+    for r in levels.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a range
+        before += [F.lit(r["part"]), F.lit(total)]
+        total += r["count"]
+    if not before:
+        return levels.select("level", F.lit(0.0).alias("value"))
+    return levels.select("level", (place + F.create_map(*before)[part]).cast("double").alias("value"))
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """The table, written once to the session's shared folder."""
+    return df_at(table.sparkSession, path_of(table, name))
+
+
+def path_of(table: DataFrame, name: str) -> str:
+    path = fresh_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return path
+
+
+def df_at(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def looked_up(df: DataFrame, tables: dict[str, str], suffix: str) -> DataFrame:
+    """Adds ``<column><suffix>`` from stored tables (level, value) by a join; NULL where a level isn't known."""
+    for c, path in tables.items():
+        table = df_at(df.sparkSession, path).select(F.col("level").alias("_level"), F.col("value").alias(f"{c}{suffix}"))
+        df = df.join(table, df[c].cast("string").eqNullSafe(table["_level"]), "left").drop("_level")
+    return df
+
+
 def ordinal(value: Column, levels: Sequence[str]) -> Column:
     """Position among the known levels; -1 unknown, -2 missing."""
     out = F.when(value.isNull(), F.lit(-2))
@@ -134,7 +160,7 @@ def cross_fitted(df: DataFrame, key: str, label: str, large: Sequence[str], smoo
 
 def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], small: Sequence[str],
                large: Sequence[str] = (), smoothing: float = 10.0) -> dict:
-    """Everything the linear preprocessor learned, as plain numbers.
+    """Everything the linear preprocessor learned: plain numbers, and the paths of the stored tables of target means.
 
     Target means are those of all rows; the scale of an encoded column is that of its cross-fitted values.
     """
@@ -145,8 +171,8 @@ def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], smal
     flags = {f"{c}_missing": F.isnull(c).cast("double") for c in numeric if fill[c][1]}
     means = {}
     for c in large:
-        rows = _few(target_means(df, c, label, smoothing))
-        means[c] = ({r[c]: r["mean"] for r in rows}, rows[0]["_all"] if rows else 0.0)
+        table = target_means(df, c, label, smoothing).select(F.col(c).cast("string").alias("level"), F.col("mean").alias("value"))
+        means[c] = {"path": path_of(table, "means"), "default": df.agg(F.avg(label)).first()[0] or 0.0}
     encoded = {f"{c}_rate": F.col(f"{c}_crossed") for c in large}
     crossed = cross_fitted(df, key, label, large, smoothing)
     return {"caps": caps, "fill": fill, "means": means, "levels": fit_levels(df, small) if small else {},
@@ -154,19 +180,15 @@ def fit_linear(df: DataFrame, key: str, label: str, numeric: Sequence[str], smal
             "small": list(small), "large": list(large)}
 
 
-def _mean_column(value: Column, means: dict, default: float) -> Column:
-    known = {k: v for k, v in means.items() if k is not None}
-    missing = float(means.get(None, default))
-    if not known:
-        return F.when(value.isNull(), missing).otherwise(float(default))
-    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(float(v)))])
-    return F.when(value.isNull(), missing).otherwise(
-        F.coalesce(F.try_element_at(table, value), F.lit(float(default))))
+def with_means(df: DataFrame, fit: dict) -> DataFrame:
+    """Rows to score with ``<column>_mean``, the target mean of their level over all training rows."""
+    return looked_up(df, {c: m["path"] for c, m in fit["means"].items()}, "_mean")
 
 
 def linear_columns(fit: dict, crossed: bool = False) -> dict[str, Column]:
     """Name -> expression of every model input, in order. One projection.
 
+    Rows to score need the columns that `with_means` looks up.
     crossed: for the rows of `cross_fitted`, whose encoded values don't hold their own label.
     """
     def scaled(name: str, e: Column) -> Column:
@@ -183,6 +205,6 @@ def linear_columns(fit: dict, crossed: bool = False) -> dict[str, Column]:
         for level in fit["levels"][c]:
             out[f"{c}={level}"] = one_hot(F.col(c), level)
     for c in fit["large"]:
-        value = F.col(f"{c}_crossed") if crossed else _mean_column(F.col(c), *fit["means"][c])
+        value = F.col(f"{c}_crossed") if crossed else F.coalesce(F.col(f"{c}_mean"), F.lit(float(fit["means"][c]["default"])))
         out[f"{c}_rate"] = scaled(f"{c}_rate", value)
     return out

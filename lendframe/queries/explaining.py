@@ -74,7 +74,7 @@ add("ex_2_family_importance", "s:family d6:importance,share", _family,
 def _tree_contributions(s, d):
     rows = model_rows(s, d)
     fitted = learners.boosted_trees(FEW, n_trees=5, learning_rate=0.3, depth=3).fit(rows, "y")
-    return con.tree_contributions(rows, "id", fitted.columns, fitted.model.stages[1])
+    return con.tree_contributions(fitted.ready(rows), "id", fitted.columns, fitted.model.stages[1])
 
 
 add("ex_1_tree_contributions", "i:id s:feature d:value,impact", _tree_contributions)

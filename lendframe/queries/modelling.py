@@ -382,13 +382,22 @@ add("fa_7_proxy_test", "s:feature d:gain,roc_auc", _proxy)
 
 
 def _saved(s, d):
-    """A model written, read back with its feature order, and scored."""
+    """Models written, read back and scored beside the ones in memory: boosted trees, scorecard, linear with target means."""
     from lendframe.models.store import load_model, save_model
     train, held = halves(s, d)
-    fitted = learners.logistic_regression(FEW).fit(train, "y")
-    path = fresh_folder(s, "model")
-    save_model(fitted, FEW, train, "y", path, {"description": "logistic regression"})
-    return load_model(s, path).transform(held).select("id", "y", "p")
+    out = None
+    for name, make in {"boosted": lambda: learners.boosted_trees(MODEL_INPUTS, n_trees=10, learning_rate=0.2),
+                       "scorecard": lambda: learners.WoeScorecard(MODEL_INPUTS, min_iv=0.0),
+                       "logistic": lambda: learners.logistic_regression(MODEL_INPUTS)}.items():
+        fitted, path = make().fit(train, "y"), fresh_folder(s, "model")
+        save_model(s, fitted, path, {"description": name})
+        pair = fitted.transform(held).withColumnRenamed("p", "before").transform(load_model(s, path).transform)
+        part = pair.select(F.lit(name).alias("model"), "id", "y", F.col("before").eqNullSafe(F.col("p")).cast("int").alias("same"),
+                           F.col("p").between(0, 1).cast("int").alias("inside"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-add("md_20_saved_model", P, _saved)
+add("md_20_saved_model", "s:model i:id,y,same,inside", _saved,
+    """SELECT model, id, y, 1 AS same, 1 AS inside FROM folded, (SELECT unnest(['boosted', 'scorecard', 'logistic']) AS model)
+       WHERE fold = 1""", APP, FOLDED)

@@ -124,8 +124,8 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(spark: SparkSession, values: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode(
+def write_json(spark: SparkSession, values: dict, path: str, sort: bool = True) -> None:
+    spark.createDataFrame([(json.dumps(values, sort_keys=sort),)], "value string").coalesce(1).write.mode(
         "overwrite").text(path)
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.nulls import safe_corr
 from lendframe.models import learners, moments, runner
-from lendframe.operators import contributions, neighbours, oversample, woe
+from lendframe.operators import contributions, encoders, neighbours, oversample, woe
 from lendframe.plans import what_if
 from lendframe.plans.application import application_features
 from lendframe.plans.adapters import view
+from lendframe.session import fresh_folder
 from lendframe.sources import tables
 
 
@@ -44,6 +45,36 @@ def test_every_learner_gives_probabilities(toy, make):
     assert r["c"] is None or r["c"] > 0.1 or abs(r["c"]) < 1e-9
 
 
+LARGE = learners.Inputs(["a", "b"], ["colour"], ["town"])
+
+
+@pytest.mark.parametrize("make", [
+    learners.dummy, lambda: learners.logistic_regression(LARGE), lambda: learners.boosted_trees(LARGE, n_trees=5, learning_rate=0.2),
+    lambda: learners.WoeScorecard(LARGE), lambda: learners.NaiveBayes(LARGE, components=2), lambda: learners.AdaBoost(LARGE, rounds=3),
+    lambda: learners.LinearMargin(LARGE), lambda: learners.NystroemMargin(LARGE, landmarks=15),
+    lambda: learners.LayeredNet(LARGE, hidden=(4,), max_iter=20)],
+    ids=["prior", "logistic", "boosted", "scorecard", "bayes pca", "adaboost", "svm", "rbf", "net"])
+def test_a_loaded_model_gives_the_same_scores(spark, toy, make):
+    from lendframe.models.store import load_model, save_model
+    rows = toy.withColumn("town", F.when(F.col("id") % 11 > 0, F.concat(F.lit("town "), F.col("id") % 31)))
+    new = rows.where("fold = 1").withColumn("town", F.when(F.col("id") % 5 == 0, "never seen").otherwise(F.col("town")))
+    fitted, path = make().fit(rows.where("fold <> 1"), "y"), fresh_folder(spark, "model")
+    save_model(spark, fitted, path)
+    loaded = load_model(spark.newSession(), path)
+    before = {r["id"]: r["p"] for r in fitted.transform(new).collect()}
+    assert len(before) == new.count() and {r["id"]: r["p"] for r in loaded.transform(new).collect()} == before
+
+
+def test_thirty_thousand_levels_fit_and_score(spark):
+    many = spark.range(30000).select("id", F.concat(F.lit("level "), "id").alias("code"), (F.col("id") % 7).cast("double").alias("x"),
+                                     (F.col("id") % 3 == 0).cast("int").alias("y"))
+    inputs = learners.Inputs(["x"], [], ["code"])
+    for make in (lambda: learners.logistic_regression(inputs), lambda: learners.decision_tree(inputs, 3, 20)):
+        assert make().fit(many, "y").transform(many).where("p BETWEEN 0 AND 1").count() == 30000
+    numbers = encoders.level_numbers(many, "code").agg(F.countDistinct("value").alias("n"), F.max("value").alias("m")).first()
+    assert numbers["n"] == 30000 and numbers["m"] == 29999
+
+
 def test_out_of_fold_covers_every_row_once(toy):
     scored = runner.out_of_fold(lambda: learners.decision_tree(INPUTS, 3, 20), toy, "y", folds=(1, 2, 3))
     assert scored.count() == toy.count() == scored.select("id").distinct().count()
@@ -128,7 +159,7 @@ def test_synthetic_positives_lie_between_their_parents(toy):
 def test_tree_contributions_add_up_and_match_the_shapley_formula(toy):
     fitted = learners.boosted_trees(INPUTS, n_trees=4, learning_rate=0.3, depth=3, subsample=1.0).fit(toy, "y")
     model = fitted.model.stages[1]
-    long = contributions.tree_contributions(toy, "id", fitted.columns, model)
+    long = contributions.tree_contributions(fitted.ready(toy), "id", fitted.columns, model)
     base = contributions.expected_value(contributions.read_trees(model), 2.0)
     total = long.groupBy("id").agg((F.sum("impact") + F.lit(base)).alias("z"))
     worst = total.join(fitted.transform(toy), on="id").agg(
