@@ -134,11 +134,11 @@ def _moments(t: Table):
                 mine = fold != k
                 z = _inputs(t, k, fold[mine], x[mine], h[mine], s[mine])
                 sums[k] += np.concatenate([z.sum(0), (z * z).sum(0), [len(z)]])
-        yield _rows([f"{k}" for k in range(len(t.folds))], list(sums))
+        yield named_rows([f"{k}" for k in range(len(t.folds))], list(sums))
     return run
 
 
-def _rows(names: list[str], values: list[np.ndarray]) -> pa.RecordBatch:
+def named_rows(names: list[str], values: list[np.ndarray]) -> pa.RecordBatch:
     from pyspark import TaskContext
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), TaskContext.get().partitionId()), pa.int64()),
                                        pa.array([v.tobytes() for v in values], pa.binary())], names=["name", "part", "value"])
@@ -149,7 +149,7 @@ def _added(key, table):
     return pa.table({"name": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int64()), "value": pa.array([total.tobytes()], pa.binary())})
 
 
-def _summed(rows: DataFrame, kernel) -> dict[str, np.ndarray]:
+def summed(rows: DataFrame, kernel) -> dict[str, np.ndarray]:
     """Adds up what the tasks return, in a tree; one array a name comes to the driver, of a size set by the columns."""
     shape = "name string, part long, value binary"
     parts = rows.mapInArrow(kernel, shape)
@@ -164,7 +164,7 @@ def _summed(rows: DataFrame, kernel) -> dict[str, np.ndarray]:
 
 def _scaled(t: Table) -> None:
     """Mean and deviation of every input but the one-hot ones, for each fold left out."""
-    sums, d = _summed(t.rows, _moments(t)), len(t.inputs)
+    sums, d = summed(t.rows, _moments(t)), len(t.inputs)
     mean, scale = np.zeros((len(t.folds), d)), np.ones((len(t.folds), d))
     first = len(t.numeric) + len(t.flagged)
     moved = np.ones(d, bool)
@@ -209,7 +209,7 @@ def _newton_pass(t: Table, models: dict[str, tuple[int, np.ndarray, np.ndarray]]
                     half = a * np.sqrt(p * (1 - p))[:, None]
                     one = np.concatenate([[loss], a.T @ (p - y[mine]), (half.T @ half).ravel()])
                     sums[name] = sums[name] + one if name in sums else one
-        yield _rows(list(sums), list(sums.values()))
+        yield named_rows(list(sums), list(sums.values()))
     return run
 
 
@@ -229,7 +229,7 @@ def fit_logistic(t: Table, sets: dict[str, Sequence[str]], C: float = 0.1, max_s
     slopes = dict.fromkeys(open_, np.inf)
     rows = t.rows.count()
     for _ in range(max_steps):
-        found = _summed(t.rows, _newton_pass(t, open_))
+        found = summed(t.rows, _newton_pass(t, open_))
         for model in list(open_):
             k, use, w = open_[model]
             fit, d = fits[model.rsplit("|", 1)[0]], len(w)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendframe.functions.hashing import seeded_hash
 from lendframe.functions.nulls import sdiv
 from lendframe.functions.text import feature_label
 from lendframe.models.arrays import squared_distance
@@ -33,9 +36,68 @@ def kmeans(df: DataFrame, k: int, n_init: int = 4, max_iter: int = 300, tol: flo
     return best
 
 
-def inertia_curve(df: DataFrame, ks: Sequence[int], n_init: int = 1, seed: int = 42) -> DataFrame:
-    rows = [(k, float(kmeans(df, k, n_init, seed=seed).summary.trainingCost)) for k in ks]
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+def _lloyd_pass(centres: dict[str, np.ndarray]):
+    """Rows, sums of positions and squared distances of every cluster of every open model, in one pass."""
+    def run(batches):
+        from lendframe.models.joint_cv import named_rows
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+                for name, c in centres.items():
+                    d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                    near = d.argmin(1)
+                    hit = np.zeros((len(x), len(c)))
+                    hit[np.arange(len(x)), near] = 1
+                    gap = ((x - c[near]) ** 2).sum(1)
+                    one = np.concatenate([hit.sum(0), (hit.T @ x).ravel(), [gap.sum()]])
+                    sums[name] = sums[name] + one if name in sums else one
+        yield named_rows(list(sums), list(sums.values()))
+    return run
+
+
+def joint_kmeans(df: DataFrame, ks: Sequence[int], n_init: int = 4, max_iter: int = 300, tol: float = 1e-4, seed: int = 42,
+                 key: str = "id", v: str = "v") -> dict[int, tuple[float, np.ndarray]]:
+    """k -> (inertia, centres) of the best start. Lloyd steps of all k and starts share their passes over the rows.
+
+    A start is the first k different rows in the order of a seeded hash. An empty cluster keeps its centre. A
+    model is done when its centres move by no more than tol of the positions' mean variance. Without rows: no centres.
+    """
+    from lendframe.models.joint_cv import summed
+    rows = df.select(key, F.col(v).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    centres: dict[str, np.ndarray] = {}
+    for start in range(n_init):
+        # twice the rows wanted, as some may be equal
+        drawn = rows.orderBy(seeded_hash(F.col(key), f"{seed}:{start}")).limit(2 * max(ks)).collect()
+        different = list(dict.fromkeys(tuple(r["v"]) for r in drawn))
+        for k in ks:
+            if len(different) >= k:
+                centres[f"{k}|{start}"] = np.array(different[:k])
+    found: dict[int, tuple[float, np.ndarray]] = {}
+    rows, variance = rows.select("v").persist(StorageLevel.MEMORY_AND_DISK), None
+    for step in range(max_iter + 1):
+        if not centres:
+            break
+        sums, moved = summed(rows, _lloyd_pass(centres)), {}
+        for name, c in centres.items():
+            k, d = c.shape
+            n, place, inertia = sums[name][:k], sums[name][k : k + k * d].reshape(k, d), sums[name][-1]
+            new = np.where(n[:, None] > 0, place / np.maximum(n, 1)[:, None], c)
+            if variance is None:
+                variance = max(inertia / max(n.sum(), 1) / d, 1e-300)
+            if step == max_iter or ((new - c) ** 2).sum() <= tol * variance:
+                if k not in found or inertia < found[k][0]:
+                    found[k] = (float(inertia), c)
+            else:
+                moved[name] = new
+        centres = moved
+    rows.unpersist()
+    return found
+
+
+def inertia_curve(df: DataFrame, ks: Sequence[int], n_init: int = 4, max_iter: int = 300, seed: int = 42) -> DataFrame:
+    found = joint_kmeans(df, ks, n_init, max_iter, seed=seed)
+    return df.sparkSession.createDataFrame([(k, found[k][0]) for k in sorted(found)], "k int, inertia double")
 
 
 def gaussian_mixture(df: DataFrame, k: int, seed: int = 42, max_iter: int = 100):

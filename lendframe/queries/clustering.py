@@ -19,7 +19,7 @@ def points(s, d):
 
 
 CENTRES = [[0.1 * ((i + j) % 3 - 1) for j in range(DIMS)] for i in range(4)]
-_EMB = "emb AS (SELECT vec_id AS id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+_EMB = f"emb AS (SELECT vec_id AS id, label, list_transform(embedding[1:{DIMS}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 
 
 def _d2(c) -> str:
@@ -41,7 +41,21 @@ def _kmeans(s, d):
 
 
 add("un_1_kmeans", "i:cluster,n", _kmeans)
-add("un_1_inertia_curve", "i:k d:inertia", lambda s, d: clusters.inertia_curve(points(s, d), [2, 3, 4]))
+
+
+def _curve_checks(s, d):
+    """Nine sums of squares: none above the spread around one centre, none below zero, one Lloyd step makes none worse."""
+    rows = points(s, d)
+    found, one = clusters.joint_kmeans(rows, range(1, 11)), []
+    for k in range(2, 11):
+        after = clusters.lloyd_step(rows, found[k][1].tolist()).agg(F.sum("n").alias("n"), F.sum("inertia").alias("i")).first()
+        one.append((k, after["n"], int(abs(after["i"] - found[k][0]) < 1e-6 * found[k][0]), int(0 < found[k][0] <= found[1][0])))
+    return s.createDataFrame(one, "k int, n long, same int, inside int")
+
+
+add("un_1_curve_checks", "i:k,n,same,inside", _curve_checks,
+    "SELECT k, count(*) AS n, 1 AS same, 1 AS inside FROM embeddings, range(2, 11) t(k) GROUP BY 1")
+add("un_1_inertia_curve", "i:k d:inertia", lambda s, d: clusters.inertia_curve(points(s, d), range(2, 11)))
 
 
 def _mixture(s, d):
@@ -49,7 +63,7 @@ def _mixture(s, d):
     n = rows.count()
     out = []
     for k in (2, 3):
-        model = clusters.gaussian_mixture(rows, k, max_iter=30)
+        model = clusters.gaussian_mixture(rows, k)
         out.append((k, float(model.summary.logLikelihood), clusters.bic(model, n, DIMS)))
     return s.createDataFrame(out, "k int, log_likelihood double, bic double")
 

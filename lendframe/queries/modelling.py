@@ -139,7 +139,7 @@ def _laplace(s, d):
 
 
 add("md_14_laplace", "i:id d6:logit,logit_std,p", _laplace)
-DIMS = 8
+DIMS = 64  # all positions of the vectors
 
 
 def _wide(s, d):

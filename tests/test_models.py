@@ -252,3 +252,21 @@ def test_target_encoding_does_not_leak_the_label(spark):
     got = rate.agg(F.countDistinct("id").alias("n"), F.corr("y", "crossed").alias("crossed"), F.corr("y", "whole").alias("whole")).first()
     assert got["n"] == 6000
     assert abs(got["crossed"]) < 0.1 and got["whole"] > 0.3
+
+
+def test_joint_kmeans_is_lloyds_algorithm(spark):
+    from lendframe.operators import clusters
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(150, 3)) + c for c in ([0, 0, 0], [6, 0, 0], [0, 7, 0])] + [np.zeros((100, 3))])
+    df = spark.createDataFrame([(i, [float(u) for u in r]) for i, r in enumerate(x)] + [(9999, None)], "id long, v array<double>")
+    found = clusters.joint_kmeans(df, [1, 2, 3, 4], n_init=3)
+    assert found[1][0] == pytest.approx(((x - x.mean(0)) ** 2).sum())
+    for k, (inertia, centres) in found.items():
+        d = ((x[:, None] - centres[None]) ** 2).sum(2)
+        assert inertia == pytest.approx(d.min(1).sum())
+        means = np.array([x[d.argmin(1) == j].mean(0) for j in range(k)])
+        assert np.abs(means - centres).max() < 0.1
+    assert found[3][0] < 0.35 * found[2][0]
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20)], "id long, v array<double>")
+    assert list(clusters.joint_kmeans(same, [1, 2])) == [1]  # only one different row to start from
+    assert clusters.joint_kmeans(df.where("id < 0"), [2]) == {}
