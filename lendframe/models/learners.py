@@ -398,6 +398,62 @@ class NaiveBayes(Learner):
         return Scored(learned, None, {"kind": "bayes", "model": model, "axes": axes}, {"model": model})
 
 
+@dataclass
+class Voted:
+    """Training points in the space of the first principal components; a row is scored by the vote of its neighbours."""
+    learned: dict
+    axes: dict
+    points: str  # folder of (id, v, y)
+    k: int
+    key: str
+
+    def placed(self, df: DataFrame, label: str | None = None, crossed: bool = False) -> DataFrame:
+        """id, v (place on the components) and y; one matrix product a batch."""
+        mean, axes = np.array(self.axes["mean"]), np.array(self.axes["axes"])
+
+        def run(batches):
+            import pyarrow as pa
+            for batch in batches:
+                x = np.asarray(batch.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, len(mean))
+                v = (x - mean) @ axes.T
+                ends = pa.array(np.arange(len(v) + 1) * axes.shape[0], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(v.ravel())), batch.column("y")],
+                                                 names=["id", "v", "y"])
+        y = F.col(label).cast("double") if label else F.lit(None).cast("double")
+        ready = with_levels(df, self.learned, crossed).select(
+            F.col(self.key).cast("long").alias("id"), F.array(*inputs_of(self.learned, crossed).values()).alias("x"), y.alias("y"))
+        return ready.mapInArrow(run, "id long, v array<double>, y double")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from lendframe.operators.neighbours import vote
+        points = encoders.df_at(df.sparkSession, self.points)
+        found = vote(points.select("id", "v"), points.select("id", "y"), self.placed(df).select("id", "v"), self.k)
+        found = found.withColumnRenamed("id", "_voted")
+        return df.drop("p").join(found, df[self.key] == found["_voted"], "left").drop("_voted")
+
+
+class NeighbourVote(Learner):
+    """The columns a quick boosted model finds useful, the linear inputs made of them, their first principal
+    components, and the share of positive labels among the nearest training rows."""
+
+    def __init__(self, inputs: Inputs, select: int = 60, components: int = 20, k: int = 200, key: str = "id"):
+        super().__init__(inputs, None, key=key)
+        self.select, self.components, self.k = select, components, k
+
+    def fit(self, df, label, weight=None):
+        from lendframe.models import moments
+        rows = df.where(F.col(label).isNotNull())
+        if len(self.inputs.numeric) + len(self.inputs.small) + len(self.inputs.large) > self.select:
+            self.inputs = narrowed(self.inputs, important_columns(rows, self.inputs, label, self.select))
+        learned, train = self.training(rows, label)
+        inside = inputs_of(learned, crossed=True)
+        names = [f"_x{i}" for i in range(len(inside))]
+        axes = moments.fit_pca(train.select(*[e.alias(n) for n, e in zip(names, inside.values())]), names, min(self.components, len(names)))
+        fitted = Voted(learned, axes, "", self.k, self.key)
+        fitted.points = encoders.path_of(fitted.placed(train, label, crossed=True), "points")
+        return fitted
+
+
 def important_columns(df: DataFrame, inputs: Inputs, label: str, k: int = 60, n_trees: int = 20,
                       seed: int = 42) -> list[str]:
     """The k columns a quick boosted model finds most useful, fitted on the training rows given."""

@@ -172,8 +172,19 @@ def permutation_importance(fitted, df: DataFrame, key: str, label: str, columns:
             .agg(F.avg(F.col("base") - F.col("roc_auc")).alias("importance")))
 
 
-def partial_dependence(fitted, df: DataFrame, column: str, values: Sequence[float]) -> DataFrame:
-    """value, mean_p over all rows with the column set to each grid value."""
-    grid = F.explode(F.array(*[F.lit(float(v)) for v in values]))
-    return (fitted.transform(df.withColumn("grid_value", grid).withColumn(column, F.col("grid_value")))
-            .groupBy("grid_value").agg(F.avg("p").alias("mean_p"), F.count("*").alias("n")))
+def individual_curves(fitted, df: DataFrame, key: str, column: str, values: Sequence[float]) -> DataFrame:
+    """key, scores: one array a row, the score with the column set to each grid value. Rows are not repeated:
+    the model is applied once for each value, in one pass."""
+    stored, work = "_stored_value", df.withColumnRenamed(column, "_stored_value")
+    names = [f"_score_{i}" for i in range(len(values))]
+    for name, v in zip(names, values):
+        work = fitted.transform(work.withColumn(column, F.lit(float(v)))).drop(column).withColumnRenamed("p", name)
+    return work.withColumnRenamed(stored, column).select(key, F.array(*names).alias("scores"))
+
+
+def partial_dependence(fitted, df: DataFrame, column: str, values: Sequence[float], key: str = "id") -> DataFrame:
+    """grid_value, mean_p, n: the mean of all individual curves."""
+    curves = individual_curves(fitted, df, key, column, values)
+    sums = curves.agg(*[F.avg(F.col("scores")[i]).alias(f"m{i}") for i in range(len(values))], F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("grid_value"), F.col(f"m{i}").alias("mean_p")) for i, v in enumerate(values)]))
+    return sums.select(each.alias("e"), "n").select("e.grid_value", "e.mean_p", "n")

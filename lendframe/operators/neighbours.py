@@ -1,133 +1,71 @@
-"""Exact k nearest neighbours of numeric vectors without comparing all pairs.
+"""Exact k nearest neighbours of numeric vectors by even tiles.
 
-Points belong to the cell of their nearest pivot (a bounded set of sampled points). A query first
-looks in its own cell; the k-th distance found there is a bound, and by the triangle inequality a
-cell can only hold something closer if distance-to-pivot minus cell radius is below it. Cells are
-cut into blocks of limited size on both sides, so no task holds a whole cell.
+Every tile of queries meets every tile of points once. In a tile a matrix product gives all squared
+distances up to rounding; whatever may belong to the k nearest is measured again exactly, so results
+don't depend on how rows are dealt out. The k best of the tiles are merged. No task holds more than
+one tile of each side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.functions.hashing import seeded_hash
-
-BLOCK = 4096  # rows of one side of a block
-MAX_PIVOTS = 2048  # pivots are broadcast: at most this many vectors
-
-
-def _pivots(points: DataFrame, rows: int) -> np.ndarray:
-    n = int(min(MAX_PIVOTS, max(1, rows // 256)))
-    drawn = points.orderBy(seeded_hash(F.col("id"), "pivot")).limit(n).select("v").collect()
-    return np.unique(np.array([r["v"] for r in drawn], dtype=float), axis=0)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(d, 0))
-
-
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                d = _distances(np.stack(b["v"].to_numpy()).astype(float), shared.value)
-                yield b.assign(cell=d.argmin(axis=1), r=d.min(axis=1))
-    return df.select("id", "v").mapInPandas(run, "id long, v array<double>, cell int, r double")
-
-
-def _search(queries: DataFrame, points: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Best k of every (query, block); queries carry the cell to look in."""
-    asked = queries.groupBy("cell").agg(F.count("*").alias("nq"))
-    plan = (sizes.join(asked, on="cell")
-            .select("cell", F.ceil(F.col("np") / BLOCK).cast("int").alias("p_parts"),
-                    F.ceil(F.col("nq") / BLOCK).cast("int").alias("q_parts")))
-    small = F.broadcast(plan)  # one row per cell, at most MAX_PIVOTS
-    q = (queries.join(small, on="cell")
-         .withColumn("qp", F.pmod(F.xxhash64("qid"), F.col("q_parts")))
-         .withColumn("pp", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)))
-         .select("cell", F.col("qp").cast("int").alias("qp"), "pp", "qid", "qv"))
-    p = (points.join(small, on="cell")
-         .withColumn("pp", F.pmod(F.xxhash64("id"), F.col("p_parts")).cast("int"))
-         .withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-         .select("cell", "qp", "pp", "id", "v"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "id": [], "d": []}).astype({"qid": "int64", "id": "int64", "d": float})
-        right = right.sort_values("id")
-        ids = right["id"].to_numpy()
-        qids = left["qid"].to_numpy()
-        pts = np.stack(right["v"].to_numpy()).astype(float)
-        out = []
-        for start in range(0, len(left), 512):
-            part = left.iloc[start:start + 512]
-            a = np.stack(part["qv"].to_numpy()).astype(float)
-            d = np.sqrt(((a[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2)) if a.size * len(pts) < 4e7 \
-                else _distances(a, pts)
-            d[qids[start:start + 512][:, None] == ids[None, :]] = np.inf  # a point is not its own neighbour
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), top.shape[1])
-            out.append(pd.DataFrame({"qid": qids[start:start + 512][rows], "id": ids[top.ravel()],
-                                     "d": d[rows, top.ravel()]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["d"])]
-
-    found = (q.groupBy("cell", "qp", "pp").cogroup(p.groupBy("cell", "qp", "pp"))
-             .applyInPandas(best, "qid long, id long, d double"))
-    return _top(found, k)
-
-
-def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy("d", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+POINTS, QUERIES = 4096, 1024  # rows of a tile
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(flat), -1)
+
+
+def _best(k: int, same: bool):
+    shape = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("d", pa.float64())])
+
+    def run(queries, points):
+        if not queries.num_rows or not points.num_rows:
+            return shape.empty_table()
+        ids, qids = points.column("id").to_numpy(), queries.column("qid").to_numpy()
+        x, q = _matrix(points.column("v")), _matrix(queries.column("qv"))
+        own, other = (x * x).sum(1), (q * q).sum(1)
+        rough = other[:, None] + own[None, :] - 2 * q @ x.T
+        slack = 1e-11 * x.shape[1] * (other + own.max())  # more than a product of doubles can be wrong
+        if same:
+            rough[qids[:, None] == ids[None, :]] = np.inf  # a point is not its own neighbour
+        out: list[tuple] = []
+        for i in range(len(qids)):
+            at = np.flatnonzero(rough[i] < np.inf)
+            if len(at) > k:
+                at = np.flatnonzero(rough[i] <= np.partition(rough[i], k - 1)[k - 1] + 2 * slack[i])
+            d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
+            best = np.lexsort((ids[at], d))[:k]
+            out.append((np.full(len(best), qids[i]), ids[at[best]], d[best]))
+        return pa.table([np.concatenate([o[j] for o in out]) for j in range(3)], schema=shape)
+    return run
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, same: bool = False) -> DataFrame:
-    """(qid, id, d, rank) with rank 1..k. Inputs have columns ``id`` and ``v`` (array of double).
+    """(qid, id, d, rank) with rank 1..k, ties to the smaller id. Inputs have columns ``id`` and ``v`` (array of double).
 
-    ``same`` says that both are the same table, so a point never matches itself; otherwise query
-    ids are kept apart from point ids.
+    ``same`` says that both are the same table, so a point never matches itself.
     """
-    shift = F.lit(0) if same else F.lit(1)
-    qs = queries.select((F.col("id") if same else -F.col("id") - shift).alias("id"), "v")
-    pivots = _pivots(points, points.count())
-    placed = _assign(points, pivots)
-    cells = placed.groupBy("cell").agg(F.count("*").alias("np"), F.max("r").alias("radius"))
-    sizes = cells.select("cell", "np")
-    asked = _assign(qs, pivots).select(F.col("id").alias("qid"), F.col("v").alias("qv"), "cell")
-    own = _search(asked, placed, sizes, k)
-    bound = own.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("d")).alias("bound"))
-
-    radius = np.full(len(pivots), -1.0)  # an empty cell is never worth a visit
-    for r in cells.select("cell", "radius").collect():  # at most MAX_PIVOTS rows
-        radius[r["cell"]] = r["radius"]
-    shared = points.sparkSession.sparkContext.broadcast((pivots, radius))
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, reach = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            d = _distances(np.stack(b["qv"].to_numpy()).astype(float), centres)
-            limit = b["bound"].fillna(np.inf).to_numpy()[:, None]
-            go = (d - reach[None, :] <= limit * (1 + 1e-9) + 1e-9) & (reach[None, :] >= 0)
-            go[np.arange(len(b)), b["cell"].to_numpy()] = False
-            i, j = np.nonzero(go)
-            yield pd.DataFrame({"qid": b["qid"].to_numpy()[i], "qv": b["qv"].to_numpy()[i], "cell": j.astype("int32")})
-
-    more = (asked.join(bound, on="qid", how="left").select("qid", "qv", "cell", "bound")
-            .mapInPandas(visits, "qid long, qv array<double>, cell int"))
-    found = own.drop("rank").unionByName(_search(more, placed, sizes, k).drop("rank"))
-    back = F.col("qid") if same else -F.col("qid") - shift
-    return _top(found, k).select(back.alias("qid"), "id", "d", "rank")
+    p_tiles, q_tiles = (max(1, math.ceil(df.count() / size)) for df, size in ((points, POINTS), (queries, QUERIES)))
+
+    def dealt(column: str, tiles: int):
+        return F.pmod(F.xxhash64(column), F.lit(tiles)).cast("int")
+
+    def every(tiles: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+
+    p = points.select("id", "v", dealt("id", p_tiles).alias("pt"), every(q_tiles).alias("qt"))
+    q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), dealt("id", q_tiles).alias("qt"), every(p_tiles).alias("pt"))
+    found = q.groupBy("qt", "pt").cogroup(p.groupBy("qt", "pt")).applyInArrow(_best(k, same), "qid long, id long, d double")
+    w = Window.partitionBy("qid").orderBy("d", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vote(points: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 200, same: bool = False) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from lendframe.models import joint_cv, learners, moments, runner
+from lendframe.models import fill, joint_cv, learners, moments, runner
 from lendframe.operators import encoders, metrics, neighbours, oversample
 from lendframe.operators.fairness import reweighing
 from lendframe.operators.ranking import hash_rank
 from lendframe.plans.adapters import raw, view
-from lendframe.plans.feature_table import family_columns
+from lendframe.plans.feature_table import FAMILIES, family_columns
 from lendframe.queries.encoding import LABELLED, MODEL_INPUTS, model_rows
 from lendframe.queries.features import features
 from lendframe.queries.registry import add
@@ -101,6 +98,26 @@ add("md_10_knn_vote", "i:id d6:p", _knn,
     f"""SELECT id, avg(y) AS p FROM (SELECT q.vec_id AS id, CASE WHEN e.label < 5 THEN 1 ELSE 0 END AS y,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS r
         FROM embeddings q, embeddings e WHERE q.vec_id % 5 = 0 AND e.vec_id % 5 <> 0) WHERE r <= 15 GROUP BY 1""")
+
+
+def feature_inputs(rows, name="id", label="y"):
+    """All columns of the feature table by kind."""
+    texts = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string" and f.name.startswith(tuple(FAMILIES))]
+    large = [c for c in texts if c.endswith("ORGANIZATION_TYPE")]
+    return learners.Inputs([c for c in rows.columns if c.startswith(tuple(FAMILIES)) and c not in texts], [c for c in texts if c not in large], large)
+
+
+def _knn_chain(s, d):
+    """Selection, principal components and a vote of 200, on the feature table."""
+    rows = encoders.stored(feature_rows(s, d), "features")  # read by every fit
+    train, held = rows.where("fold <> 1"), rows.where("fold = 1")
+    scored = learners.NeighbourVote(feature_inputs(rows)).fit(train, "y").transform(held)
+    votes = F.col("p") * F.lit(200)
+    return scored.select("id", "y", (F.abs(votes - F.round(votes)) < 1e-6).cast("int").alias("whole_votes"))
+
+
+add("md_10_knn_chain", "i:id,y,whole_votes", _knn_chain, "SELECT id, y, 1 AS whole_votes FROM folded WHERE fold = 1", APP,
+    f"folded AS (SELECT SK_ID_CURR AS id, TARGET AS y, {hex_sql(hash_sql('SK_ID_CURR', 42))} % 5 + 1 AS fold FROM {LABELLED})")
 add("jn_9_nearest_neighbours", "i:qid,rank d:d",
     lambda s, d: neighbours.nearest(vectors(s, d).select("id", "v"), vectors(s, d).select("id", "v"), 5, same=True),
     f"""SELECT qid, rank, sqrt(d2) AS d FROM (SELECT q.vec_id AS qid, {_DIST} AS d2,
@@ -164,22 +181,34 @@ add("md_16_pca", "i:id d:pc1,pc2,pc3", _pca)
 
 
 def _fill_score(s, d):
-    """Ridge fit of a missing score from the other fields; error against the median guess."""
-    rows = view(s, d, "application")
-    inputs = ["AMT_INCOME_TOTAL", "EXT_SOURCE_2", "AMT_CREDIT"]
-    known = rows.where("EXT_SOURCE_1 IS NOT NULL").select("SK_ID_CURR", "EXT_SOURCE_1", *inputs)
-    train, held = known.where("SK_ID_CURR % 4 <> 0"), known.where("SK_ID_CURR % 4 = 0")
-    make = VectorAssembler(inputCols=inputs, outputCol="features")
-    out = []
-    for penalty in (0.0, 0.1, 10.0):
-        model = LinearRegression(labelCol="EXT_SOURCE_1", regParam=penalty, elasticNetParam=0.0).fit(make.transform(train))
-        scored = model.transform(make.transform(held))
-        out.append((penalty, *[float(RegressionEvaluator(labelCol="EXT_SOURCE_1", metricName=m).evaluate(scored))
-                               for m in ("rmse", "r2")]))
-    return s.createDataFrame(out, "penalty double, rmse double, r2 double")
-
-
-add("md_17_ridge", "d:penalty,rmse,r2", _fill_score)
+    """The first external score from all other numbers of the feature table, without those made of it."""
+    rows = features(s, d).withColumn("fold", (encoders.hash_fold("SK_ID_CURR", 5) + 1).cast("int"))
+    kept = ("APP_EXT_SOURCE_2", "APP_EXT_SOURCE_3")
+    inputs = [f.name for f in rows.schema.fields if f.dataType.typeName() != "string" and f.name.startswith(tuple(FAMILIES))
+              and (not f.name.startswith("APP_EXT_") or f.name in kept)]
+    return fill.fill_report(rows, "APP_EXT_SOURCE_1", inputs)
+
+
+REPORT = "s:method i:chosen d4:penalty,rmse,r2,largest_weight"
+add("md_17_ridge", REPORT, _fill_score)
+
+
+def _fill_by_one(s, d):
+    rows = view(s, d, "application").withColumn("fold", (encoders.hash_fold("SK_ID_CURR", 5) + 1).cast("int"))
+    return fill.fill_report(rows, "EXT_SOURCE_1", ["EXT_SOURCE_2"]).drop("chosen")
+
+
+add("md_17_one_input", "s:method d6:penalty,rmse,r2,largest_weight", _fill_by_one,
+    """SELECT method, penalty, sqrt(avg(pow(y - guess, 2))) AS rmse, 1 - sum(pow(y - guess, 2)) / sum(pow(y - my, 2)) AS r2, max(abs(w)) AS largest_weight
+       FROM (SELECT method, penalty, w, y, CASE WHEN method = 'median' THEN middle ELSE ymean + w * (x - xmean) / xsd END AS guess,
+         avg(y) OVER (PARTITION BY method, penalty) AS my FROM folded, fit, tried WHERE fold = 1) GROUP BY 1, 2""", APP,
+    f"""folded AS (SELECT EXT_SOURCE_2 AS x, EXT_SOURCE_1 AS y, {hex_sql(hash_sql('SK_ID_CURR', 42))} % 5 + 1 AS fold FROM application
+      WHERE EXT_SOURCE_1 IS NOT NULL),
+    fit AS (SELECT avg(x) AS xmean, stddev_pop(x) AS xsd, avg(y) AS ymean, count(*) AS n, covar_pop(x, y) / stddev_pop(x) AS xy,
+      quantile_cont(y, 0.5e0) AS middle FROM folded WHERE fold <> 1),
+    tried AS (SELECT method, penalty, CASE method WHEN 'median' THEN NULL ELSE n * xy / (n + penalty) END AS w FROM fit, (
+      SELECT 'median' AS method, CAST(NULL AS DOUBLE) AS penalty UNION ALL SELECT 'least squares', 0e0
+      UNION ALL SELECT 'ridge', unnest([{', '.join(f'{a!r}e0' if 'e' not in repr(a) else repr(a) for a in fill.PENALTIES)}])))""")
 
 
 def _weighted(s, d):

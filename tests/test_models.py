@@ -132,7 +132,8 @@ def test_neighbours_are_exact(spark):
 
 
 def test_neighbours_with_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "POINTS", 16)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
     rng = np.random.default_rng(4)
     points, queries = rng.normal(size=(300, 3)), rng.normal(size=(50, 3))
     as_df = lambda a: spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(a)], "id long, v array<double>")
@@ -270,3 +271,58 @@ def test_joint_kmeans_is_lloyds_algorithm(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20)], "id long, v array<double>")
     assert list(clusters.joint_kmeans(same, [1, 2])) == [1]  # only one different row to start from
     assert clusters.joint_kmeans(df.where("id < 0"), [2]) == {}
+
+
+def test_neighbour_vote_chain(spark, toy):
+    """Selection, components and vote against the same steps in NumPy on the fitted inputs."""
+    fitted = learners.NeighbourVote(LARGE, select=3, components=2, k=25).fit(
+        toy.withColumn("town", F.concat(F.lit("town "), F.col("id") % 31)).where("fold <> 1"), "y")
+    held = toy.withColumn("town", F.concat(F.lit("town "), F.col("id") % 31)).where("fold = 1")
+    points = spark.read.parquet(fitted.points).orderBy("id").collect()
+    x, y, ids = np.array([r["v"] for r in points]), np.array([r["y"] for r in points]), np.array([r["id"] for r in points])
+    asked = {r["id"]: np.array(r["v"]) for r in fitted.placed(held).collect()}
+    got = {r["id"]: r["p"] for r in fitted.transform(held).collect()}
+    assert len(got) == len(asked) == held.count() and x.shape[1] == 2
+    for i, q in asked.items():
+        d = np.sqrt(((x - q) ** 2).sum(1))
+        assert got[i] == pytest.approx(y[np.lexsort((ids, d))[:25]].mean())
+
+
+def test_fill_report_matches_numpy(spark):
+    from lendframe.models import fill
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(800, 3)) * [1, 1000, 5] + [0, 1e6, 3]
+    x = np.hstack([x, x[:, :1] * 2 + 1])  # two columns that copy each other
+    t = x[:, 0] * 0.4 + x[:, 1] / 2000 + rng.normal(size=800)
+    hole, fold = rng.random(800) < 0.2, np.arange(800) % 5 + 1
+    data = [(int(fold[i]), None if i % 7 == 0 else float(t[i]), None if hole[i] else float(x[i, 0]), *map(float, x[i, 1:])) for i in range(800)]
+    df = spark.createDataFrame(data, "fold int, t double, a double, b double, c double, d double")
+    got = {(r["method"], r["penalty"]): r for r in fill.fill_report(df, "t", ["a", "b", "c", "d"]).collect()}
+    known = np.arange(800) % 7 != 0
+    fit, check = known & (fold != 1), known & (fold == 1)
+    z = x.copy()
+    middle = df.where("fold <> 1 AND t IS NOT NULL").agg(F.percentile_approx("a", 0.5, 2000)).first()[0]
+    z[hole, 0] = middle
+    z = (z - z[fit].mean(0)) / z[fit].std(0)
+    mean, total = t[fit].mean(), ((t[check] - t[check].mean()) ** 2).sum()
+    for penalty in (0.01, 1.0, 100.0):
+        w = np.linalg.solve(z[fit].T @ z[fit] + penalty * np.eye(4), z[fit].T @ (t[fit] - mean))
+        left = t[check] - mean - z[check] @ w
+        r = got[("ridge", penalty)]
+        assert r["rmse"] == pytest.approx(np.sqrt((left**2).mean())) and r["r2"] == pytest.approx(1 - (left**2).sum() / total)
+        assert r["largest_weight"] == pytest.approx(np.abs(w).max())
+    left = t[check] - np.median(t[fit])
+    assert got[("median", None)]["rmse"] == pytest.approx(np.sqrt((left**2).mean()))
+    assert got[("least squares", 0.0)]["r2"] > 0.2 and sum(r["chosen"] for r in got.values()) == 1
+    assert fill.fill_report(df.where("t > 1e9"), "t", ["a"]).count() == 0
+
+
+def test_individual_curves_and_their_mean(toy):
+    fitted = learners.decision_tree(INPUTS, 3, 20).fit(toy, "y")
+    grid = [-1.0, 0.0, 2.0]
+    curves = {r["id"]: list(r["scores"]) for r in contributions.individual_curves(fitted, toy, "id", "a", grid).collect()}
+    for i, v in enumerate(grid):
+        whole = {r["id"]: r["p"] for r in fitted.transform(toy.withColumn("a", F.lit(v))).collect()}
+        assert {k: c[i] for k, c in curves.items()} == whole
+    mean = {r["grid_value"]: r["mean_p"] for r in contributions.partial_dependence(fitted, toy, "a", grid).collect()}
+    assert mean[2.0] == pytest.approx(np.mean([c[2] for c in curves.values()])) and len(curves) == toy.count()
