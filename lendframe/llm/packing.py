@@ -8,6 +8,7 @@ sums of the parts - and cut every `size` tokens, so all sequences but the last a
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from itertools import chain
@@ -22,6 +23,8 @@ from lendframe.llm.tables import batch_of, keyed, mapped, signed, written
 
 SIZE, END_ID = 4096, 2
 DIMENSIONS, BITS = 3, 10
+#: Bytes of ids in a part of the curve.
+PART = 64 << 20
 #: Units whose ids a worker process remembers; only speed depends on it.
 REMEMBERED = 600_000
 _SPACE = " \t\n\r\f\v"
@@ -187,12 +190,14 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     rows = keyed(docs, id_col, text_col)
     # written, as a range sort reads its input twice: once for the borders of the ranges
     ids = written(mapped(rows, _tokenised(tokenizer, DIMENSIONS, BITS), "doc_id long, th long, place long, n long, ids binary"), "ids")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many parts as the ids need, so that a part stays small however many documents there are
+    tokens = ids.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * tokens / PART))
     tie = F.xxhash64("doc_id", "th")
     lined = (ids.withColumn("tie", tie).repartitionByRange(parts, "place", "tie").sortWithinPartitions("place", "tie", "doc_id")
              .select("doc_id", F.spark_partition_id().alias("part"), "n", "ids"))
     lined = written(mapped(lined, _numbered, "doc_id long, part int, n long, before long, ids binary"), "curve")
-    # one row a part; their number is that of the shuffle partitions
+    # one row a part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = lined.groupBy("part").agg(F.sum("n").alias("sum")).select(
         "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
