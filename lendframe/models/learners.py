@@ -112,9 +112,9 @@ def _assemble(columns: dict[str, Column], df: DataFrame, keep: Sequence[str]):
     return rows, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
 
 
-def _fit(inputs: dict, estimator, df, label, weight, output: dict, info=None) -> Scored:
+def _fit(inputs: dict, estimator, df, label, weight, output: dict, info=None, validation=None) -> Scored:
     """Rows with cross-fitted encodings (see `Learner.training`) take these, rows to score the means of all rows."""
-    keep = [label] + ([weight] if weight else [])
+    keep = [label, *([weight] if weight else []), *([validation] if validation else [])]
     columns = inputs_of(inputs, crossed=True)
     rows, assembler = _assemble(columns, with_levels(df.where(F.col(label).isNotNull()), inputs, crossed=True), keep)
     estimator.setLabelCol(label)
@@ -135,8 +135,8 @@ def second_class() -> Column:
 class Learner:
     """Linear preprocessing or tree preprocessing in front of an MLlib estimator."""
 
-    def __init__(self, inputs: Inputs, make: Callable, kind: str = "linear", key: str = "id"):
-        self.inputs, self.make, self.kind, self.key = inputs, make, kind, key
+    def __init__(self, inputs: Inputs, make: Callable, kind: str = "linear", key: str = "id", validation: str | None = None):
+        self.inputs, self.make, self.kind, self.key, self.validation = inputs, make, kind, key, validation
 
     def training(self, df: DataFrame, label: str) -> tuple[dict, DataFrame]:
         """What the preprocessor learned, and the rows to fit on.
@@ -158,8 +158,11 @@ class Learner:
 
     def fit(self, df: DataFrame, label: str, weight: str | None = None) -> Scored:
         rows = df.where(F.col(label).isNotNull())
-        learned, train = self.training(rows, label)
-        return _fit(learned, self.make(rows), train, label, weight, SECOND_CLASS)
+        if self.validation is None:
+            learned, train = self.training(rows, label)
+        else:  # rows that only tell when to stop teach the preprocessor nothing
+            learned, train = self.learned(rows.where(~F.col(self.validation)), label), rows
+        return _fit(learned, self.make(rows), train, label, weight, SECOND_CLASS, validation=self.validation)
 
 
 def dummy() -> Learner:
@@ -189,7 +192,7 @@ def boosted_trees(inputs: Inputs, n_trees: int = 500, learning_rate: float = 0.0
                             featureSubsetStrategy=str(colsample), minInstancesPerNode=min_leaf, seed=seed,
                             checkpointInterval=10)
         return gbt.setValidationIndicatorCol(validation) if validation else gbt
-    return Learner(inputs, make, "tree")
+    return Learner(inputs, make, "tree", validation=validation)
 
 
 def random_forest(inputs: Inputs, n_trees: int = 150, min_leaf: int = 50, seed: int = 42) -> Learner:

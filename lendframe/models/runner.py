@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
 from pyspark.ml import Pipeline
@@ -193,12 +194,13 @@ SPACE = {
 GRID = {"learning_rate": [0.02, 0.05, 0.1], "num_leaves": [16, 48, 128], "min_child_samples": [30, 150, 500]}
 
 
-def grid_candidates() -> list[dict]:
-    """Every combination of the settings: each setting in turn splits the candidates so far."""
-    found: list[dict] = [{}]
+def grid_candidates(spark) -> DataFrame:
+    """One row for every combination of the settings: a cross join of the lists of values."""
+    out = None
     for setting, choices in GRID.items():
-        found = [one | {setting: choice} for one in found for choice in choices]
-    return found
+        values = spark.createDataFrame([(c,) for c in choices], [setting])
+        out = values if out is None else out.crossJoin(values)
+    return out
 
 
 def random_candidates(trials: DataFrame, seed: int = 42) -> DataFrame:
@@ -215,35 +217,48 @@ def random_candidates(trials: DataFrame, seed: int = 42) -> DataFrame:
     return trials.withColumns(out)
 
 
+def stored_trials(spark, log: str) -> DataFrame:
+    """trial, params, auc, trees of the trials scored so far: a folder a trial."""
+    return spark.read.schema("number int, params string, auc double, trees int, trial int").json(log).select("trial", "params", "auc", "trees")
+
+
 def run_search(spark, method: str, candidates: Sequence[dict], score: Callable[[dict], tuple[float, int]],
-               path: str) -> DataFrame:
+               path: str, at_once: int = 8) -> DataFrame:
     """Scores each candidate once; finished trials are kept in ``path`` and skipped on the next run.
 
     A stored trial with other settings than the candidate of its number is an error.
     """
     from lendframe.sources.tables import exists
-    schema = "trial int, params string, auc double, trees int"
+    schema = "number int, params string, auc double, trees int"
     log = f"{path}/{method}"
-    done = spark.read.schema(schema).json(log) if exists(spark, log) else spark.createDataFrame([], schema)
+    done = stored_trials(spark, log) if exists(spark, log) else spark.createDataFrame([], "trial int, params string, auc double, trees int")
     wanted = spark.createDataFrame([(i, json.dumps(c, sort_keys=True)) for i, c in enumerate(candidates)],
                                    "trial int, wanted string")
     clash = done.join(wanted, on="trial", how="left").where("wanted IS NULL OR wanted <> params")
     if clash.limit(1).count():
         raise ValueError(f"{log} holds trials of other candidates")
     open_trials = wanted.join(done, on="trial", how="left_anti").orderBy("trial").collect()
-    for r in open_trials:
-        auc, trees = score(json.loads(r["wanted"]))
-        (spark.createDataFrame([(r["trial"], r["wanted"], float(auc), int(trees))], schema)
-         .coalesce(1).write.mode("append").json(log))
+
+    def one(trial) -> None:
+        auc, trees = score(json.loads(trial["wanted"]))
+        (spark.createDataFrame([(trial["trial"], trial["wanted"], float(auc), int(trees))], schema)
+         .coalesce(1).write.mode("append").json(f"{log}/trial={trial['trial']}"))
+
+    # several fits at once: each is a row of small jobs, and a trial is stored as soon as it is scored
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(one, open_trials))
     from pyspark.sql import Window
     order = Window.partitionBy("method").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    return (spark.read.schema(schema).json(log).withColumn("method", F.lit(method))
+    return (stored_trials(spark, log).withColumn("method", F.lit(method))
             .withColumn("best_so_far", F.max("auc").over(order)))
 
 
 def holdout_score(make: Callable[[dict], object], df: DataFrame, label: str, holdout: int = 1,
                   fold: str = "fold") -> Callable[[dict], tuple[float, int]]:
-    """score(params): train on the other folds with early stopping on the hold-out fold."""
+    """score(params): train on the other folds with early stopping on the hold-out fold.
+
+    The preprocessor learns from the other folds only: a learner with a validation column leaves its rows out.
+    """
     def score(params: dict) -> tuple[float, int]:
         flagged = df.withColumn("is_check", F.col(fold) == holdout)
         fitted = make(params).fit(flagged, label)

@@ -19,18 +19,13 @@ from lendframe.session import width
 
 ACCURACY = 10000
 BLOCK = 64
-FEW_ROWS = 8192  # a table counted to have no more rows is ordered by one window
 
 
-def range_bounds(df: DataFrame, column: str, buckets: int) -> list[float] | None:
-    """Inner bucket edges from a mergeable quantile sketch (at most ``buckets`` numbers).
-
-    None when the counted rows are few enough for one plain window.
-    """
+def range_bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
+    """Inner bucket edges from a mergeable quantile sketch (at most ``buckets`` numbers)."""
     shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.count("*").alias("n"),
-                   F.percentile_approx(F.col(column).cast("double"), shares, ACCURACY).alias("e")).first()
-    return None if found["n"] <= FEW_ROWS else sorted(set(found["e"] or []))
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, ACCURACY).alias("e")).first()
+    return sorted(set(found["e"] or []))
 
 
 def with_bucket(df: DataFrame, column: str, bounds: list[float], out: str) -> DataFrame:
@@ -42,14 +37,11 @@ def with_bucket(df: DataFrame, column: str, bounds: list[float], out: str) -> Da
             .withColumn(out, F.col(f"{out}_raw").cast("int")).drop(f"{out}_raw", f"{out}_in"))
 
 
-def _key_bounds(df: DataFrame, keys: list[str], column: str, buckets: int) -> DataFrame | None:
+def _key_bounds(df: DataFrame, keys: list[str], column: str, buckets: int) -> DataFrame:
     """Bucket edges for each key; one short array per column name, so small enough to broadcast."""
     shares = [i / buckets for i in range(1, buckets)]
     rows = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
         F.percentile_approx(F.col(column).cast("double"), shares, ACCURACY).alias("_edges")).collect()
-    if sum(r["_n"] for r in rows) <= FEW_ROWS:
-        return None
     schema = (df.select(*keys).schema.add("_edges", ArrayType(DoubleType()))
               .add("_marks", ArrayType(DoubleType())))
     data = []
@@ -60,15 +52,6 @@ def _key_bounds(df: DataFrame, keys: list[str], column: str, buckets: int) -> Da
     return df.sparkSession.createDataFrame(data, schema)
 
 
-def _plain_totals(df: DataFrame, order: str, sums: Sequence[str], by: list[str], descending: bool) -> DataFrame:
-    """The same result from one window per group, for tables counted to be small."""
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    so_far = (group.orderBy(F.col(order).desc() if descending else F.col(order).asc())
-              .rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumns({**{f"cum_{s}": F.sum(s).over(so_far) for s in sums},
-                           **{f"all_{s}": F.sum(s).over(group) for s in sums}})
-
-
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False, bounds_by: Sequence[str] = (),
                    bounds: list[float] | None = None) -> DataFrame:
@@ -82,8 +65,6 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
     by = list(by)
     if bounds_by:
         edges = _key_bounds(df, list(bounds_by), order, buckets)
-        if edges is None:
-            return _plain_totals(df, order, sums, by, descending)
         work = (df.join(F.broadcast(edges), on=list(bounds_by))
                 .withColumn("_block", F.size(F.filter("_marks", lambda e: e <= F.col(order).cast("double"))))
                 .withColumn("_bucket", F.col("_block") * BLOCK + F.size(F.filter(
@@ -92,8 +73,6 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
                 .drop("_edges", "_marks", "_block"))
     else:
         edges = range_bounds(df, order, buckets) if bounds is None else bounds
-        if edges is None:
-            return _plain_totals(df, order, sums, by, descending)
         work = with_bucket(df, order, edges, "_bucket")
 
     first = F.col("_bucket").desc() if descending else F.col("_bucket").asc()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lendframe.models import fill, joint_cv, learners, moments, runner
@@ -112,7 +114,7 @@ def _knn_chain(s, d):
     rows = encoders.stored(feature_rows(s, d), "features")  # read by every fit
     train, held = rows.where("fold <> 1"), rows.where("fold = 1")
     scored = learners.NeighbourVote(feature_inputs(rows)).fit(train, "y").transform(held)
-    votes = F.col("p") * F.lit(200)
+    votes = F.col("p") * F.lit(min(200, train.count()))
     return scored.select("id", "y", (F.abs(votes - F.round(votes)) < 1e-6).cast("int").alias("whole_votes"))
 
 
@@ -333,9 +335,7 @@ add("ev_11_five_by_two", "d6:t,p_value,mean_difference", _five_by_two)
 add("ev_16_learning_curve", "d:share,train_auc,held_auc",
     lambda s, d: runner.learning_curve(lambda: learners.logistic_regression(FEW), *halves(s, d), "id", "y", [0.2, 0.5, 1.0]))
 add("tu_1_grid", "i:n,num_leaves,min_child_samples d:learning_rate", lambda s, d: raw(s, d, "region").agg(
-    F.count("*").alias("n")).transform(beside, s.createDataFrame(
-        [tuple(c[k] for k in ("learning_rate", "num_leaves", "min_child_samples")) for c in runner.grid_candidates()],
-        "learning_rate double, num_leaves int, min_child_samples int")),
+    F.count("*").alias("n")).transform(beside, runner.grid_candidates(s)),
     """SELECT (SELECT count(*) FROM region) AS n, learning_rate, num_leaves, min_child_samples FROM
        (SELECT unnest([0.02e0, 0.05e0, 0.1e0]) AS learning_rate), (SELECT unnest([16, 48, 128]) AS num_leaves),
        (SELECT unnest([30, 150, 500]) AS min_child_samples)""")
@@ -368,12 +368,26 @@ add("tu_3_holdout_score", "d:auc i:trees", _holdout)
 
 
 def _search(s, d):
-    rows = model_rows(s, d)
-    score = runner.holdout_score(lambda p: learners.decision_tree(FEW, p["depth"], 20), rows, "y")
-    return runner.run_search(s, "grid", [{"depth": k} for k in (2, 4)], score, fresh_folder(s, "search"))
-
-
-add("tu_4_search", "s:method i:trial d:auc,best_so_far", _search)
+    """The whole grid: boosted trees on the training folds, judged on the fold left out; a second run scores nothing."""
+    rows, path, scored = encoders.stored(model_rows(s, d), "search-rows"), fresh_folder(s, "search"), []
+    judge = runner.holdout_score(lambda p: learners.boosted_trees(
+        FEW, n_trees=8, learning_rate=p["learning_rate"], depth=int(math.log2(p["num_leaves"])), min_leaf=p["min_child_samples"],
+        validation="is_check"), rows, "y")
+
+    def score(params):
+        scored.append(params)
+        return judge(params)
+    grid = [r.asDict() for r in runner.grid_candidates(s).orderBy("learning_rate", "num_leaves", "min_child_samples").collect()]
+    runner.run_search(s, "grid", grid, score, path)
+    first = len(scored)
+    found = runner.run_search(s, "grid", grid, score, path)
+    return found.withColumns({"first_run": F.lit(first), "second_run": F.lit(len(scored) - first),
+                              "inside": ((F.col("auc") > 0) & (F.col("auc") <= F.col("best_so_far")) & (F.col("best_so_far") <= 1)).cast("int")})
+
+
+add("tu_4_search", "s:method i:trial,first_run,second_run,inside", _search,
+    f"""SELECT 'grid' AS method, trial, 27 AS first_run, 0 AS second_run, 1 AS inside FROM range(27) t(trial)
+        WHERE (SELECT count(DISTINCT y) FROM folded) = 2""", APP, FOLDED)
 
 
 def _open_trials(s, d):

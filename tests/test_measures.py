@@ -12,12 +12,6 @@ from lendframe.operators import (bootstrap, conformal, decisions, drift, fairnes
                                  splits, stats_tests)
 
 
-@pytest.fixture(params=[0, 8192], ids=["buckets", "small tables"])
-def both_ways(request, monkeypatch):
-    """Runs a test through the bucketed plan and through the plain window."""
-    monkeypatch.setattr(ranking, "FEW_ROWS", request.param)
-
-
 def scored(spark, n=3000, seed=0, ties=None):
     rng = random.Random(seed)
     rows = []
@@ -33,14 +27,14 @@ def brute_auc(rows):
     return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
 
-def test_auc_with_heavy_ties(spark, both_ways):
+def test_auc_with_heavy_ties(spark):
     df, rows = scored(spark, 1500, ties=1)
     got = metrics.rank_metrics(df, "y", "p").first()
     assert got["roc_auc"] == pytest.approx(brute_auc(rows))
     assert got["gini"] == pytest.approx(2 * brute_auc(rows) - 1)
 
 
-def test_average_precision_and_ks(spark, both_ways):
+def test_average_precision_and_ks(spark):
     df, rows = scored(spark, 800)
     order = sorted(rows, key=lambda r: -r[2])
     n_pos = sum(y for _, y, _ in rows)
@@ -53,7 +47,7 @@ def test_average_precision_and_ks(spark, both_ways):
     assert got["pr_auc"] == pytest.approx(ap) and got["ks"] == pytest.approx(ks)
 
 
-def test_one_third_of_rows_share_a_score(spark, both_ways):
+def test_one_third_of_rows_share_a_score(spark):
     _, rows = scored(spark, 900)
     rows = [(i, y, 0.5 if i % 3 == 0 else p) for i, y, p in rows]
     got = metrics.rank_metrics(spark.createDataFrame(rows, "id long, y int, p double"), "y", "p").first()
@@ -70,7 +64,7 @@ def test_threshold_metrics(spark):
     assert (nobody["precision"], nobody["recall"], nobody["f1"]) == (0, 0, 0)
 
 
-def test_quantiles_match_linear_interpolation(spark, both_ways):
+def test_quantiles_match_linear_interpolation(spark):
     import numpy as np
     rng = random.Random(3)
     xs = [rng.choice([1.0, 2.5, rng.random() * 10]) for _ in range(701)]
@@ -153,7 +147,7 @@ def test_holm_and_mcnemar(spark):
     assert stats_tests.t5_two_sided(2.5706) == pytest.approx(0.05, abs=1e-4)
 
 
-def test_conformal_answers(spark, both_ways):
+def test_conformal_answers(spark):
     df = spark.createDataFrame([(i / 10,) for i in range(1, 11)], "s double")
     assert conformal.cutoffs(df, F.col("s"), [0.2]).first()["q"] == pytest.approx(0.9)
     assert conformal.cutoffs(df.limit(3), F.col("s"), [0.1]).first()["q"] == 1.0
@@ -279,7 +273,6 @@ def test_text(spark):
 def test_many_buckets_per_column(spark, monkeypatch):
     """More edges than one search block holds."""
     import numpy as np
-    monkeypatch.setattr(ranking, "FEW_ROWS", 0)
     monkeypatch.setattr(ranking, "width", lambda s: 300)
     rng = random.Random(9)
     xs = [rng.gauss(0, 1) for _ in range(4000)]

@@ -243,13 +243,21 @@ def test_moments_far_from_zero_equal_numpy(spark):
     assert np.isfinite(moments.fit_lda(df, ["a", "b"], "y")["axes"]).all()
 
 
+def test_rows_that_tell_when_to_stop_teach_nothing(spark):
+    rows = spark.createDataFrame([(i, float(i % 10), int(i % 10 > 4), i % 2 == 0) for i in range(400)], "id long, x double, y int, is_check boolean")
+    make = lambda: learners.boosted_trees(learners.Inputs(["x"]), n_trees=3, learning_rate=0.3, depth=2, validation="is_check")
+    far = rows.withColumn("x", F.when(F.col("is_check"), F.col("x") + 1e6).otherwise(F.col("x")))
+    assert make().fit(far, "y").inputs == make().fit(rows, "y").inputs  # the same medians
+
+
 def test_target_encoding_does_not_leak_the_label(spark):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(i, f"l{rng.integers(3000)}", int(rng.integers(2)), float(rng.random())) for i in range(6000)],
                                  "id long, level string, y int, x double").repartition(4)
     learner = learners.logistic_regression(learners.Inputs(["x"], [], ["level"]))
-    columns, inside, train = learner.training(rows, "y")
-    rate = train.select("id", "y", inside["level_rate"].alias("crossed"), columns["level_rate"].alias("whole"))
+    learned, train = learner.training(rows, "y")
+    inside, columns = learners.inputs_of(learned, crossed=True), learners.inputs_of(learned)
+    rate = learners.with_levels(train, learned).select("id", "y", inside["level_rate"].alias("crossed"), columns["level_rate"].alias("whole"))
     got = rate.agg(F.countDistinct("id").alias("n"), F.corr("y", "crossed").alias("crossed"), F.corr("y", "whole").alias("whole")).first()
     assert got["n"] == 6000
     assert abs(got["crossed"]) < 0.1 and got["whole"] > 0.3
