@@ -21,7 +21,7 @@ HEADLINE = [
     "agg_7_credit_card", "agg_8_feature_table", "spl_1_make_splits", "ev_1_auc_gini", "ev_7_evaluate",
     "ev_8_bootstrap_auc", "dec_3_profit_sweep", "dec_9_alpha_sweep", "fa_1_audit", "fa_5_group_thresholds",
     "mon_2_psi_table", "dq_7_line_quantiles", "dq_9_spearman", "enc_8_woe_transform", "ex_7_what_if_features",
-    "jn_9_nearest_neighbours", "md_13_newton_logistic",
+    "jn_9_nearest_neighbours", "md_13_newton_logistic", "ev_12_out_of_fold", "md_17_ridge",
 ]
 
 

@@ -218,6 +218,31 @@ add("ex_11_next_decision", "i:SK_ID_CURR s:outcome,goal d:target", _goals,
        CASE outcome WHEN 'decline' THEN 0.45e0 WHEN 'refer' THEN 0.2e0 END AS target FROM scored""", APP, SCORED_SQL)
 
 
+class _Linear:
+    """The linear score as a fitted model."""
+    transform = staticmethod(linear_score)
+
+
+GRID_VALUES = [0.2, 0.5, 0.8]
+
+
+def _curves(s, d):
+    curves = con.individual_curves(_Linear, app_features(s, d), "SK_ID_CURR", "APP_EXT_MEAN", GRID_VALUES)
+    return curves.select("SK_ID_CURR", *[F.col("scores")[i].alias(f"p{i}") for i in range(len(GRID_VALUES))])
+
+
+def _at(v: float) -> str:
+    """The linear score with the mean external score set to v."""
+    return "1 / (1 + exp(-(" + _LOGIT.replace("APP_EXT_MEAN", f"{v}e0") + ")))"
+
+
+add("ex_5_individual_curves", "i:SK_ID_CURR d6:p0,p1,p2", _curves,
+    f"SELECT SK_ID_CURR, {', '.join(f'{_at(v)} AS p{i}' for i, v in enumerate(GRID_VALUES))} FROM app", APP, APP_SQL)
+add("ex_5_mean_of_curves", "d:grid_value i:n d6:mean_p",
+    lambda s, d: con.partial_dependence(_Linear, app_features(s, d), "APP_EXT_MEAN", GRID_VALUES, "SK_ID_CURR"),
+    " UNION ALL ".join(f"SELECT {v}e0 AS grid_value, count(*) AS n, avg({_at(v)}) AS mean_p FROM app" for v in GRID_VALUES), APP, APP_SQL)
+
+
 def _counterfactuals(s, d):
     stored = app_features(s, d).withColumns({c: F.lit(None).cast("double") for c in (
         "BUR_ACTIVE_DEBT_TOTAL", "BUR_ACTIVE_ANNUITY_TOTAL", "PREV_CREDIT_MEAN")})
