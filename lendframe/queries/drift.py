@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendframe.operators import drift
-from lendframe.plans.adapters import raw
+from lendframe.plans.adapters import raw, view
+from lendframe.queries.profiles import NUMBERS as APP_NUMBERS, TEXTS as APP_TEXTS
 from lendframe.queries.registry import add
 
 NUMERIC = ["o_totalprice", "gap", "score"]
@@ -72,3 +73,15 @@ add("agg_13_pivot", "s:kind i:stable,watch,shift", _pivot,
         count(*) FILTER (status = 'shift') AS shift
         FROM (SELECT *, {STATUS} FROM ({' UNION ALL '.join([numeric_sql(c) for c in NUMERIC] + [text_sql(c) for c in TEXT])}))
         GROUP BY 1""", ctes=BASE)
+
+
+def _application(s, d):
+    """Labelled applicants as reference, the others as new rows."""
+    rows = view(s, d, "application")
+    return rows.where("is_test = 0"), rows.where("is_test = 1")
+
+
+add("mon_2_application_psi", "s:column,status d6:psi",
+    lambda s, d: drift.psi_table(*_application(s, d), APP_NUMBERS, APP_TEXTS),
+    f"SELECT *, {STATUS} FROM ({' UNION ALL '.join([numeric_sql(c) for c in APP_NUMBERS] + [text_sql(c) for c in APP_TEXTS])})",
+    ["application"], "sides AS (SELECT *, is_test AS late FROM application)")

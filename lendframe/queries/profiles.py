@@ -7,12 +7,16 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from lendframe.operators import profiling
-from lendframe.plans.adapters import raw, view
+from lendframe.plans.adapters import VIEWS, raw, view
 from lendframe.queries.registry import add
 
 APP = ["application"]
-MISSING = ["OCCUPATION_TYPE", "CNT_FAM_MEMBERS", "AMT_ANNUITY", "EXT_SOURCE_1", "EXT_SOURCE_3", "OWN_CAR_AGE"]
-NUMBERS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2"]
+#: All columns of the application but its key, label and set.
+ALL = [name for _, name in VIEWS["application"][0] if name not in ("SK_ID_CURR", "TARGET", "is_test")]
+TEXTS = [c for c in ALL if c.startswith("NAME_") or c in ("CODE_GENDER", "OCCUPATION_TYPE", "ORGANIZATION_TYPE")]
+NUMBERS = [c for c in ALL if c not in TEXTS]
+MISSING = ALL
+PAIRED = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "EXT_SOURCE_2"]
 
 
 def app(s, d):
@@ -44,12 +48,12 @@ add("dq_3_label_by_missing", "s:column i:n_missing d6:rate_missing,rate_present"
     lambda s, d: profiling.label_rate_by_missing(app(s, d), MISSING, "TARGET"),
     union("""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS n_missing, avg(TARGET) FILTER ({c} IS NULL) AS rate_missing,
        avg(TARGET) FILTER ({c} IS NOT NULL) AS rate_present FROM application WHERE TARGET IS NOT NULL""", MISSING), APP)
-DAYS = ["DAYS_EMPLOYED", "DAYS_BIRTH", "DAYS_REGISTRATION"]
+DAYS = [c for c in ALL if c.startswith("DAYS_")]
 add("dq_4_day_columns", "s:column i:sentinels d:min_days,max_days,min_years",
     lambda s, d: profiling.day_columns(app(s, d), DAYS),
     union("""SELECT '{c}' AS "column", count(*) FILTER ({c} = 365243) AS sentinels, min(nullif({c}, 365243)) AS min_days,
        max(nullif({c}, 365243)) AS max_days, min(nullif({c}, 365243)) / 365.25e0 AS min_years FROM application""", DAYS), APP)
-CONSTANTS = ["FLAG_MOBIL", "FLAG_DOCUMENT_5", "FLAG_DOCUMENT_20", "CODE_GENDER", "OCCUPATION_TYPE"]
+CONSTANTS = ALL
 add("dq_5_near_constant", "s:column d6:top_share i:near_constant",
     lambda s, d: profiling.near_constant(app(s, d), CONSTANTS),
     union("""SELECT '{c}' AS "column", max(n) / sum(n) AS top_share, CASE WHEN max(n) / sum(n) > 0.99 THEN 1 ELSE 0 END AS near_constant
@@ -75,46 +79,56 @@ add("dq_7_line_quantiles", "s:column i:n d2:q0,q1,q2,q3,q4",
     union("""SELECT '{c}' AS "column", count({c}) AS n, """ + ", ".join(
         f"quantile_cont({{c}}, {p}e0) AS q{i}" for i, p in enumerate(PROBS)) + " FROM lineitem",
         ["l_extendedprice", "l_quantity"]))
-SETS = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE"]
+SETS = TEXTS
 add("dq_8_compare_sets", "s:column,value d6:in_a,in_b",
     lambda s, d: profiling.compare_sets(app(s, d).where("is_test = 0"), app(s, d).where("is_test = 1"), SETS,
-                                        ["AMT_INCOME_TOTAL", "EXT_SOURCE_2"]),
+                                        NUMBERS),
     union("""SELECT '{c}' AS "column", {c} AS value, sum(1 - is_test) / sum(sum(1 - is_test)) OVER () AS in_a,
        sum(is_test) / sum(sum(is_test)) OVER () AS in_b FROM application GROUP BY {c}""", SETS) + " UNION ALL " +
     union("""SELECT '{c}' AS "column", '(mean)' AS value, avg({c}) FILTER (is_test = 0) AS in_a,
-       avg({c}) FILTER (is_test = 1) AS in_b FROM application""", ["AMT_INCOME_TOTAL", "EXT_SOURCE_2"]), APP)
+       avg({c}) FILTER (is_test = 1) AS in_b FROM application""", NUMBERS), APP)
 add("dq_9_spearman", "s:column d6:rho",
     lambda s, d: profiling.spearman_with_label(app(s, d), NUMBERS, "TARGET"),
-    union("""SELECT '{c}' AS "column", corr(r, y) AS rho FROM (SELECT TARGET AS y, rank() OVER (ORDER BY {c})
+    union("""SELECT '{c}' AS "column", CASE WHEN isfinite(corr(r, y)) THEN corr(r, y) END AS rho FROM (SELECT TARGET AS y, rank() OVER (ORDER BY {c})
        + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0 AS r FROM application WHERE TARGET IS NOT NULL AND {c} IS NOT NULL)""",
           NUMBERS), APP)
 add("dq_10_correlated_pairs", "s:a,b d6:r",
-    lambda s, d: profiling.correlated_pairs(app(s, d), NUMBERS, 0.5),
+    lambda s, d: profiling.correlated_pairs(app(s, d), PAIRED, 0.5),
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM application"
-                                           for a, b in combinations(NUMBERS, 2)) + ") WHERE abs(r) > 0.5", APP)
+                                           for a, b in combinations(PAIRED, 2)) + ") WHERE abs(r) > 0.5", APP)
 add("agg_10_label_rate_by_value", "s:value i:n d6:rate",
     lambda s, d: profiling.label_rate_by_value(app(s, d), "ORGANIZATION_TYPE", "TARGET", 15, 10),
     """SELECT ORGANIZATION_TYPE AS value, count(TARGET) AS n, avg(TARGET) AS rate FROM application GROUP BY 1
        HAVING count(TARGET) >= 10 AND ORGANIZATION_TYPE IS NOT NULL ORDER BY n DESC, value LIMIT 15""", APP)
-HISTORY = ["previous_application", "pos_cash_balance", "credit_card_balance"]
+HISTORY = ["previous_application", "pos_cash_balance", "credit_card_balance", "bureau", "installments_payments", "bureau_months"]
+
+
+def _history(s, d, name):
+    """The months of credit bureau loans have the loan's key only."""
+    if name != "bureau_months":
+        return view(s, d, name)
+    return view(s, d, "bureau_balance").select("SK_ID_BUREAU").join(view(s, d, "bureau").select("SK_ID_BUREAU", "SK_ID_CURR"), "SK_ID_BUREAU")
+
+
 add("agg_11_table_coverage", "s:table d6:covered_share,rate_with,rate_without",
-    lambda s, d: profiling.table_coverage(app(s, d).where("is_test = 0"), {h: view(s, d, h) for h in HISTORY}, "TARGET"),
+    lambda s, d: profiling.table_coverage(app(s, d).where("is_test = 0"), {h: _history(s, d, h) for h in HISTORY}, "TARGET"),
     union("""SELECT '{c}' AS "table", avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END) AS covered_share, avg(TARGET) FILTER (hit) AS rate_with,
        avg(TARGET) FILTER (NOT hit) AS rate_without FROM (SELECT TARGET, SK_ID_CURR IN (SELECT SK_ID_CURR FROM {c}) AS hit
-       FROM application WHERE is_test = 0)""", HISTORY), APP + HISTORY)
+       FROM application WHERE is_test = 0)""", HISTORY), APP + HISTORY[:-1] + ["bureau_balance"],
+    "bureau_months AS (SELECT SK_ID_CURR FROM bureau_balance JOIN bureau USING (SK_ID_BUREAU))")
 add("agg_12_cross_shares", "s:NAME_EDUCATION_TYPE d6:F,M,XNA",
     lambda s, d: profiling.cross_shares(app(s, d), "NAME_EDUCATION_TYPE", "CODE_GENDER", ["F", "M", "XNA"]),
     """SELECT NAME_EDUCATION_TYPE, """ + ", ".join(f"count(*) FILTER (CODE_GENDER = '{g}') / (SELECT CAST(count(*) AS DOUBLE) FROM application) AS \"{g}\""
                                                    for g in ("F", "M", "XNA")) + " FROM application GROUP BY 1", APP)
-USELESS = ["FLAG_MOBIL", "FLAG_CONT_MOBILE", "CNT_CHILDREN", "CODE_GENDER", "FLAG_DOCUMENT_3", "OCCUPATION_TYPE"]
+USELESS = ALL
 add("prj_24_uninformative", "s:column i:levels,useless",
     lambda s, d: profiling.distinct_counts(app(s, d), USELESS).withColumn(
         "useless", (F.col("levels") < 2).cast("int")),
     union("""SELECT '{c}' AS "column", count(DISTINCT {c}) AS levels, CASE WHEN count(DISTINCT {c}) < 2 THEN 1 ELSE 0 END AS useless
        FROM application""", USELESS), APP)
-GROUPED = ["OCCUPATION_TYPE", "ORGANIZATION_TYPE", "AMT_CREDIT", "NAME_CONTRACT_TYPE"]
+GROUPED = ALL
 add("prj_21_column_groups", "s:column,kind i:levels", lambda s, d: _groups(s, d),
-    union("""SELECT '{c}' AS "column", count(DISTINCT {c}) AS levels, CASE WHEN '{c}' = 'AMT_CREDIT' THEN 'number'
+    union("""SELECT '{c}' AS "column", count(DISTINCT {c}) AS levels, CASE WHEN max(typeof({c})) <> 'VARCHAR' THEN 'number'
        WHEN count(DISTINCT {c}) <= 10 THEN 'small text' ELSE 'large text' END AS kind FROM application""", GROUPED), APP)
 
 
