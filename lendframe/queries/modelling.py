@@ -43,12 +43,12 @@ add("md_1_prior", P, held_scores(learners.dummy),
 add("md_2_logistic_regression", P, held_scores(lambda: learners.logistic_regression(MODEL_INPUTS)))
 add("md_3_woe_scorecard", P, held_scores(lambda: learners.WoeScorecard(MODEL_INPUTS, min_iv=0.0)))
 add("md_4_naive_bayes_pca", P, held_scores(lambda: learners.NaiveBayes(MODEL_INPUTS, components=5)))
-add("md_5_decision_tree", P, held_scores(lambda: learners.decision_tree(FEW, min_leaf=20)))
+add("md_5_decision_tree", P, held_scores(lambda: learners.decision_tree(MODEL_INPUTS)))
 add("md_6_boosted_trees", P, held_scores(lambda: learners.boosted_trees(MODEL_INPUTS, n_trees=10, learning_rate=0.2)))
-add("md_7_random_forest", P, held_scores(lambda: learners.random_forest(MODEL_INPUTS, n_trees=20, min_leaf=5)))
-add("md_8_linear_svm", P, held_scores(lambda: learners.LinearMargin(FEW)))
+add("md_7_random_forest", P, held_scores(lambda: learners.random_forest(MODEL_INPUTS)))
+add("md_8_linear_svm", P, held_scores(lambda: learners.LinearMargin(MODEL_INPUTS)))
 add("md_11_adaboost", P, held_scores(lambda: learners.AdaBoost(FEW, rounds=6)))
-add("md_12_layered_net", P, held_scores(lambda: learners.LayeredNet(FEW, hidden=(8,), max_iter=30)))
+add("md_12_layered_net", P, held_scores(lambda: learners.LayeredNet(MODEL_INPUTS)))
 
 
 # ---------------------------------------------------------------- naive Bayes, checked exactly
@@ -78,7 +78,7 @@ classes AS (SELECT y, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lines) AS
 
 def _rbf(s, d):
     train, held = halves(s, d)
-    return learners.NystroemMargin(FEW, landmarks=30).fit(train, "y").transform(held).select("id", "y", "p")
+    return learners.NystroemMargin(MODEL_INPUTS, landmarks=60).fit(train, "y").transform(held).select("id", "y", "p")
 
 
 add("md_9_rbf_svm", P, _rbf)
@@ -216,7 +216,7 @@ add("md_17_one_input", "s:method d6:penalty,rmse,r2,largest_weight", _fill_by_on
 def _weighted(s, d):
     train, held = halves(s, d)
     weighted = reweighing(train, "y", "CODE_GENDER")
-    return learners.logistic_regression(FEW).fit(weighted, "y", "weight").transform(held).select("id", "y", "p")
+    return learners.logistic_regression(MODEL_INPUTS).fit(weighted, "y", "weight").transform(held).select("id", "y", "p")
 
 
 add("md_18_weighted_fit", P, _weighted)
@@ -333,7 +333,7 @@ add("ev_11_five_by_two", "d6:t,p_value,mean_difference", _five_by_two)
 
 
 add("ev_16_learning_curve", "d:share,train_auc,held_auc",
-    lambda s, d: runner.learning_curve(lambda: learners.logistic_regression(FEW), *halves(s, d), "id", "y", [0.2, 0.5, 1.0]))
+    lambda s, d: runner.learning_curve(lambda: learners.logistic_regression(MODEL_INPUTS), *halves(s, d), "id", "y", [0.2, 0.5, 1.0]))
 add("tu_1_grid", "i:n,num_leaves,min_child_samples d:learning_rate", lambda s, d: raw(s, d, "region").agg(
     F.count("*").alias("n")).transform(beside, runner.grid_candidates(s)),
     """SELECT (SELECT count(*) FROM region) AS n, learning_rate, num_leaves, min_child_samples FROM
