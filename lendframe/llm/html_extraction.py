@@ -5,12 +5,15 @@ occurs, and subtrees that recur on many of them are deleted. Pages of a host wit
 one page. What counts as many is a least number and a share of the host's pages, which is small for
 link lists, larger for prose, and larger still for prose inside <article> or <main>, where a
 recurring paragraph is mostly the author's. Elements that are never text (scripts, forms, navigation
-and the like, by tag, role or class) go in any case.
+and the like, by tag, role or class, and those that are hidden) go in any case. A page of any length is
+parsed whole, in time that grows with its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -36,7 +39,7 @@ NEVER = set("nav footer aside form script style noscript template iframe svg mat
             "title object canvas menu".split())
 WORDS = set("ad ads advert adverts advertisement advertising banner cookie cookies consent notice notices newsletter "
             "subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments related share sharing "
-            "social promo sponsored footer popup modal".split())
+            "social promo sponsored footer popup modal teaser teasers".split())
 #: What may follow a word in a name, and what a name that only speaks of a layout begins with.
 ENDINGS = WORDS | set("area bar block box btn button buttons container content footer form group header inner item items left "
                       "link links list main middle outer overlay panel placeholder post posts primary right secondary "
@@ -44,8 +47,12 @@ ENDINGS = WORDS | set("area bar block box btn button buttons container content f
 LAYOUT = set("has is no not with without hide show".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*)>|<[!?][^<>]*>", re.S)
-_NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Comments, declarations and odd closing marks end at the next ">"; a tag only begins here.
+_MARK = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)|<(?:[!?]|/[^a-zA-Z])", re.S)
+#: Up to the end of a tag or an attribute's opening quote; quotes in names and in bare values are plain characters.
+_TAG_REST = re.compile(r"(?:[^>=]|=\s*+(?![\"'\s])[^\s>]*+)*+(?:>|=\s*+([\"']))")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPLIT = re.compile(r"[_-]+")
 _CLOSE = {t: re.compile(rf"</{t}[\s>/]", re.I) for t in RAW}
 
@@ -57,10 +64,43 @@ class Node:
         self.tag, self.attrs, self.parts, self.hash, self.text, self.linked = tag, attrs, [], 0, 0, 0
 
 
+def _end_of_tag(html: str, at: int, missing: set[str]) -> int:
+    """Where a tag ends, with its ">"; -1 if the page ends first.
+
+    A quote that is never closed holds no value: the tag ends at the next ">". `missing` holds quotes known
+    not to occur further on, so that a page with many of them is read in one pass.
+    """
+    while True:
+        m = _TAG_REST.match(html, at)
+        if m is None:
+            return -1
+        if not m[1]:
+            return m.end()
+        close = -1 if m[1] in missing else html.find(m[1], m.end())
+        if close < 0:
+            missing.add(m[1])
+            return html.find(">", m.end()) + 1 or -1
+        at = close + 1
+
+
 def parse(html: str) -> Node:
-    """A tree of nodes and decoded strings; unclosed elements end with their parent or the next block."""
+    """A tree of nodes and decoded strings; unclosed elements end with their parent or the next block.
+
+    A tag or declaration that the page's end cuts off is markup and goes. Work grows with the length of the
+    page: a closing tag is looked for only while an element of its name is open.
+    """
     root = Node("")
-    stack, at = [root], 0
+    stack, blocks, at = [root], [0], 0  # blocks: places in the stack of the elements that are not inline
+    missing: set[str] = set()
+    open_tags: Counter[str] = Counter()
+
+    def close_from(k: int) -> None:
+        for node in stack[k:]:
+            open_tags[node.tag] -= 1
+        del stack[k:]
+        while blocks[-1] >= k:
+            blocks.pop()
+
     while True:
         m = _MARK.search(html, at)
         if m is None:
@@ -68,32 +108,34 @@ def parse(html: str) -> Node:
             return root
         if m.start() > at:
             stack[-1].parts.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if not m[2]:
+            at = m.end() if m[0].startswith("<!--") else html.find(">", m.start() + 2) + 1
+            if not at:
+                return root
             continue
+        at = _end_of_tag(html, m.end(), missing)
+        if at < 0:
+            return root
+        tag, attrs = m[2].lower(), html[m.end() : at - 1]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag not in INLINE and tag not in VOID or tag == "hr":
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = stack[k].tag
-                if open_ == "p" or open_ == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                    del stack[k:]
-                    break
-                if open_ not in INLINE:
-                    break
-        node = Node(tag, m[3])
+            last = stack[blocks[-1]].tag
+            if last == "p" or last == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
+                close_from(blocks[-1])
+        node = Node(tag, attrs)
         stack[-1].parts.append(node)
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
+            continue
+        if tag in RAW:
             end = _CLOSE[tag].search(html, at)
             at = end.start() if end else len(html)
-            stack.append(node)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append(node)
+        open_tags[tag] += 1
 
 
 def _never(node: Node, inside: bool) -> bool:
@@ -101,12 +143,13 @@ def _never(node: Node, inside: bool) -> bool:
         return True
     if not node.attrs:
         return False
-    for name, a, b, c in _NAMED.findall(node.attrs):
-        value = (a or b or c).lower()
-        if name.lower() == "role":
-            if value in ROLES:
-                return True
-        elif any(_boilerplate(x) for x in value.split()):
+    for name, a, b, c in _ATTRIBUTE.findall(node.attrs):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and _UNSEEN.search(value) or name == "role" and value in ROLES:
+            return True
+        if name in ("class", "id") and any(_boilerplate(x) for x in value.split()):
             return True
     return False
 
@@ -144,10 +187,13 @@ def digest(root: Node) -> list[Node]:
     return out
 
 
-def _find(root: Node, tag: str) -> list[Node]:
+def _find(root: Node, tag: str, skip: Callable[[Node], bool]) -> list[Node]:
+    """The outermost elements of a name that are not skipped and don't lie in a skipped element."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
+        if skip(node):
+            continue
         if node.tag == tag:
             out.append(node)
         else:
@@ -155,9 +201,18 @@ def _find(root: Node, tag: str) -> list[Node]:
     return out
 
 
+def _main(root: Node) -> list[Node]:
+    """Articles, else main elements, outside what is never text; a wrapper may have a name like "with-sidebar"."""
+    for skip in (lambda x: _never(x, True), lambda x: x.tag in NEVER or x.tag in ("article", "main") and _never(x, True)):
+        found = _find(root, "article", skip) or _find(root, "main", skip)
+        if found:
+            return found
+    return []
+
+
 def _kinds(root: Node) -> tuple[list[Node], dict[int, int]]:
     """The main elements, and the kind of each node as its place in SHARES."""
-    main = _find(root, "article") or _find(root, "main")
+    main = _main(root)
     kinds, todo = {}, [(root, False)]
     at = {id(x) for x in main}
     while todo:
@@ -189,6 +244,8 @@ def main_text(root: Node, main: list[Node], kinds: dict[int, int], template: dic
             piece.append(x)
         elif x.tag == "br":
             piece.append(" ")
+        elif x.tag == "hr":
+            flush()
         elif _never(x, inside) or kinds[id(x)] <= template.get(x.hash, -1):
             if x.tag not in INLINE:
                 flush()
@@ -246,7 +303,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
               min_pages: int = MIN_PAGES, shares: tuple[float, float, float] = SHARES) -> DataFrame:
     """page_id, url, text for every page row; text is empty where nothing is left.
 
-    A null html is empty; a null or odd url belongs to the host "". Rows of a host with the same text
+    A null html is empty; a null or odd url belongs to the host ""; no rows give no rows, and other
+    columns of any name are left aside. A subtree on very many pages of a host is one key of a join whose
+    other side holds templates alone: adaptive execution splits its rows. Rows of a host with the same text
     (outside the elements that are never text) count as one page. Blocks are joined by line feeds;
     white space in a block is one space.
     """
