@@ -3,13 +3,12 @@
 A score is the sum of the partial scores of `slices` groups of dimensions. Rows and queries lie in
 tiles; in a tile every slice is a list of partial scores.
 
-1. Each list sends its k best entries, resolved exactly; the k-th best of a query's entries is a
-   safe cutoff, as at least k rows reach it.
-2. The cutoff goes back to the tiles. A row that reaches it has a partial score of at least
-   cutoff / slices in some list, whatever the signs, so only such entries are collected.
-3. Of these, the entries that reach the cutoff in total are kept, and the k best of a tile are passed on.
-
-Both searches add up the slices of every pair of a tile: the cutoff saves no score, only entries.
+1. Each list sends its k best entries; only these are resolved. The k-th best of a query's entries is
+   a safe cutoff, as at least k rows reach it.
+2. The cutoff goes back to the tiles. The slices are gone through once more, and an entry stays while
+   what it has so far and the most that the other slices can add (the product of the norms of what is
+   left of both vectors) reach the cutoff. Later slices are added up for the entries left alone.
+3. Entries that were left after the last slice are resolved exactly, and the k best of a tile passed on.
 """
 
 from __future__ import annotations
@@ -44,6 +43,48 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def _resolved(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return _scores(query[None, :], rows)[0]
+
+
+def _rests(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Norm of the whole vector and of what follows each slice, rounded up."""
+    energy = np.stack([(x[:, c].astype(float) ** 2).sum(1) for c in cuts])
+    after = np.concatenate([np.cumsum(energy[::-1], 0)[::-1], np.zeros((1, len(x)))])
+    return np.sqrt(after) * (1 + 1e-9)
+
+
+def listed(q: np.ndarray, r: np.ndarray, own: np.ndarray, k: int, cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows that are among the k best of some slice's list, for every query; own: queries x rows to leave out."""
+    pick = np.zeros((len(q), len(r)), bool)
+    for c in cuts:
+        part = _scores(q[:, c], r[:, c]).astype(float)
+        part[own] = -np.inf
+        if k < len(r):
+            np.put_along_axis(pick, np.argpartition(part, len(r) - k, axis=1)[:, len(r) - k :], True, axis=1)
+        else:
+            pick[:] = True
+    return [np.flatnonzero(x) for x in pick & ~own]
+
+
+def reaching(q: np.ndarray, r: np.ndarray, own: np.ndarray, cutoff: np.ndarray, cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows whose bound reaches the query's cutoff after every slice; a later slice is added up for these alone."""
+    left_q, left_r = _rests(q, cuts), _rests(r, cuts)
+    first = _scores(q[:, cuts[0]], r[:, cuts[0]])
+    out = []
+    for i in range(len(q)):
+        at = np.flatnonzero(~own[i])
+        seen = first[i, at].astype(float)
+        for j in range(len(cuts)):
+            if j:
+                seen = seen + _resolved(q[i, cuts[j]], r[np.ix_(at, cuts[j])])
+            most = seen + left_q[j + 1, i] * left_r[j + 1, at] + left_q[0, i] * left_r[0, at] * 1e-9  # rounding
+            stays = ~(most < cutoff[i])
+            at, seen = at[stays], seen[stays]
+        out.append(at)
+    return out
+
+
 def _tile(k: int, slices: int):
     def run(key, queries, rows):
         if not queries.num_rows or not rows.num_rows:
@@ -55,25 +96,16 @@ def _tile(k: int, slices: int):
         rid = rid[order]
         q, r = _matrix(queries.column("qv"), width), _matrix(rows.column("v"), width)[order]
         cuts = np.array_split(np.arange(width), min(slices, width))
-        parts = [_scores(q[:, c], r[:, c]) for c in cuts]
-        total = sum(parts)
-        cutoff = queries.column("cutoff").to_pandas().to_numpy(dtype=float, na_value=-np.inf) if "cutoff" in queries.column_names else None
+        own = qid[:, None] == rid[None, :]
+        if "cutoff" in queries.column_names:
+            found = reaching(q, r, own, queries.column("cutoff").to_pandas().to_numpy(dtype=float, na_value=-np.inf), cuts)
+        else:
+            found = listed(q, r, own, k, cuts)
         out: list[tuple] = []
-        for i in range(len(qid)):
-            other = rid != qid[i]
-            if cutoff is None:
-                pick = np.zeros(len(rid), bool)
-                for p in parts:
-                    own = np.where(other, p[i], np.iinfo(np.int64).min)
-                    pick[np.argpartition(-own, min(k, len(own) - 1))[:k]] = True
-            else:
-                pick = np.zeros(len(rid), bool)
-                for p in parts:
-                    pick |= p[i] * float(len(parts)) >= cutoff[i]
-                pick &= total[i] >= cutoff[i]
-            at = np.flatnonzero(pick & other)
-            best = at[np.argsort(-total[i][at], kind="stable")[:k]]
-            out.append((np.full(len(best), qid[i]), rid[best], total[i][best]))
+        for i, at in enumerate(found):
+            score = _resolved(q[i], r[at])
+            best = np.argsort(-score, kind="stable")[:k]
+            out.append((np.full(len(best), qid[i]), rid[at[best]], score[best]))
         return pa.table({n: pa.array(np.concatenate([o[j] for o in out])) for j, n in enumerate(("query_id", "vec_id", "score"))})
     return run
 
