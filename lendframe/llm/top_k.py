@@ -24,6 +24,8 @@ from lendframe.llm.tables import written
 
 K, SLICES, SCALE = 5, 4, 256
 ROWS_TILE, QUERIES_TILE = 1024, 2048
+#: Share of a tile's entries from which a slice is added up as one product.
+DENSE = 0.1
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -70,19 +72,17 @@ def listed(q: np.ndarray, r: np.ndarray, own: np.ndarray, k: int, cuts: list[np.
 def reaching(q: np.ndarray, r: np.ndarray, own: np.ndarray, cutoff: np.ndarray, cuts: list[np.ndarray]) -> list[np.ndarray]:
     """The rows whose bound reaches the query's cutoff after every slice; a later slice is added up for these alone."""
     left_q, left_r = _rests(q, cuts), _rests(r, cuts)
-    first = _scores(q[:, cuts[0]], r[:, cuts[0]])
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(~own[i])
-        seen = first[i, at].astype(float)
-        for j in range(len(cuts)):
-            if j:
-                seen = seen + _resolved(q[i, cuts[j]], r[np.ix_(at, cuts[j])])
-            most = seen + left_q[j + 1, i] * left_r[j + 1, at] + left_q[0, i] * left_r[0, at] * 1e-9  # rounding
-            stays = ~(most < cutoff[i])
-            at, seen = at[stays], seen[stays]
-        out.append(at)
-    return out
+    slack = np.outer(left_q[0], left_r[0]) * 1e-9  # rounding
+    alive, seen = ~own, np.zeros(own.shape)
+    for j, c in enumerate(cuts):
+        if alive.mean() > DENSE:  # one product is cheaper than picking out most of the rows; the entries left are the same
+            seen += _scores(q[:, c], r[:, c])
+        else:
+            for i in np.flatnonzero(alive.any(1)):
+                at = np.flatnonzero(alive[i])
+                seen[i, at] += _resolved(q[i, c], r[np.ix_(at, c)])
+        alive &= ~(seen + np.outer(left_q[j + 1], left_r[j + 1]) + slack < cutoff[:, None])
+    return [np.flatnonzero(x) for x in alive]
 
 
 def _tile(k: int, slices: int):
