@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendframe.operators.quantiles import exact_quantiles
 from lendframe.operators.reshape import to_long
+from lendframe.session import durable
 
 # The share an empty bin counts as, and the two status limits
 FLOOR = 1e-4
@@ -37,15 +38,38 @@ def _count(side: int) -> Column:
     return F.sum((F.col("is_new") == side).cast("long"))
 
 
+def _edges(reference: DataFrame, cols: Sequence[str], n_bins: int) -> DataFrame:
+    return (exact_quantiles(reference, cols, [i / n_bins for i in range(1, n_bins)])
+            .select("column", F.array_distinct("q").alias("edges")))
+
+
+def _binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Long rows with their bin; -1 is missing."""
+    place = F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+    return rows.join(F.broadcast(edges), on="column", how="left").withColumn("bin", place)
+
+
 def numeric_bins(reference: DataFrame, new: DataFrame, cols: Sequence[str], n_bins: int = 10) -> DataFrame:
     """Rows per (column, bin) on both sides; edges are the reference's inner quantiles, -1 is missing."""
-    edges = (exact_quantiles(reference, cols, [i / n_bins for i in range(1, n_bins)])
-             .select("column", F.array_distinct("q").alias("edges")))
-    rows = _sides(reference, new, cols, "double").join(F.broadcast(edges), on="column", how="left")
-    place = F.when(F.col("value").isNull(), -1).otherwise(
-        F.size(F.filter("edges", lambda e: e <= F.col("value"))))
-    return (rows.groupBy("column", place.alias("bin"))
-            .agg(_count(0).alias("ref"), _count(1).alias("new")))
+    rows = _binned(_sides(reference, new, cols, "double"), _edges(reference, cols, n_bins))
+    return rows.groupBy("column", "bin").agg(_count(0).alias("ref"), _count(1).alias("new"))
+
+
+def psi_by(reference: DataFrame, new: DataFrame, by: str, cols: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """by, column, psi, status of every group of new rows against one reference.
+
+    Edges and reference counts are made once and new rows are read once, whatever the number of groups.
+    Only counts are paired with groups: groups x columns x bins rows.
+    """
+    edges = _edges(reference, cols, n_bins)
+    ref = _binned(to_long(reference, cols), edges).groupBy("column", "bin").agg(F.count("*").alias("n"))
+    now = durable(_binned(to_long(new, cols, keep=[by]), edges).groupBy(by, "column", "bin").agg(F.count("*").alias("n")))
+    paired = now.groupBy("column").agg(F.collect_set(by).alias(by)).join(ref, on="column")
+    both = (paired.select(F.explode(by).alias(by), "column", "bin", F.col("n").alias("ref"), F.lit(0).alias("new"))
+            .unionByName(now.select(by, "column", "bin", F.lit(0).alias("ref"), F.col("n").alias("new"))))
+    counts = both.groupBy(by, "column", "bin").agg(F.sum("ref").alias("ref"), F.sum("new").alias("new"))
+    out = _index(counts.withColumn("column", F.struct(by, "column")))
+    return out.select(f"column.{by}", "column.column", "psi").withColumn("status", status(F.col("psi")))
 
 
 def text_bins(reference: DataFrame, new: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -40,6 +40,13 @@ OPTIONS = {
     "smaller loan": (("loan_amount", "annuity"), [round(1 - 0.05 * k, 2) for k in range(1, 19)]),
     "higher income": (("income",), [round(1 + 0.1 * k, 1) for k in range(1, 31)]),
 }
+# Scenarios for all applicants at once, the fields that move together and their factor
+SCENARIOS = {
+    "as they are": ((), 1.0),
+    "income 20% lower": (("income",), 0.8),
+    "external scores 20% lower": (("ext_source_1", "ext_source_2", "ext_source_3"), 0.8),
+    "loans 20% larger": (("loan_amount", "annuity"), 1.2),
+}
 
 
 def overlay(raw: DataFrame, changes: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
@@ -174,6 +181,29 @@ def reachability(table: DataFrame) -> DataFrame:
         F.median("factor").alias("median_factor"))  # factors come from a grid of at most 30 values
 
 
+def scenario_changes(current: DataFrame, scenarios: dict = SCENARIOS, key: str = "SK_ID_CURR") -> DataFrame:
+    """A change row per applicant and scenario; a field that does not move, or is empty, stays empty."""
+    moved = sorted({f for fields, _ in scenarios.values() for f in fields})
+    rows = [F.struct(F.lit(name).alias("scenario"), *[
+        (F.col(f) * factor if f in fields else F.lit(None)).cast("double").alias(f) for f in moved])
+        for name, (fields, factor) in scenarios.items()]
+    return current.select(key, F.inline(F.array(*rows)))
+
+
+def scenario_rows(raw: DataFrame, stored: DataFrame, score: Callable[[DataFrame], DataFrame],
+                  scenarios: dict = SCENARIOS, key: str = "SK_ID_CURR") -> DataFrame:
+    """Features and p of every applicant in every scenario, history as stored, cross-table ratios rebuilt."""
+    changed = overlay(raw, scenario_changes(profile_values(raw, key), scenarios, key), key)
+    return score(rebuilt_features(changed, stored, key, ["scenario"]))
+
+
+def decision_changes(before: DataFrame, after: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
+    """scenario, outcome before, outcome after, applicants; ``before`` has one outcome per applicant."""
+    was = before.select(key, F.col("outcome").alias("before"))
+    return after.select(key, "scenario", F.col("outcome").alias("after")).join(was, on=key).groupBy(
+        "scenario", "before", "after").agg(F.count("*").alias("n"))
+
+
 def profile_values(raw: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
     """The changeable fields in user units."""
     employed = F.nullif(F.col("DAYS_EMPLOYED").cast("double"), F.lit(float(NO_DATE)))

@@ -16,7 +16,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
 MODULES = ["features", "rows", "relations", "sampling", "metrics", "decisions", "fairness", "drift",
-           "profiles", "encoding", "modelling", "explaining", "clustering", "storage"]
+           "profiles", "encoding", "modelling", "explaining", "scenarios", "clustering", "storage"]
 
 
 def _parts(spec: str) -> list[tuple[str, str]]:
