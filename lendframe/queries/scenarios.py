@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from lendframe.functions.stable import sigmoid
+from lendframe.operators import contributions as con
 from lendframe.operators import drift
 from lendframe.plans import what_if
 from lendframe.plans.adapters import duck_view, view
@@ -101,6 +102,23 @@ add("ex_12_history_reachability", "s:option d:reachable,median_factor", lambda s
     """SELECT option, avg(CASE WHEN factor IS NOT NULL THEN 1e0 ELSE 0e0 END) AS reachable, quantile_cont(factor, 0.5e0) AS median_factor
        FROM found GROUP BY 1""", (), _FOUND_CTES)
 
+
+
+def _table_importance(s, d):
+    impacts = [F.struct(F.lit(c).alias("feature"), F.coalesce(b * (F.col(c).cast("double") - m), F.lit(0.0)).alias("impact"))
+               for c, (b, m) in MODEL.items()]
+    return con.family_importance(features(s, d).select(F.col("SK_ID_CURR").alias("id"), F.inline(F.array(*impacts))))
+
+
+def _impact_sql(prefix: str) -> str:
+    return " + ".join(f"coalesce({_number(b)} * ({c} - {_number(m)}), 0)" for c, (b, m) in MODEL.items() if c.startswith(prefix))
+
+
+add("ex_2_table_importance", "s:family d6:importance,share", _table_importance,
+    "SELECT family, importance, importance / sum(importance) OVER () AS share FROM (" + " UNION ALL ".join(
+        f"SELECT '{family}' AS family, avg(abs({_impact_sql(prefix)})) AS importance FROM features" for prefix, family in (
+            ("APP_", "Application"), ("BUR_", "Credit bureau"), ("PREV_", "Previous applications"))) + ")", (), _BASE_CTES)
+
 _SCENARIO_CTES = _BASE_CTES + ", settings AS (" + " UNION ALL ".join(
     f"SELECT '{name}' AS scenario, " + ", ".join(f"{_number(factor if field in fields else 1.0)} AS {f}" for f, field in (
         ("fi", "income"), ("fe", "ext_source_2"), ("fl", "loan_amount"))) for name, (fields, factor) in what_if.SCENARIOS.items()) + f"""),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,22 @@ def local_session(cpus: int | str = 8, app: str = "lendframe") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the executors and returns the archive's path on the driver.
+
+    Kernels are pickled by the name of their module, so workers must be able to import it. Call this once
+    where the package is neither installed on the executors nor given with ``--py-files``. The archive is
+    read on the driver only; Spark hands it to executors, also to those that start later.
+    """
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="lendframe-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return str(archive)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
