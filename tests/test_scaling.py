@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lendframe.operators import conformal
+from lendframe.models import runner
+from lendframe.operators import conformal, metrics
+from lendframe.operators.stats_tests import five_by_two
 
 
 def test_half_splits_shuffle_sums_only(spark, monkeypatch):
@@ -28,3 +30,30 @@ def test_half_splits_shuffle_sums_only(spark, monkeypatch):
     assert len(got) == 8
     for a, b in zip(sorted(got, key=lambda r: (r.method, r.repeat)), sorted(want, key=lambda r: (r.method, r.repeat))):
         assert a.asDict() == pytest.approx(b.asDict(), nan_ok=True)
+
+
+class _Column:
+    """A learner whose score is a column."""
+
+    def __init__(self, name):
+        self.name = name
+
+    def fit(self, df, label, weight=None):
+        return self
+
+    def transform(self, df):
+        return df.withColumn("p", F.col(self.name))
+
+
+def test_five_by_two_ranks_all_scores_together(spark, monkeypatch):
+    halves = spark.range(120).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        "repeat", ((F.col("id") * 7 + F.col("repeat")) % 2).cast("int").alias("fold"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+        (F.col("id") * 31 % 41 / 41.0).alias("a"), (F.xxhash64("id", "repeat") % 17 / 40.0 + 0.5).alias("b"))
+    want = []
+    for i in range(5):
+        part = [halves.where((F.col("repeat") == i) & (F.col("fold") == k)) for k in (0, 1)]
+        want.append([metrics.rank_metrics(q, "y", "a").first()["roc_auc"] - metrics.rank_metrics(q, "y", "b").first()["roc_auc"] for q in part])
+    calls, ranked = [], metrics.rank_metrics
+    monkeypatch.setattr(metrics, "rank_metrics", lambda *a, **k: calls.append(1) or ranked(*a, **k))
+    got = runner.five_by_two_cv(lambda: _Column("a"), lambda: _Column("b"), halves, "y")
+    assert got == pytest.approx(five_by_two(want)) and len(calls) == 1
