@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lendframe.models import runner
-from lendframe.operators import conformal, metrics
+from lendframe.operators import conformal, metrics, neighbours
+from lendframe.plans.adapters import view
 from lendframe.operators.stats_tests import five_by_two
 
 
@@ -57,3 +59,26 @@ def test_five_by_two_ranks_all_scores_together(spark, monkeypatch):
     monkeypatch.setattr(metrics, "rank_metrics", lambda *a, **k: calls.append(1) or ranked(*a, **k))
     got = runner.five_by_two_cv(lambda: _Column("a"), lambda: _Column("b"), halves, "y")
     assert got == pytest.approx(five_by_two(want)) and len(calls) == 1
+
+
+def test_tiles_are_few_and_give_the_nearest(spark, monkeypatch):
+    p, q = neighbours._tiles(630_000, 157_000)
+    assert p <= 5 and q <= 26 and p * q >= 100  # copies of a query's answers, copies of a point, tasks
+    assert neighbours._tiles(0, 0) == (1, 1)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    v[200:240] = v[:40]  # ties
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): int(j) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), d[i]))[:5])}
+    for points, queries in ((1 << 17, 1 << 15), (90, 70)):  # one tile; many tiles
+        for name, value in (("POINTS", points), ("QUERIES", queries)):
+            monkeypatch.setattr(neighbours, name, value)
+        found = neighbours.nearest(rows, rows, 5, same=True).collect()
+        assert {(r.qid, r["rank"]): r.id for r in found} == want
+
+
+def test_a_small_file_is_dealt_out(spark, sf_dir):
+    rows = view(spark, sf_dir, "application")
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
