@@ -62,9 +62,11 @@ def test_five_by_two_ranks_all_scores_together(spark, monkeypatch):
 
 
 def test_tiles_are_few_and_give_the_nearest(spark, monkeypatch):
-    p, q = neighbours._tiles(630_000, 157_000)
-    assert p <= 5 and q <= 26 and p * q >= 100  # copies of a query's answers, copies of a point, tasks
-    assert neighbours._tiles(0, 0) == (1, 1)
+    # copies of a point and of a query hardly grow with the tables
+    assert [sum(neighbours._tiles(n, n, 5)) for n in (2_000, 92_000, 553_000)] == [3, 15, 22]
+    p, q = neighbours._tiles(630_000, 157_000, 200)
+    assert p == 5 and q <= 20 and p * q >= 48  # 200 answers a query and tile of points
+    assert neighbours._tiles(0, 0, 5) == (1, 1)
     rng = np.random.default_rng(3)
     v = np.round(rng.normal(size=(300, 4)), 1)
     v[200:240] = v[:40]  # ties
