@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lendframe.models import runner
 from lendframe.operators import conformal, metrics, neighbours
-from lendframe.plans.adapters import view
+from lendframe.queries.registry import QUERIES, load_all
+from lendframe.sources import tables
 from lendframe.operators.stats_tests import five_by_two
 
 
@@ -81,6 +82,9 @@ def test_tiles_are_few_and_give_the_nearest(spark, monkeypatch):
         assert {(r.qid, r["rank"]): r.id for r in found} == want
 
 
-def test_a_small_file_is_dealt_out(spark, sf_dir):
-    rows = view(spark, sf_dir, "application")
-    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+def test_a_small_file_is_dealt_out(spark, sf_dir, monkeypatch):
+    load_all()
+    parts, shrink = [], tables.shrink
+    monkeypatch.setattr(tables, "shrink", lambda df: parts.append(df.rdd.getNumPartitions()) or shrink(df))
+    assert QUERIES["src_5_feature_sink"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
