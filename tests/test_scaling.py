@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lendframe.models import runner
 from lendframe.operators import conformal, metrics, neighbours
+from lendframe.plans import adapters
 from lendframe.queries.registry import QUERIES, load_all
 from lendframe.sources import tables
 from lendframe.operators.stats_tests import five_by_two
@@ -88,3 +89,26 @@ def test_a_small_file_is_dealt_out(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "shrink", lambda df: parts.append(df.rdd.getNumPartitions()) or shrink(df))
     assert QUERIES["src_5_feature_sink"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def _order_lines(spark, path, orders):
+    stamp = F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00"))
+    spark.range(orders).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), stamp.alias("o_orderdate")
+                               ).write.parquet(f"{path}/orders.parquet")
+    key = F.when(F.col("id") % 50 != 0, F.col("id") % (orders + 5)).alias("l_orderkey")  # some without an order or key
+    spark.range(4 * orders).coalesce(1).select(
+        key, F.lit(1).cast("bigint").alias("l_partkey"), F.lit(2).cast("bigint").alias("l_suppkey"),
+        (F.col("id") % 5).cast("int").alias("l_linenumber"), F.lit(3.0).alias("l_quantity"), F.lit(9.0).alias("l_extendedprice"),
+        F.lit(0.1).alias("l_discount"), stamp.alias("l_shipdate")).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_tasks_hold_a_bounded_number_of_order_lines(spark, tmp_path, monkeypatch):
+    orders = 500
+    _order_lines(spark, tmp_path, orders)
+    want = sorted((k, n) for n in range(4 * orders) if n % 50 and (k := n % (orders + 5)) < orders)
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 100)
+    rows = adapters.view(spark, str(tmp_path), "installments_payments")
+    assert sorted(r[0] for r in rows.select("SK_ID_PREV").collect()) == [k for k, _ in want]
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 20 and max(sizes) < 200  # 2,000 lines
+    assert rows.groupBy("SK_ID_PREV").count().rdd.getNumPartitions() == 20  # summed up where they are
