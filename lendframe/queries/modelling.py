@@ -12,7 +12,7 @@ from lendframe.operators.fairness import reweighing
 from lendframe.operators.ranking import hash_rank
 from lendframe.plans.adapters import raw, view
 from lendframe.plans.feature_table import FAMILIES, family_columns
-from lendframe.queries.encoding import LABELLED, MODEL_INPUTS, model_rows
+from lendframe.queries.encoding import LABELLED, MODEL_INPUTS, model_rows, rows_to_fit
 from lendframe.queries.features import features
 from lendframe.queries.registry import add
 from lendframe.queries.sampling import hash_sql, hex_sql
@@ -24,7 +24,7 @@ FEW = learners.Inputs(["AMT_INCOME_TOTAL", "AMT_CREDIT", "EXT_SOURCE_1", "EXT_SO
 
 
 def halves(s, d):
-    rows = model_rows(s, d)
+    rows = rows_to_fit(s, d)
     return rows.where("fold <> 1"), rows.where("fold = 1")
 
 

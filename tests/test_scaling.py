@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lendframe.models import runner
 from lendframe.operators import conformal, metrics, neighbours
 from lendframe.plans import adapters
+from lendframe.queries import encoding, modelling
 from lendframe.queries.registry import QUERIES, load_all
 from lendframe.sources import tables
 from lendframe.operators.stats_tests import five_by_two
@@ -112,3 +113,15 @@ def test_tasks_hold_a_bounded_number_of_order_lines(spark, tmp_path, monkeypatch
     sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert len(sizes) == 20 and max(sizes) < 200  # 2,000 lines
     assert rows.groupBy("SK_ID_PREV").count().rdd.getNumPartitions() == 20  # summed up where they are
+
+
+def test_fits_read_applicants_dealt_out_and_written_once(spark, sf_dir, monkeypatch):
+    load_all()
+    plain = encoding.model_rows(spark, sf_dir)
+    assert encoding.rows_to_fit(spark, sf_dir).sameSemantics(encoding.model_rows(spark, sf_dir))  # few rows: one task
+    monkeypatch.setattr(encoding, "APPLICANTS_A_TASK", 30)
+    rows = encoding.rows_to_fit(spark, sf_dir)
+    assert plain.rdd.getNumPartitions() == 1 < rows.rdd.getNumPartitions()
+    assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    train, held = modelling.halves(spark, sf_dir)
+    assert train.rdd.getNumPartitions() > 1 and held.count() == plain.where("fold = 1").count()
