@@ -188,6 +188,8 @@ def _fill_score(s, d):
     kept = ("APP_EXT_SOURCE_2", "APP_EXT_SOURCE_3")
     inputs = [f.name for f in rows.schema.fields if f.dataType.typeName() != "string" and f.name.startswith(tuple(FAMILIES))
               and (not f.name.startswith("APP_EXT_") or f.name in kept)]
+    needed = rows.select("fold", "APP_EXT_SOURCE_1", *inputs).where("APP_EXT_SOURCE_1 IS NOT NULL")
+    rows = encoders.stored(needed, "fill-rows")  # read in several passes
     return fill.fill_report(rows, "APP_EXT_SOURCE_1", inputs)
 
 

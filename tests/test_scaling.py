@@ -125,3 +125,13 @@ def test_fits_read_applicants_dealt_out_and_written_once(spark, sf_dir, monkeypa
     assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
     train, held = modelling.halves(spark, sf_dir)
     assert train.rdd.getNumPartitions() > 1 and held.count() == plain.where("fold = 1").count()
+
+
+def test_the_fill_report_joins_the_feature_table_once(spark, sf_dir, monkeypatch):
+    load_all()
+    seen, report = [], modelling.fill.fill_report
+    monkeypatch.setattr(modelling.fill, "fill_report", lambda rows, *a: seen.append(rows) or report(rows, *a))
+    assert QUERIES["md_17_ridge"](spark, sf_dir).count() == 2 + len(modelling.fill.PENALTIES)
+    assert len(seen[0].inputFiles()) and all("fill-rows" in f for f in seen[0].inputFiles())
+    target = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0").count()
+    assert seen[0].count() == target
