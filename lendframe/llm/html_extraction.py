@@ -288,11 +288,24 @@ def _subtrees(batches):
                        page=signed(np.array(pages, np.uint64)), hash=signed(np.array(hashes, np.uint64)))
 
 
+def _packed(batches):
+    """Every page compressed by itself, as pages are shuffled to meet their marks; size is that of the whole page."""
+    for batch in batches:
+        pages = [x.as_buffer() for x in batch.column("html")]
+        yield batch_of(page_id=batch.column("page_id"), url=batch.column("url"), th=batch.column("th"),
+                       size=pa.array([p.size for p in pages], pa.int64()),
+                       packed=pa.array([pa.compress(p, codec="zstd", asbytes=True) for p in pages], pa.binary()))
+
+
+def _unpacked(packed: bytes, size: int) -> str:
+    return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).decode() if size else ""
+
+
 def _extract(batches):
     for batch in batches:
         texts = []
-        for html, marks in zip(batch.column("html").to_pylist(), batch.column("marks").to_pylist()):
-            root = parse(html)
+        for packed, size, marks in zip(batch.column("packed"), batch.column("size").to_pylist(), batch.column("marks").to_pylist()):
+            root = parse(_unpacked(packed.as_py(), size))
             digest(root)
             main, kinds = _kinds(root)
             texts.append(main_text(root, main, kinds, {m["hash"] & 0xFFFFFFFFFFFFFFFF: m["kind"] for m in marks or ()}))
@@ -323,5 +336,6 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     often = counts.where("hash <> 0").join(sizes, "host").select("host", "hash", kind.alias("kind")).where("kind >= 0")
     marks = trees.join(often, ["host", "hash"]).groupBy("th").agg(F.collect_set(F.struct("hash", "kind")).alias("marks"))
     marks = marks.withColumnRenamed("th", "m_th")
-    both = rows.join(marks, rows["th"] == marks["m_th"], "left")
-    return mapped(both.select("page_id", "url", "html", "marks"), _extract, "page_id long, url string, text string")
+    packed = mapped(rows, _packed, "page_id long, url string, th long, size long, packed binary")
+    both = packed.join(marks, packed["th"] == marks["m_th"], "left")
+    return mapped(both.select("page_id", "url", "size", "packed", "marks"), _extract, "page_id long, url string, text string")

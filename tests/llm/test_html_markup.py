@@ -52,3 +52,15 @@ def test_empty_table_long_page_and_clashing_columns(spark):
     got = {r.page_id: r.text for r in H.extracted(table).collect()}
     assert got == {1: "\n".join(["some words"] * 200_000), 2: ""}
     assert H.extracted(table.limit(0)).collect() == []
+
+
+def test_pages_are_shuffled_compressed(spark, monkeypatch):
+    pages = ["<main>" + f"<p>schöne Zeile {k} 🙂</p>" * 500 + "</main>" for k in range(3)] + ["", None]
+    table = spark.createDataFrame([(k, "http://a.org", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    plain, seen = H.mapped, []
+    monkeypatch.setattr(H, "mapped", lambda df, *a: seen.append(df) or plain(df, *a))
+    got = {r.page_id: r.text for r in H.extracted(table).collect()}
+    assert got == {k: "\n".join([f"schöne Zeile {k} 🙂"] * 500) if k < 3 else "" for k in range(5)}
+    assert "html" not in seen[-1].columns
+    sizes = [(r["size"], len(r["packed"])) for r in seen[-1].orderBy("page_id").collect()]
+    assert [s for s, _ in sizes] == [len((x or "").encode()) for x in pages] and all(20 * n < s for s, n in sizes[:3])
