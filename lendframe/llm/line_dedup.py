@@ -3,16 +3,18 @@
 Suffixes of the documents' line sequences are ordered by prefix doubling: the rank of 2h lines is
 the rank of the pair (rank of h lines here, rank of h lines further on). Ranks are group starts in
 the suffix array, numbered by a range sort whose parts add up their sizes. A suffix whose first h
-lines occur once has no partner and leaves. The order is refined until it tells runs of `min_lines`
-lines apart: its groups are then the intervals of the array in which the longest common prefix is
-at least `min_lines`, and deeper levels would not change which lines go. In every interval the
-first place stays; consecutive later places unite to the maximal repeated runs. A line of many
+lines occur once has no partner and leaves; doubling goes on until no group is left. The groups of
+a level of h lines are the intervals of the array in which the longest common prefix is at least h.
+In every interval the first place stays. A later place is read off the deepest interval in which it
+is one, as a run of as many lines; runs that touch unite to the maximal repeated runs. A line of many
 words can be a run by itself: these lines are compared by their ids alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.llm.tables import keyed, written
@@ -24,7 +26,7 @@ _PLACE = ["doc_id", "th", "seq"]
 
 
 def _numbered(groups: DataFrame, name: str) -> DataFrame:
-    """groups (a, b, n) with rank: how many suffixes are smaller than those of the group."""
+    """groups (a, b, n, first) with rank: how many suffixes are smaller than those of the group."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lined = written(groups.repartitionByRange(parts, "a", "b").withColumn("part", F.spark_partition_id()), name)
     # one row a part; their number is that of the shuffle partitions
@@ -33,36 +35,52 @@ def _numbered(groups: DataFrame, name: str) -> DataFrame:
         "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     return lined.join(starts, "part").select(
-        "a", "b", "n", (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("rank"))
+        "a", "b", "first", (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("rank"))
 
 
 def _paired(ranks: DataFrame, step: int) -> DataFrame:
     """Each suffix with the rank of the one `step` lines on; a run that leaves the document has no partner."""
     on = Window.partitionBy("doc_id", "th").orderBy("seq").rangeBetween(step, step)
-    return ranks.withColumn("b", F.max("rank").over(on)).where("b IS NOT NULL").withColumnRenamed("rank", "a")
+    return ranks.select(*_PLACE, F.col("rank").alias("a"), F.max("rank").over(on).alias("b")).where("b IS NOT NULL")
+
+
+def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """Groups of more than one row, with the first place of each."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
+
 
+def _not_first() -> Column:
+    return ~F.struct(*_PLACE).eqNullSafe(F.col("first"))
 
-def _repeated(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+
+def later_lines(lines: DataFrame) -> DataFrame:
+    """lines (doc_id, th, seq, line): the (doc_id, th, seq) of lines that also come earlier."""
+    return lines.join(_repeated(lines, "line"), "line").where(_not_first()).select(*_PLACE)
 
 
 def later_runs(lines: DataFrame, min_lines: int) -> DataFrame:
-    """lines (doc_id, th, seq, line): the (doc_id, th, seq) where min_lines lines start that also start earlier."""
+    """lines (doc_id, th, seq, line): the (doc_id, th, seq) where min_lines lines start that also start earlier, with size.
+
+    size: how many lines of the run are known to start earlier, by the deepest level at which they do: min_lines
+    times a power of two.
+    """
     # ids of lines that occur once are never part of a repeat
-    known = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    ranks = written(lines.join(known, "line").select(*_PLACE, F.col("line").alias("rank")), "line-ids")
-    if min_lines == 1:
-        keys, last = ["rank"], ranks
-    else:
-        keys, h = ["a", "b"], 1
-        while 2 * h < min_lines:
-            pairs = written(_paired(ranks, h), "pairs")
-            order = _numbered(_repeated(pairs), "order")
-            ranks = written(pairs.join(order, ["a", "b"]).select(*_PLACE, "rank"), "ranks")
-            h *= 2
-        last = written(_paired(ranks, min_lines - h), "pairs")
-    first = last.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return last.join(first.drop("n"), keys).where(~F.struct(*_PLACE).eqNullSafe(F.col("first"))).select(*_PLACE)
+    ranks = written(lines.join(_repeated(lines, "line"), "line").select(
+        *_PLACE, F.col("line").alias("rank"), _not_first().alias("later")), "line-ids")
+    depth, levels = 1, []
+    while True:
+        if depth >= min_lines:
+            levels.append(ranks.where("later").select(*_PLACE, F.lit(depth).alias("size")))
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        pairs = written(_paired(ranks, step), "pairs")
+        order = _numbered(_repeated(pairs, "a", "b"), "order")
+        ranks = written(pairs.join(order, ["a", "b"]).select(*_PLACE, "rank", _not_first().alias("later")), "ranks")
+        depth += step
+        if ranks.isEmpty():  # no group is left: the order is that of whole suffixes
+            break
+    if not levels:
+        return lines.select(*_PLACE, F.lit(min_lines).alias("size")).limit(0)
+    return reduce(DataFrame.unionByName, levels).groupBy(*_PLACE).agg(F.max("size").alias("size"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -84,14 +102,14 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ids = F.transform(full, lambda x, i: F.struct(F.xxhash64(x["t"], F.length(x["t"])).alias("line"), x["pos"].alias("pos"),
                                                   i.alias("seq")))
     places = rows.select("doc_id", "th", F.explode(ids).alias("x")).select("doc_id", "th", "x.*")
-    later = later_runs(places.select("doc_id", "th", "seq", "line"), min_lines).withColumn("size", F.lit(min_lines))
+    later = later_runs(places.select("doc_id", "th", "seq", "line"), min_lines)
     if min_words is not None and min_lines > 1:
         # the first place of a line is in no later run, so one copy of each stays
         long = F.filter(F.transform(full, lambda x, i: F.struct(x["t"].alias("t"), i.alias("seq"))),
                         lambda x: F.size(F.filter(F.split(x["t"], r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= min_words)
         wordy = rows.select("doc_id", "th", F.explode(long).alias("x")).select(
             "doc_id", "th", "x.seq", F.xxhash64("x.t", F.length("x.t")).alias("line"))
-        later = later.unionByName(later_runs(wordy, 1).withColumn("size", F.lit(1)))
+        later = later.unionByName(later_lines(wordy).withColumn("size", F.lit(1)))
     # places of removed runs, joined where they touch
     spans = F.array_sort(F.collect_set(F.struct(F.col("seq").alias("a"), (F.col("seq") + F.col("size")).alias("b"))))
     empty = F.array().cast("array<struct<a:int,b:int>>")
