@@ -25,10 +25,10 @@ from lendframe.llm.tables import batch_of, mapped
 
 MARK = "▁"  # stands for a space in the model's pieces
 #: Units and token pairs that a worker process remembers; only speed depends on them.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Ids that are turned into bytes together.
 IDS_BLOCK = 1 << 20
-_MODELS: dict[str, "Pieces"] = {}
+_MODELS: dict[tuple[str, bool], "Pieces"] = {}
 
 
 def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -40,10 +40,12 @@ codecs.register_error("one-by-one", _one_by_one)
 
 
 class Pieces:
-    """A BPE model with byte fallback, read from its file; spaces stand for the model's space marks."""
+    """A BPE model with byte fallback, read from its file; spaces stand for the model's space marks.
 
-    def __init__(self, path: str):
-        import ahocorasick
+    coding: whether it encodes, too; what only that needs takes most of the memory.
+    """
+
+    def __init__(self, path: str, coding: bool = True):
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         probe = " a  ﬁＡé\t"  # marks spaces, puts one in front and changes nothing else
@@ -57,9 +59,24 @@ class Pieces:
             raise ValueError("the model has no byte fallback")
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.id = {names[i].replace(MARK, " "): i for i in plain}
-        scores = sorted({model.get_score(i) for i in plain}, reverse=True)
-        place = {s: k for k, s in enumerate(scores)}
-        self.rank = {p: place[model.get_score(i)] for p, i in self.id.items()}
+        if coding:
+            self._learn({p: model.get_score(i) for p, i in self.id.items()})
+        # for decoding
+        shown = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else names[i].replace(MARK, " ").encode()
+                 for i in range(size)]
+        for byte, i in self.of_byte.items():
+            shown[i] = bytes([byte])
+        self.length = np.array([len(s) for s in shown], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.spaced = np.zeros(size, bool)
+        self.spaced[[i for p, i in self.id.items() if p.startswith(" ")]] = True
+
+    def _learn(self, score: dict[str, float]) -> None:
+        """What encoding needs of the pieces and their scores."""
+        import ahocorasick
+        place = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: place[s] for p, s in score.items()}
         self._grow_trees()
         self.automaton = ahocorasick.Automaton()
         for p in self.left:
@@ -73,16 +90,6 @@ class Pieces:
                 self.neighbours[raw[:-1], raw[1:]] = True
         self.known: dict[bytes, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        # for decoding
-        shown = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else names[i].replace(MARK, " ").encode()
-                 for i in range(size)]
-        for byte, i in self.of_byte.items():
-            shown[i] = bytes([byte])
-        self.length = np.array([len(s) for s in shown], np.int64)
-        self.begin = np.cumsum(self.length) - self.length
-        self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.spaced = np.zeros(size, bool)
-        self.spaced[[i for p, i in self.id.items() if p.startswith(" ")]] = True
 
     def merged(self, symbols: list[str]) -> tuple[list[str], dict[str, tuple[str, str]]]:
         """The symbols after all merges, best score first and leftmost of equals, and what was merged into what."""
@@ -202,10 +209,10 @@ def _spread(table: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarra
     return table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + many, many)]
 
 
-def _model(path: str) -> Pieces:
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+def _model(path: str, coding: bool = True) -> Pieces:
+    if (path, coding) not in _MODELS:
+        _MODELS[path, coding] = Pieces(path, coding)
+    return _MODELS[path, coding]
 
 
 def _encoded(path: str):
@@ -221,13 +228,17 @@ def _encoded(path: str):
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model = _model(path, coding=False)  # in a worker of its own
         for batch in batches:
             lists = batch.column("ids")
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            texts = [model.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield batch_of(doc_id=batch.column("doc_id"), ids=lists, text=pa.array(texts, pa.string()))
+            a = 0
+            while a < batch.num_rows:  # a few MB of text at a time, or one longer text
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + IDS_BLOCK, "right")) - 1)
+                texts = [model.decode(ids[i:j]) for i, j in zip(ends[a:b], ends[a + 1 : b + 1])]
+                yield batch_of(doc_id=batch.column("doc_id").slice(a, b - a), ids=lists.slice(a, b - a), text=pa.array(texts, pa.string()))
+                a = b
     return run
 
 
