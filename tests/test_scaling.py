@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lendframe.models import runner
+from lendframe.models import joint_cv, runner
 from lendframe.operators import conformal, metrics, neighbours
 from lendframe.plans import adapters
 from lendframe.queries import encoding, modelling
@@ -135,3 +135,23 @@ def test_the_fill_report_joins_the_feature_table_once(spark, sf_dir, monkeypatch
     assert len(seen[0].inputFiles()) and all("fill-rows" in f for f in seen[0].inputFiles())
     target = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0").count()
     assert seen[0].count() == target
+
+
+def test_caps_come_from_sorted_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(3000) < 0.3, np.round(rng.normal(size=3000)), rng.normal(size=3000))
+    rows = spark.createDataFrame([(int(i), int(i % 5 + 1), None if i % 7 == 0 else float(x[i]), None) for i in range(3000)],
+                                 "id long, fold int, x double, none double").repartition(3)
+
+    def no_sketch(*_, **__):
+        raise AssertionError("a sketch for every column and fold")
+    monkeypatch.setattr(joint_cv.F, "percentile_approx", no_sketch)
+    caps = joint_cv.caps_without_a_fold(rows, "fold", [1, 2, 3, 4, 5], ["x", "none"])
+    assert not caps[:, :, 1].any()
+    for k in range(5):
+        rest = np.sort([x[i] for i in range(3000) if i % 7 and i % 5 != k])
+        assert caps[k, :, 0].tolist() == [rest[int(np.ceil(q * len(rest))) - 1] for q in joint_cv.CAPS]
+    values = rng.integers(0, 30_000, 50_000).astype(float)
+    kept, many = joint_cv._thinned(values)
+    before = np.searchsorted(np.sort(values), kept, "right") - np.cumsum(many)
+    assert len(kept) <= 2001 and many.sum() == 50_000 and (before >= 0).all() and before.max() < 50_000 / 2000
