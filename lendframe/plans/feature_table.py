@@ -27,10 +27,13 @@ def cross_ratios() -> dict:
     }
 
 
-def feature_table(read: Reader) -> DataFrame:
-    """``read(name, columns)`` gives one source table. The result is one lazy plan."""
-    out = application.application_features(application.stack_labelled(
-        read("application_train", None), read("application_test", None)))
+def feature_table(read: Reader, deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``read(name, columns)`` gives one source table. The result is one lazy plan.
+
+    deal: deals rows out by the applicant, the same way for the applications and the finished summaries.
+    """
+    out = deal(application.application_features(application.stack_labelled(
+        read("application_train", None), read("application_test", None))))
     parts = [
         (bureau.bureau_features(read("bureau", bureau.BUREAU_COLUMNS),
                                 read("bureau_balance", bureau.BALANCE_COLUMNS)),
@@ -46,7 +49,7 @@ def feature_table(read: Reader) -> DataFrame:
          credit_card.COUNTS, "CC_HAS_HISTORY"),
     ]
     for part, counts, flag_name in parts:
-        out = attach(out, part, counts, flag_name)
+        out = attach(out, deal(part), counts, flag_name)
     return out.withColumns(cross_ratios())
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from lendframe.plans import application, bureau, credit_card, feature_table, installments
 from lendframe.plans import pos_cash, previous
-from lendframe.plans.adapters import reader, view
+from lendframe.plans.adapters import loans_with_months, raw, reader, view
 from lendframe.queries.registry import add
+from lendframe.session import tasks_for, width
 
 
 def one(cond: str) -> str:
@@ -151,7 +152,7 @@ BUR_NUM = ["BUR_OLDEST_LOAN_YEARS", "BUR_NEWEST_LOAN_YEARS", "BUR_MEAN_LOAN_AGE_
            "BB_UNKNOWN_SHARE_MEAN", "BUR_DEBT_RATIO_ACTIVE", "BUR_AVG_GAP_DAYS"]
 BUR_SPEC = f"i:SK_ID_CURR,{','.join(BUR_INT)} d2:{','.join(BUR_MONEY)} d:{','.join(BUR_NUM)}"
 add("agg_2_bureau", BUR_SPEC,
-    lambda s, d: bureau.bureau_features(view(s, d, "bureau"), view(s, d, "bureau_balance")),
+    lambda s, d: bureau.bureau_features(*loans_with_months(s, d)),
     "SELECT * FROM bur", views=["bureau", "bureau_balance"], ctes=BUR_SQL)
 
 # ---------------------------------------------------------------- previous applications
@@ -346,8 +347,18 @@ FEATURES_SPEC = " ".join([APP_SPEC, *[_without_key(x) for x in
                           "d:BUR_DEBT_TO_INCOME,BUR_ANNUITY_BURDEN,PREV_CURRENT_TO_MEAN_CREDIT"])
 
 
+#: Applicants whose summaries one task joins.
+JOINED_A_TASK = 20_000
+
+
+def by_applicant(spark, sf_dir):
+    """Deals rows out by the applicant where a task of a plain shuffle would hold too many of them."""
+    n = tasks_for(raw(spark, sf_dir, "customer"), JOINED_A_TASK)
+    return lambda df: df.repartition(n, "SK_ID_CURR") if n > width(spark) else df
+
+
 def features(spark, sf_dir):
-    return feature_table.feature_table(reader(spark, sf_dir))
+    return feature_table.feature_table(reader(spark, sf_dir), by_applicant(spark, sf_dir))
 
 
 add("agg_8_feature_table", FEATURES_SPEC, features, "SELECT * FROM features", views=ALL_VIEWS,

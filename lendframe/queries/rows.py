@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lendframe.functions import bins, nulls, rowwise, stable, text
 from lendframe.operators.joins import beside
 from lendframe.plans import application, bureau, feature_table, previous
-from lendframe.plans.adapters import raw, reader, view
+from lendframe.plans.adapters import loans_with_months, raw, reader, view
 from lendframe.queries.registry import add
 
 APP = ["application"]
@@ -127,7 +127,7 @@ def _cross(s, d):
     from lendframe.operators.joins import attach
     a = application.application_features(app(s, d)).select(
         "SK_ID_CURR", "APP_AMT_INCOME_TOTAL", "APP_AMT_ANNUITY", "APP_AMT_CREDIT")
-    b = bureau.bureau_features(view(s, d, "bureau"), view(s, d, "bureau_balance"))
+    b = bureau.bureau_features(*loans_with_months(s, d))
     p = previous.previous_features(view(s, d, "previous_application"))
     joined = attach(attach(a, b, bureau.COUNTS, "BUR_HAS_HISTORY"), p, previous.COUNTS, "PREV_HAS_HISTORY")
     return joined.withColumns(feature_table.cross_ratios())

@@ -12,7 +12,7 @@ from lendframe.operators import drift
 from lendframe.plans import what_if
 from lendframe.plans.adapters import duck_view, view
 from lendframe.queries.explaining import _DECISION, BASE, BREAK_EVEN, LINEAR, Q_DEFAULT, Q_REPAY
-from lendframe.queries.features import ALL_VIEWS, FEATURES_SQL, features
+from lendframe.queries.features import ALL_VIEWS, FEATURES_SQL, by_applicant, features
 from lendframe.queries.registry import add
 from lendframe.session import durable
 
@@ -36,12 +36,12 @@ def _counterfactuals(s, d):
     stored = durable(features(s, d))  # used for the decisions and again for every change
     goals = _decided(history_score(stored)).withColumns(what_if.next_goal(F.col("outcome"), 1 - Q_DEFAULT, Q_REPAY))
     targets = goals.where("target IS NOT NULL").select("SK_ID_CURR", "target")
-    return what_if.counterfactuals(view(s, d, "application"), stored, history_score, targets)
+    return what_if.counterfactuals(by_applicant(s, d)(view(s, d, "application")), stored, history_score, targets)
 
 
 def _scenarios(s, d):
     stored = durable(features(s, d))
-    rows = what_if.scenario_rows(view(s, d, "application"), stored, history_score)
+    rows = what_if.scenario_rows(by_applicant(s, d)(view(s, d, "application")), stored, history_score)
     return history_score(stored), durable(_decided(rows).select("SK_ID_CURR", "scenario", "outcome", *WATCHED))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lendframe.models import joint_cv, runner
 from lendframe.operators import conformal, metrics, neighbours
 from lendframe.plans import adapters
-from lendframe.queries import encoding, modelling
+from lendframe.queries import encoding, features, modelling
 from lendframe.queries.registry import QUERIES, load_all
 from lendframe.sources import tables
 from lendframe.operators.stats_tests import five_by_two
@@ -137,6 +137,25 @@ def test_the_fill_report_joins_the_feature_table_once(spark, sf_dir, monkeypatch
     assert seen[0].count() == target
 
 
+def _rounded(df):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_summaries_are_joined_in_tasks_of_a_bounded_number_of_applicants(spark, sf_dir, monkeypatch):
+    load_all()
+    names = "agg_2_bureau", "ex_14_decision_changes"
+    want = [_rounded(QUERIES[n](spark, sf_dir)) for n in names]
+    monkeypatch.setattr(features, "JOINED_A_TASK", 10)
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 300)
+    few = spark.read.parquet(f"{sf_dir}/customer.parquet").count(), spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    applicants, lines = -(-few[0] // 10), -(-few[1] // 300)
+    plan = features.features(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert sum("hashpartitioning(SK_ID_CURR" in line and f", {applicants})" in line for line in dealt) == 6
+    assert sum("hashpartitioning(SK_ID_BUREAU" in line and f", {lines})" in line for line in dealt) == 2
+    assert [_rounded(QUERIES[n](spark, sf_dir)) for n in names] == want
+
+
 def test_caps_come_from_sorted_pieces(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.where(rng.random(3000) < 0.3, np.round(rng.normal(size=3000)), rng.normal(size=3000))
