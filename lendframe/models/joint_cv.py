@@ -12,6 +12,7 @@ the one left out. Levels are looked up with a join, so there may be any number o
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -24,10 +25,10 @@ from lendframe.session import fresh_folder
 
 CAPS = (0.001, 0.5, 0.999)
 MAX_ONE_HOT, SMOOTHING, FAN, ROWS = 10, 10.0, 32, 4096
-#: Ranks of caps and medians are right to 1 / ACCURACY of the rows.
+#: Ranks of caps and medians are right to 1 / ACCURACY of the rows; a task holds a sketch a column and fold.
 ACCURACY = 2000
-#: Numbers that a task sorts at once.
-SORTED = 6_000_000
+#: Sketches that one task merges.
+SKETCHES = 150
 
 
 @dataclass
@@ -88,80 +89,22 @@ def prepared(df: DataFrame, key: str, label: str, fold: str, columns: Sequence[s
     return made
 
 
-def _thinned(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values, each with the rows since the one before: every one of few, else every g-th and the last."""
-    values = np.sort(values)
-    step = max(1, len(values) // ACCURACY)
-    at = np.arange(step, len(values) + step, step).clip(max=len(values))
-    kept = values[at - 1]
-    last = np.append(kept[1:] != kept[:-1], True)[: len(kept)]  # equal ones once, with the place of the last
-    return kept[last], np.diff(at[last], prepend=0)
-
-
-def _thin_columns(columns: int, folds: Sequence[int]):
-    def piece(batches):
-        fold = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in batches])
-        mine = [fold == k for k in folds]
-        for j in range(columns):
-            one = pa.chunked_array([b.column(j + 1) for b in batches]).combine_chunks()
-            known, values = one.is_valid().to_numpy(zero_copy_only=False), one.to_numpy(zero_copy_only=False)
-            for i, rows in enumerate(mine):
-                kept, many = _thinned(values[known & rows])
-                if len(kept):
-                    yield j, i, kept.tobytes(), many.astype(float).tobytes()
-
-    def sent(batches):
-        rows = list(piece(batches))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                                           pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
-                                          names=["j", "k", "kept", "many"])
-
-    def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows * columns >= SORTED:
-                yield sent(held)
-                held, rows = [], 0
-        if rows:
-            yield sent(held)
-    return run
-
-
-def _ranked(folds: int):
-    def run(key, table):
-        """The caps of one column: of each value the rows up to it are added up over all tasks."""
-        number = table.column("k").to_numpy()
-        kept = [np.frombuffer(v.as_py()) for v in table.column("kept")]
-        many = [np.frombuffer(v.as_py()) for v in table.column("many")]
-        out = []
-        for k in range(folds):
-            mine = np.flatnonzero(number != k)
-            if not len(mine):
-                continue
-            values, weight = np.concatenate([kept[i] for i in mine]), np.concatenate([many[i] for i in mine])
-            order = np.argsort(values, kind="stable")
-            total = np.cumsum(weight[order])
-            ranks = np.maximum(np.ceil(np.array(CAPS) * total[-1]), 1)
-            out.append((k, values[order][np.searchsorted(total, ranks)].tolist()))
-        return pa.table({"j": pa.array([key[0].as_py()] * len(out), pa.int32()), "k": pa.array([k for k, _ in out], pa.int32()),
-                         "caps": pa.array([c for _, c in out], pa.list_(pa.float64()))})
-    return run
-
-
 def caps_without_a_fold(rows: DataFrame, fold: str, folds: Sequence[int], numeric: Sequence[str]) -> np.ndarray:
-    """Fold left out x CAPS x numeric column: quantiles of the other folds' values, zeros where there are none.
+    """Fold left out x CAPS x numeric column, zeros where the other folds hold no value.
 
-    Tasks sort bounded pieces of a column and send every g-th value with the rows it stands for, so a column is
-    brought together in one small group. Few rows are sent whole, and the quantiles are exact.
+    A part of the columns has at most SKETCHES sketches (or one column's), which a task of its own merges.
     """
-    caps = np.zeros((len(folds), len(CAPS), len(numeric)))
-    if numeric:
-        plain = rows.select(F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(numeric)])
-        thin = plain.mapInArrow(_thin_columns(len(numeric), folds), "j int, k int, kept binary, many binary")
-        for r in thin.groupBy("j").applyInArrow(_ranked(len(folds)), "j int, k int, caps array<double>").collect():
-            caps[r["k"], :, r["j"]] = r["caps"]
+    caps, parts = np.zeros((len(folds), len(CAPS), len(numeric))), []
+    many = max(1, SKETCHES // max(1, len(folds)))
+    for a in range(0, len(numeric), many):
+        sketches = [F.percentile_approx(F.when(F.col(fold) != k, F.col(c).cast("double")), list(CAPS), ACCURACY)
+                    for c in numeric[a : a + many] for k in folds]
+        parts.append(rows.agg(F.array(*sketches).alias("found")).select(F.lit(a).alias("first"), "found"))
+    with ThreadPoolExecutor(8) as pool:  # a union of them would be one task
+        merged = list(pool.map(lambda part: part.first(), parts))
+    for r in merged if folds else []:
+        for i, one in enumerate(r["found"]):
+            caps[i % len(folds), :, r["first"] + i // len(folds)] = one or 0.0
     return caps
 
 

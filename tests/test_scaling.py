@@ -156,21 +156,21 @@ def test_summaries_are_joined_in_tasks_of_a_bounded_number_of_applicants(spark,
     assert [_rounded(QUERIES[n](spark, sf_dir)) for n in names] == want
 
 
-def test_caps_come_from_sorted_pieces(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    x = np.where(rng.random(3000) < 0.3, np.round(rng.normal(size=3000)), rng.normal(size=3000))
-    rows = spark.createDataFrame([(int(i), int(i % 5 + 1), None if i % 7 == 0 else float(x[i]), None) for i in range(3000)],
-                                 "id long, fold int, x double, none double").repartition(3)
-
-    def no_sketch(*_, **__):
-        raise AssertionError("a sketch for every column and fold")
-    monkeypatch.setattr(joint_cv.F, "percentile_approx", no_sketch)
-    caps = joint_cv.caps_without_a_fold(rows, "fold", [1, 2, 3, 4, 5], ["x", "none"])
-    assert not caps[:, :, 1].any()
-    for k in range(5):
-        rest = np.sort([x[i] for i in range(3000) if i % 7 and i % 5 != k])
-        assert caps[k, :, 0].tolist() == [rest[int(np.ceil(q * len(rest))) - 1] for q in joint_cv.CAPS]
-    values = rng.integers(0, 30_000, 50_000).astype(float)
-    kept, many = joint_cv._thinned(values)
-    before = np.searchsorted(np.sort(values), kept, "right") - np.cumsum(many)
-    assert len(kept) <= 2001 and many.sum() == 50_000 and (before >= 0).all() and before.max() < 50_000 / 2000
+def test_a_task_merges_the_sketches_of_a_few_columns(spark, monkeypatch):
+    columns = [f"x{j}" for j in range(7)]
+    rows = spark.range(400).select((F.col("id") % 3 + 1).cast("int").alias("fold"), *[
+        F.when(F.col("id") % (j + 2) != 0, F.xxhash64("id", F.lit(j)) % 1000 / 10.0).alias(c) for j, c in enumerate(columns)],
+        F.lit(None).cast("double").alias("none"))
+    columns.append("none")
+    want = rows.agg(*[F.percentile_approx(F.when(F.col("fold") != k, F.col(c)), list(joint_cv.CAPS), joint_cv.ACCURACY).alias(f"{c}_{k}")
+                      for c in columns for k in (1, 2, 3)]).first()
+    held, agg = [], type(rows).agg
+
+    def counted(df, *found):
+        held.append(str(found).count("percentile_approx"))
+        return agg(df, *found)
+    monkeypatch.setattr(type(rows), "agg", counted)
+    monkeypatch.setattr(joint_cv, "SKETCHES", 6)
+    caps = joint_cv.caps_without_a_fold(rows, "fold", [1, 2, 3], columns)
+    assert held == [6, 6, 6, 6]
+    assert caps.tolist() == [[[(want[f"{c}_{k}"] or [0.0] * 3)[q] for c in columns] for q in range(3)] for k in (1, 2, 3)]
