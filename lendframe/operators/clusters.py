@@ -203,9 +203,10 @@ def segment_profile(df: DataFrame, fields: Sequence[str], cluster: str = "cluste
 def personas(long: DataFrame, clusters: DataFrame, y: str, top: int = 3) -> DataFrame:
     """Per cluster: rows, label rate and its largest mean impacts as text.
 
-    ``long`` has id, feature, impact; ``clusters`` has id, cluster and the label.
+    ``long`` has id, feature, impact; ``clusters`` has id, cluster and the label. Both have a row for every id,
+    so they are joined by sorting: adaptive execution would broadcast them over the driver.
     """
-    mean = (long.join(clusters.select("id", "cluster"), on="id").groupBy("cluster", "feature")
+    mean = (long.join(clusters.select("id", "cluster").hint("merge"), on="id").groupBy("cluster", "feature")
             .agg(F.avg("impact").alias("impact")))
     w = Window.partitionBy("cluster").orderBy(F.desc("impact"), "feature")
     named = mean.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).withColumn(

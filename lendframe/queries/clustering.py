@@ -122,7 +122,8 @@ def _personas(s, d):
         "id", F.transform("c", lambda x: x["impact"]).alias("v"), F.aggregate("c", F.lit(-1.2), lambda a, x: a + x["impact"]).alias("z"))
     risky = clusters.with_features(wide.where("z > -1").select("id", "v"))
     grouped = clusters.kmeans(risky, 3, n_init=1, max_iter=30).transform(risky).select("id", "cluster")
-    labelled = grouped.join(view(s, d, "application").select(F.col("SK_ID_CURR").alias("id"), F.col("TARGET").alias("y")), on="id")
+    labels = view(s, d, "application").select(F.col("SK_ID_CURR").alias("id"), F.col("TARGET").alias("y"))
+    labelled = grouped.join(labels.hint("merge"), on="id")  # rows by applicant, too many to go over the driver
     return clusters.personas(impacts, labelled, "y")
 
 

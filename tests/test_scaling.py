@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lendframe.models import joint_cv, runner
-from lendframe.operators import conformal, metrics, neighbours
+from lendframe.operators import clusters, conformal, metrics, neighbours
 from lendframe.plans import adapters
 from lendframe.queries import encoding, features, modelling
 from lendframe.queries.registry import QUERIES, load_all
@@ -174,3 +176,28 @@ def test_a_task_merges_the_sketches_of_a_few_columns(spark, monkeypatch):
     caps = joint_cv.caps_without_a_fold(rows, "fold", [1, 2, 3], columns)
     assert held == [6, 6, 6, 6]
     assert caps.tolist() == [[[(want[f"{c}_{k}"] or [0.0] * 3)[q] for c in columns] for q in range(3)] for k in (1, 2, 3)]
+
+
+def _broadcast_keys(df):
+    df.collect()
+    return re.findall(r"Broadcast\w*Join \[(\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_personas_send_no_rows_by_applicant_over_the_driver(spark, tmp_path):
+    spark.range(300).select(
+        F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey"),
+        (F.col("id") * 7919 % 1000 * 11.0 - 999).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"),
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    load_all()
+    answer = QUERIES["un_9_personas"](spark, str(tmp_path))
+    assert set(_broadcast_keys(answer)) <= {"cluster"} and answer.count() == 3
+
+    # ids that come twice, miss on one side or are null
+    impacts = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 2.0), (2, "a", 2.0), (2, "b", 1.0), (3, "a", 5.0), (None, "a", 9.0)],
+                                    "id long, feature string, impact double")
+    labelled = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 0, 1), (3, 1, None), (4, 1, 1), (None, 1, 0)], "id long, cluster int, y int")
+    found = clusters.personas(impacts, labelled, "y", top=1)
+    assert set(_broadcast_keys(found)) <= {"cluster"}
+    got = {r["cluster"]: (r["n"], r["rate"], r["reasons"]) for r in found.collect()}
+    assert got[0][:2] == (3, pytest.approx(2 / 3)) and got[0][2].endswith("(+2.33)")  # b: 3, 3 and 1
+    assert got[1][:2] == (3, 0.5) and got[1][2].endswith("(+5.00)")
