@@ -201,3 +201,44 @@ def test_personas_send_no_rows_by_applicant_over_the_driver(spark, tmp_path):
     got = {r["cluster"]: (r["n"], r["rate"], r["reasons"]) for r in found.collect()}
     assert got[0][:2] == (3, pytest.approx(2 / 3)) and got[0][2].endswith("(+2.33)")  # b: 3, 3 and 1
     assert got[1][:2] == (3, 0.5) and got[1][2].endswith("(+5.00)")
+
+
+def test_a_vote_shuffles_no_lists_of_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(700, 5)) * [3, 2, 1, 1, 1], 1)
+    v[500:560] = v[:60]  # ties
+    v[690] = 1e6
+    ids = np.arange(700)
+    ids[600:620] = ids[:20]  # ids that come twice, at other places
+    points = [(int(i), x.tolist()) for i, x in zip(ids, v)]
+    labels = [(int(i), None if i % 11 == 0 else float(i % 3 == 0)) for i in ids if i % 7]  # some without a row or a label
+    asked = [*points[:90], *points[500:505], *points[600:610]]
+    df = lambda rows, second: spark.createDataFrame(rows, f"id long, {second}")
+
+    def no_lists(*_, **__):
+        raise AssertionError("k neighbours of every query and tile are shuffled")
+    monkeypatch.setattr(neighbours, "nearest", no_lists)
+    of = {}
+    for i, y in labels:
+        of.setdefault(i, []).append(y)
+    for k, same, few in ((3, False, True), (12, True, True), (200, False, False), (900, True, False)):
+        if few:  # many tiles, blocks and parts
+            monkeypatch.setattr(neighbours, "VOTERS", 40)
+            monkeypatch.setattr(neighbours._Held, "BLOCK", 8)
+            monkeypatch.setattr(neighbours._Held, "LEAF", 16)
+        else:
+            monkeypatch.undo()
+            monkeypatch.setattr(neighbours, "nearest", no_lists)
+        near = {}
+        for i, q in asked:
+            d = np.sqrt(((v - np.array(q)) ** 2).sum(1))
+            near.setdefault(i, []).extend((d[j], int(ids[j])) for j in range(700) if not (same and ids[j] == i))
+        want = {}
+        for i, found in near.items():
+            ys = [y for _, j in sorted(found)[:k] for y in of.get(j, [])]
+            if ys:
+                some = [y for y in ys if y is not None]
+                want[i] = sum(some) / len(some) if some else None
+        got = neighbours.vote(df(points, "v array<double>"), df(labels, "y double"), df(asked, "v array<double>"), k, same).collect()
+        assert len(got) == len(want) and {r.id: r.p for r in got} == pytest.approx(want)
+    assert neighbours.vote(df([], "v array<double>"), df(labels, "y double"), df(asked, "v array<double>")).count() == 0
