@@ -242,3 +242,18 @@ def test_a_vote_shuffles_no_lists_of_neighbours(spark, monkeypatch):
         got = neighbours.vote(df(points, "v array<double>"), df(labels, "y double"), df(asked, "v array<double>"), k, same).collect()
         assert len(got) == len(want) and {r.id: r.p for r in got} == pytest.approx(want)
     assert neighbours.vote(df([], "v array<double>"), df(labels, "y double"), df(asked, "v array<double>")).count() == 0
+
+
+def test_a_loose_first_bound_lets_few_pairs_through(monkeypatch):
+    # the k-th of hardly more than k points says next to nothing about the k-th of all
+    rng = np.random.default_rng(6)
+    x, q, k = rng.normal(size=(5_022, 6)), rng.normal(size=(300, 6)), 20
+    ids, labels, pairs, keep = np.arange(len(x)), (x[:, 0] > 0).astype(float), [], neighbours._Held.keep
+    monkeypatch.setattr(neighbours._Held, "keep", lambda self, found: (pairs.extend(len(f[0]) for f in found), keep(self, found)))
+    held = neighbours._Held(np.arange(300), q, k, False)
+    for a, b in ((0, 22), (22, 5_022)):
+        held.meet(ids[a:b], x[a:b], labels[a:b], np.ones(b - a, np.int32))
+    assert sum(pairs) < 300 * 20 * k  # of 300 x 5,022
+    got = held.votes().to_pydict()
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    assert dict(zip(got["id"], got["p"])) == pytest.approx({i: labels[np.lexsort((ids, d[i]))[:k]].mean() for i in range(300)})
