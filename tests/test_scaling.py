@@ -242,6 +242,8 @@ def test_a_vote_shuffles_no_lists_of_neighbours(spark, monkeypatch):
         got = neighbours.vote(df(points, "v array<double>"), df(labels, "y double"), df(asked, "v array<double>"), k, same).collect()
         assert len(got) == len(want) and {r.id: r.p for r in got} == pytest.approx(want)
     assert neighbours.vote(df([], "v array<double>"), df(labels, "y double"), df(asked, "v array<double>")).count() == 0
+    odd = df([*points[1:40], (900, [float("nan")] * 5)], "v array<double>")  # near nothing, and in nobody's way
+    assert neighbours.vote(odd, df([(i, 1.0) for i in range(1000)], "y double"), odd, 3).count() == 39
 
 
 def test_a_loose_first_bound_lets_few_pairs_through(monkeypatch):
